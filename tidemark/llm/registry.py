@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, quality
+from tidemark.llm import exact_dedup, language, packing, quality, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op2_token_counts": token_counts.op2,
+    "op3_packing": packing.op3,
+    "op5_language": language.op5,
     "op7_quality": quality.op7,
 }
 ORACLES = {
