@@ -86,14 +86,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_bytes(b: pa.RecordBatch, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes each: long texts come a few at a time."""
+    if b.nbytes <= most or b.num_rows == 1:
+        yield b
+        return
+    half = b.num_rows // 2
+    for part in (b.slice(0, half), b.slice(half)):
+        yield from by_bytes(part, most)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn applied to each Arrow batch; fn is made once a task by a factory if it has the attribute ``factory``."""
+    """fn applied to Arrow batches of bounded size; a function marked ``factory`` makes fn once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn() if getattr(fn, "factory", False) else fn
         for b in batches:
-            if b.num_rows and (out := step(b)) is not None:
-                yield out
+            for part in by_bytes(b):
+                if part.num_rows and (out := step(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
