@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, language, packing, quality, substring_dedup, token_counts
+from tidemark.llm import chosen_path, exact_dedup, language, packing, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3,
     "op5_language": language.op5,
     "op7_quality": quality.op7,
+    "op8_chosen_path": chosen_path.op8,
     "op9_substring_dedup": substring_dedup.op9,
 }
 ORACLES = {
