@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chosen_path, exact_dedup, language, packing, quality, substring_dedup, token_counts
+from tidemark.llm import chosen_path, exact_dedup, language, packing, quality, substring_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -12,7 +12,9 @@ QUERIES = {
     "op7_quality": quality.op7,
     "op8_chosen_path": chosen_path.op8,
     "op9_substring_dedup": substring_dedup.op9,
+    "op10_url_filters": url_filters.op10,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op10_url_filters": url_filters.OP10_SQL,
 }
