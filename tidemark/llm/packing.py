@@ -28,9 +28,9 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int = END, id_col: str = "d
 
     @factory
     def start():
-        from tidemark.llm.tokens import WordEncoder
+        from tidemark.llm.tokens import word_encoder
 
-        encoder, before = WordEncoder(vocabulary, end), 0
+        encoder, before = word_encoder(vocabulary, end), 0
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal before

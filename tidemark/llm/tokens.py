@@ -8,6 +8,7 @@ speed, never ids. Texts whose splitting this module does not reproduce go throug
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import re
 
@@ -17,6 +18,19 @@ import numpy as np
 REMEMBERED = 400_000
 
 
+class _Numbers(dict):
+    """Pre-token -> its number; a new one gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.order: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self.order)
+        self.order.append(piece)
+        return n
+
+
 class WordEncoder:
     """Ids of ``word_bpe_49k.json`` (tokenizers; lower-cased, white space dropped), add_special_tokens=False."""
 
@@ -24,6 +38,8 @@ class WordEncoder:
     #: normal form is the lower-cased text, and its pattern and Python's agree.
     PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    #: Letters, white space, full stops and commas: where no two signs touch, white space around signs is all the pattern does.
+    PROSE = re.compile("[\t-\r A-Za-zÀ-ÖØ-öø-ÿ.,]*")
 
     def __init__(self, path: str, end: int | None = None):
         from tokenizers import Tokenizer
@@ -37,50 +53,75 @@ class WordEncoder:
         spec["added_tokens"] = []
         spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.pieces = Tokenizer.from_str(json.dumps(spec))
-        self.known: dict[str, bytes] = {}
         self.tail = b"" if end is None else np.array([end], "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for at in range(0, len(words), 4000):
-            part = words[at : at + 4000]
-            ids = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+        self.generation = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.flat = np.zeros(0, "<u4")  # ids of all known pre-tokens, in the order of their numbers
+        self.starts = np.zeros(1, np.int64)
+        self.generation += 1
+
+    def _learn(self) -> None:
+        """Encodes the pre-tokens that have a number but no ids yet."""
+        new = self.known.order[len(self.starts) - 1 :]
+        flat, starts = [self.flat], [self.starts]
+        at = len(self.flat)
+        for k in range(0, len(new), 4000):
+            some = new[k : k + 4000]
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):  # a pre-token that the vocabulary cannot spell
-                for w in part:
-                    one = self.pieces.encode_batch_fast([w], add_special_tokens=False)[0].ids
-                    self.known[w] = np.array(one, "<u4").tobytes()
-                continue
-            raw = ids.astype("<u4").tobytes()
-            begin = 0
-            for w, stop in zip(part, stops.tolist(), strict=True):
-                self.known[w] = raw[4 * begin : 4 * stop]
-                begin = stop
+            if len(stops) != len(some):  # a pre-token that the vocabulary cannot spell
+                each = [self.pieces.encode_batch_fast([x], add_special_tokens=False)[0].ids for x in some]
+                ids, stops = np.array([i for x in each for i in x], "<u4"), np.cumsum([len(x) for x in each])
+            flat.append(ids)
+            starts.append(at + stops)
+            at += len(ids)
+        self.flat, self.starts = np.concatenate(flat), np.concatenate(starts)
+
+    def split(self, text: str) -> list[str] | None:
+        """Pre-tokens; None for a text that has to be encoded whole."""
+        if self.PROSE.fullmatch(text) and ".." not in text and ",," not in text and ".," not in text and ",." not in text:
+            return text.lower().replace(".", " . ").replace(",", " , ").split()
+        return self.PIECES.findall(text.lower()) if self.PLAIN.fullmatch(text) and "<|" not in text else None
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Numbers of each text's pre-tokens, all of them known; None for a text that has to be encoded whole."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        number, out = self.known.__getitem__, []
+        for t in texts:
+            s = self.split(t or "")
+            out.append(None if s is None else np.fromiter(map(number, s), np.int64, len(s)))
+        if len(self.known.order) >= len(self.starts):
+            self._learn()
+        return out
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end id if there is one."""
-        out: list[bytes] = []
-        split: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            split.append(self.PIECES.findall(t.lower()) if self.PLAIN.fullmatch(t) and "<|" not in t else None)
-        known = self.known
-        new = list({w for s in split if s for w in s if w not in known})
-        if new:
-            self._learn(new)
-            known = self.known
-            if missing := list({w for s in split if s for w in s if w not in known}):  # the table was emptied
-                self._learn(missing)
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                ids = np.array(self.whole.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        out = []
+        for t, at in zip(texts, self.numbers(texts), strict=True):
+            if at is None:
+                ids = self.encode_whole(t)
             else:
-                ids = b"".join([known[w] for w in s])
-            out.append(ids + self.tail)
+                begin = self.starts[at]
+                size = self.starts[at + 1] - begin
+                upto = np.cumsum(size)
+                ids = self.flat[np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+            out.append(ids.tobytes() + self.tail)
         return out
 
 
+@functools.cache
+def word_encoder(path: str, end: int | None = None) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path, end)
+
+
 class ByteEncoder:
     """Counts and ids of ``byte_bpe_50k.tiktoken`` (byte-level BPE), pre-token by pre-token."""
 
