@@ -376,6 +376,24 @@ def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESH
     )
 
 
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """One row of each class of near duplicates; all columns as they came. Rows of equal class_id 'kept' decide."""
+    scratch = Scratch(docs.sparkSession, "near-keep-one")
+    found = scratch.write(similar_texts(docs, **params).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__kid"), F.col("th").alias("__th"), "kept"), "found")
+    # a row is known by its identifier and its text; rows alike in both are one text, of which one stays
+    rows = found.groupBy("__kid", "__th").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("stays"))
+    rows = scratch.write(rows.where("stays = 0 or n > 1"), "changed")
+    gone, twice = rows.where("stays = 0").select("__kid", "__th"), rows.where("stays = 1").select("__kid", "__th")
+    own = docs.columns
+    marked = docs.withColumns({"__kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__th": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    left = marked.join(bounded(gone, gone.count()), ["__kid", "__th"], "left_anti")
+    n = twice.count()
+    if not n:
+        return left.select(*own)
+    once = left.join(bounded(twice, n), ["__kid", "__th"], "left_anti").select(*own)
+    return once.unionByName(left.join(bounded(twice, n), ["__kid", "__th"], "left_semi").dropDuplicates(["__kid", "__th"]).select(*own))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_texts(docs).select("doc_id", "class_id", "n_links", "kept")

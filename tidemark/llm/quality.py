@@ -65,7 +65,7 @@ class Trees:
         self.base, self.feature, self.threshold, self.leaf = base, feature, threshold, leaf
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, l2: float = 1.0, least: float = 4.0) -> Trees:
+    def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, l2: float = 0.3, least: float = 0.3) -> Trees:
         n, d = x.shape if len(x) else (0, len(STATS))
         share = float(y.mean()) if n else 0.5
         inner, leaves = 2**depth - 1, 2**depth
