@@ -103,7 +103,7 @@ def effective_days(df: DataFrame, by: tuple[str, ...], out: str = "effective_n")
 
 def analytics(panel_: DataFrame, selected: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(collapsed rows, one row of counts and rates for each selection). selected: by, stock_id, date, weight."""
-    rows = panel_.join(selected.where("weight > 0").select(*by, "stock_id", "date", "weight"), ["stock_id", "date"]).where("valid")
+    rows = panel_.drop("weight", *by).join(selected.where("weight > 0").select(*by, "stock_id", "date", "weight"), ["stock_id", "date"]).where("valid")
     flat = collapse(rows, by)
     hit = F.col(pat.EVENT) > 0
     raw = rows.groupBy(*by).agg(F.count("*").alias("raw_rows"), F.sum("weight").alias("raw_mass"))

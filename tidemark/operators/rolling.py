@@ -19,9 +19,18 @@ class Series:
 
     def __init__(self, key: str = "stock_id", order: str = "date"):
         self.key, self.order = key, order
-        self.w = Window.partitionBy(key).orderBy(order)
-        self.so_far = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        self.before = self.w.rowsBetween(Window.unboundedPreceding, -1)
+
+    @property
+    def w(self):
+        return Window.partitionBy(self.key).orderBy(self.order)
+
+    @property
+    def so_far(self):
+        return self.w.rowsBetween(Window.unboundedPreceding, 0)
+
+    @property
+    def before(self):
+        return self.w.rowsBetween(Window.unboundedPreceding, -1)
 
     def last(self, n: int):
         return self.w.rowsBetween(-(n - 1), 0)
