@@ -15,14 +15,24 @@ from tidemark.sources.bars import event_bars
 LATE = "7 days"
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks are kept on instants only: local times are read in the session's time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def stream_bars(events: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
     """Tumbling-window bars; events later than the watermark are dropped. On a batch frame the watermark does nothing."""
-    return event_bars(events.withWatermark("ts", late) if events.isStreaming else events, width)
+    if not events.isStreaming:
+        return event_bars(events, width)
+    out = event_bars(_watermarked(events, late), width)
+    return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
 def once_per_key(events: DataFrame, keys: tuple[str, ...] = ("event_id",), late: str = LATE) -> DataFrame:
     """The first event of each key inside the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
+    if not events.isStreaming:
+        return events.dropDuplicates(list(keys))
+    return _watermarked(events, late).dropDuplicatesWithinWatermark(list(keys)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def upsert_sink(path: str):
