@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
 
-SAMPLE, BUCKETS = 8_000, 1 << 14
-MU, ROUNDS, CLOSE, SNAP = 1e-5, 100, 1e-4, 0.05
+SAMPLE, BUCKETS = 4_000, 1 << 14
+MU, ROUNDS, CLOSE, SNAP = 1e-5, 100, 3e-4, 0.05
 #: Shares of tokens that the mix shall have.
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 
@@ -79,7 +79,7 @@ class Softmax:
         self.domains, self.weights, self.bias = domains, weights, bias
 
     @staticmethod
-    def fit(buckets: list[np.ndarray], y: list[str], rounds: int = 120, rate: float = 0.05, l2: float = 1e-6) -> Softmax:
+    def fit(buckets: list[np.ndarray], y: list[str], rounds: int = 80, rate: float = 0.05, l2: float = 1e-6) -> Softmax:
         domains = sorted(set(y))
         k, n = len(domains), len(y)
         w, b = np.zeros((BUCKETS, max(k, 1))), np.zeros(max(k, 1))

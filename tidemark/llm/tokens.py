@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pre-tokens remembered by a worker at most.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class _Numbers(dict):
