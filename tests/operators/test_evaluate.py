@@ -28,8 +28,7 @@ def select(df, at):
 
 
 def analytics(df, horizon=2):
-    sel = df.select("stock_id", "date", "weight", F.lit(1).alias("one"))
-    return ev.analytics(ev.panel(df, horizon), sel, ("one",))[1].first()
+    return ev.analytics(df, df.select("stock_id", "date", "weight"), (horizon,))[1].first()
 
 
 def test_duplicates_collapse(spark):

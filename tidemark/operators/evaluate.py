@@ -19,27 +19,41 @@ CELL = {"excess": 0.40, "win_rate": 0.20, "worst_decile": 0.10, "knife_rate": 0.
 COMPOSITE = {"excess": 0.30, "win_rate": 0.25, "worst_decile": 0.20, "knife_rate": 0.10, "mean_mae": 0.15}
 
 
-def panel(df: DataFrame, horizon: int) -> DataFrame:
-    """Rows with entry (next open), exit, forward return, worst low, market return and best entry of the event's zone.
+def wide_panel(df: DataFrame, horizons: Iterable[int]) -> DataFrame:
+    """Rows with entry (next open) and for each horizon h exit_h, ret_h, mae_h, market_h, valid_h and best_h.
 
     The market is the date's mean raw return; only then are returns clipped to their 1 % and 99 % quantiles and worst
-    lows to their 1 % quantile. The two bounds come from one aggregate and reach the rows as a one-row broadcast.
+    lows to their 1 % quantile. All horizons share one pass by series, one by date and one by event; the quantiles
+    come from one aggregate and reach the rows as a one-row broadcast.
     """
-    s = Series()
+    s, horizons = Series(), list(horizons)
     df = pat.ensure_events(df, s)
-    ahead = s.w.rowsBetween(1, horizon)
-    low = F.when(F.count("low").over(ahead) == horizon, F.min("low").over(ahead))
-    df = df.withColumns({"entry": s.lead("open"), "exit": s.lead("open", horizon + 1), "__low": low})
-    df = df.withColumns({"raw": F.try_divide(F.col("exit"), F.col("entry")) - 1, "raw_mae": F.try_divide(F.col("__low"), F.col("entry")) - 1})
-    market = df.groupBy("date").agg(F.avg("raw").alias("market"))
-    bounds = df.agg(F.percentile("raw", F.lit(WINSOR)).alias("lo"), F.percentile("raw", F.lit(1 - WINSOR)).alias("hi"), F.percentile("raw_mae", F.lit(WINSOR)).alias("mlo"))
-    df = df.join(market, "date", "left").crossJoin(F.broadcast(bounds))  # one row
-    ret = F.when(F.col("raw").isNotNull(), F.least(F.greatest("raw", "lo"), "hi"))
-    mae = F.when(F.col("raw_mae").isNotNull(), F.greatest("raw_mae", "mlo"))
-    df = df.withColumns({"ret": ret, "mae": mae}).withColumn("valid", F.col("ret").isNotNull() & F.col("mae").isNotNull() & F.col("market").isNotNull())
-    zone = Window.partitionBy("stock_id", pat.EVENT)
-    best = F.when(F.col(pat.EVENT) > 0, F.min(F.when(F.col("valid"), F.col("entry"))).over(zone))
-    return df.withColumn("best_entry", best).drop("__low", "raw", "raw_mae", "lo", "hi", "mlo")
+    new = {"entry": s.lead("open")}
+    for h in horizons:
+        ahead = s.w.rowsBetween(1, h)
+        new |= {f"exit_{h}": s.lead("open", h + 1), f"__low_{h}": F.when(F.count("low").over(ahead) == h, F.min("low").over(ahead))}
+    df = df.withColumns(new)
+    df = df.withColumns({f"__{n}_{h}": F.try_divide(F.col(c), F.col("entry")) - 1 for h in horizons for n, c in (("raw", f"exit_{h}"), ("mae", f"__low_{h}"))})
+    day = Window.partitionBy("date")
+    df = df.withColumns({f"market_{h}": F.avg(f"__raw_{h}").over(day) for h in horizons})
+    cuts = [F.percentile(f"__{n}_{h}", F.lit(q)).alias(f"__{k}_{h}") for h in horizons for k, n, q in (("lo", "raw", WINSOR), ("hi", "raw", 1 - WINSOR), ("mlo", "mae", WINSOR))]
+    df = df.crossJoin(F.broadcast(df.agg(*cuts)))  # one row
+    clipped = {}
+    for h in horizons:
+        clipped[f"ret_{h}"] = F.when(F.col(f"__raw_{h}").isNotNull(), F.least(F.greatest(f"__raw_{h}", f"__lo_{h}"), F.col(f"__hi_{h}")))
+        clipped[f"mae_{h}"] = F.when(F.col(f"__mae_{h}").isNotNull(), F.greatest(f"__mae_{h}", f"__mlo_{h}"))
+    df = df.withColumns(clipped)
+    df = df.withColumns({f"valid_{h}": F.col(f"ret_{h}").isNotNull() & F.col(f"mae_{h}").isNotNull() & F.col(f"market_{h}").isNotNull() for h in horizons})
+    zone = Window.partitionBy("stock_id", pat.EVENT, F.when(F.col(pat.EVENT) == 0, F.col("date")))  # rows off events stay apart
+    df = df.withColumns({f"best_{h}": F.when(F.col(pat.EVENT) > 0, F.min(F.when(F.col(f"valid_{h}"), F.col("entry"))).over(zone)) for h in horizons})
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
+
+
+def panel(df: DataFrame, horizon: int) -> DataFrame:
+    """The panel of one horizon: entry, exit, ret, mae, market, valid, best_entry."""
+    out = wide_panel(df, (horizon,))
+    names = {f"{n}_{horizon}": n for n in ("exit", "ret", "mae", "market", "valid")} | {f"best_{horizon}": "best_entry"}
+    return out.withColumnsRenamed(names)
 
 
 def top_weights(df: DataFrame, score: str, budgets: Iterable[float] = BUDGETS) -> DataFrame:
@@ -84,10 +98,23 @@ def collapse(selected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def weighted_quantile(df: DataFrame, value: str, weight: str, q: float, by: tuple[str, ...], out: str) -> DataFrame:
-    """(by, out): the first value in order at which the running share of weight reaches q."""
-    w = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cdf = F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy(*by))
-    return df.withColumn("__cdf", cdf).groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("__cdf") >= q, F.col(value))), F.max(value)).alias(out))
+    """(by, out): the first value in order at which the running share of weight reaches q.
+
+    Equal values are summed first. Approximate cuts split each group into at most 64 parts whose weights are summed,
+    and only the part that holds the quantile is ordered: no task orders a whole group, and the result is exact.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
+    cuts = per.groupBy(*by).agg(F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("__cuts"))
+    per = per.join(cuts, list(by)).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    g = Window.partitionBy(*by)
+    parts = per.groupBy(*by, "__part").agg(F.sum("__w").alias("__sum"))
+    parts = parts.withColumns({"__upto": F.sum("__sum").over(g.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__sum").over(g)})
+    reached = F.when(F.col("__upto") / F.col("__all") >= q, F.col("__part"))
+    parts = parts.withColumn("__hit", F.coalesce(F.min(reached).over(g), F.max("__part").over(g))).where("__part = __hit")
+    inside = per.join(parts.select(*by, "__part", (F.col("__upto") - F.col("__sum")).alias("__before"), "__all"), [*by, "__part"])
+    run = F.sum("__w").over(g.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("__cdf", (F.col("__before") + run) / F.col("__all"))
+    return inside.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("__cdf") >= q, F.col(value))), F.max(value)).alias(out))
 
 
 def _wmean(c, cond=None) -> Column:
@@ -101,20 +128,39 @@ def effective_days(df: DataFrame, by: tuple[str, ...], out: str = "effective_n")
     return per.groupBy(*by).agg(F.sum(F.least(F.lit(1.0), "w")).alias(out))
 
 
-def analytics(panel_: DataFrame, selected: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(collapsed rows, one row of counts and rates for each selection). selected: by, stock_id, date, weight."""
-    rows = panel_.drop("weight", *by).join(selected.where("weight > 0").select(*by, "stock_id", "date", "weight"), ["stock_id", "date"]).where("valid")
-    flat = collapse(rows, by)
+def analytics(df: DataFrame, selected: DataFrame, horizons: Iterable[int], by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(collapsed entries, one row of counts and rates) for each selection and horizon.
+
+    selected: by, stock_id, date, weight. One panel serves all horizons and selections; rows are multiplied by the
+    horizons only after the selection.
+    """
+    horizons = list(horizons)
+    keys = (*by, "horizon")
+    wide = wide_panel(df.drop("weight", *by), horizons)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{n}_{h}").alias(n) for n in ("ret", "mae", "market", "valid")], F.col(f"best_{h}").alias("best_entry")) for h in horizons]))
+    kept = ("stock_id", "date", pat.LABEL, pat.BASE, pat.EVENT, pat.OFFSET, "entry")
+    rows = wide.join(selected.where("weight > 0").select(*by, "stock_id", "date", "weight"), ["stock_id", "date"])
+    rows = rows.select(*by, *kept, "weight", each.alias("x")).select(*by, *kept, "weight", "x.*").where("valid").drop("valid")
+    rows = rows.persist()  # the selected rows only; every measure reads them, and a lost block is computed again
+    flat = collapse(rows, keys)
     hit = F.col(pat.EVENT) > 0
-    raw = rows.groupBy(*by).agg(F.count("*").alias("raw_rows"), F.sum("weight").alias("raw_mass"))
-    stats = flat.groupBy(*by).agg(
+    raw = rows.groupBy(*keys).agg(F.count("*").alias("raw_rows"), F.sum("weight").alias("raw_mass"))
+    loss, win = F.col("ret") < 0, F.col("ret") > 0
+    losses = F.sum(F.when(loss, F.col("ret")))
+    stats = flat.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.sum("weight").alias("mass"), F.sum("duplicate_rows").alias("duplicate_rows"), F.sum("duplicate_mass").alias("duplicate_mass"),
         F.sum((F.col(pat.EVENT) == 0).cast("long")).alias("false_positives"), F.sum(hit.cast("long")).alias("event_hits"), F.sum(F.col("exact_hit").cast("long")).alias("exact_hits"),
         F.coalesce(F.sum(F.when(hit, F.col("weight"))), F.lit(0.0)).alias("hit_mass"), _wmean(F.col(pat.OFFSET).cast("double"), hit).alias("avg_offset"),
         _wmean(F.col("entry") / F.col("best_entry") - 1, hit).alias("avg_slippage"),
+        _wmean("ret").alias("mean_return"), _wmean(F.col("ret") - F.col("market")).alias("excess"), _wmean(flag(win)).alias("win_rate"), _wmean(flag(F.col("ret") < KNIFE)).alias("knife_rate"),
+        F.coalesce(_wmean("ret", win), F.lit(0.0)).alias("avg_win"), F.coalesce(_wmean("ret", loss), F.lit(0.0)).alias("avg_loss"),
+        F.when(F.coalesce(losses, F.lit(0.0)) == 0, float("inf")).otherwise(F.try_divide(F.coalesce(F.sum(F.when(win, F.col("ret"))), F.lit(0.0)), F.abs(losses))).alias("profit_factor"),
+        _wmean("mae").alias("mean_mae"), F.min("mae").alias("worst_mae"),
     )
-    truth = panel_.where("valid").agg(F.count_distinct(F.when(hit, F.struct("stock_id", pat.EVENT))).alias("true_events"), F.sum(F.col(pat.BASE).cast("long")).alias("true_bases"))
-    stats = stats.join(raw, list(by)).crossJoin(F.broadcast(truth))  # one row
+    truth = wide.where(hit).select("stock_id", pat.EVENT, pat.BASE, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"valid_{h}").alias("valid")) for h in horizons])).alias("x"))
+    truth = truth.where("x.valid").groupBy(F.col("x.horizon").alias("horizon")).agg(F.count_distinct("stock_id", pat.EVENT).alias("true_events"), F.sum(F.col(pat.BASE).cast("long")).alias("true_bases"))
+    stats = stats.join(raw, list(keys)).join(effective_days(flat, keys), list(keys)).join(F.broadcast(truth), "horizon", "left")  # a row a horizon
+    stats = stats.fillna(0, ["true_events", "true_bases"])
     return flat, stats.withColumns({
         "event_recall": F.coalesce(F.try_divide(F.col("event_hits"), F.col("true_events")), F.lit(0.0)),
         "exact_recall": F.coalesce(F.try_divide(F.col("exact_hits"), F.col("true_bases")), F.lit(0.0)),
@@ -123,37 +169,15 @@ def analytics(panel_: DataFrame, selected: DataFrame, by: tuple[str, ...]) -> tu
 
 
 def forward_returns(df: DataFrame, weight: str = "weight", horizons: Iterable[int] = HORIZONS) -> DataFrame:
-    """One row a horizon: the nineteen measures of the selected entries."""
-    out = None
-    for h in horizons:
-        p = panel(df, h)
-        flat, stats = analytics(p, df.select("stock_id", "date", F.col(weight).alias("weight"), F.lit(h).alias("horizon")), ("horizon",))
-        win, loss = F.col("ret") > 0, F.col("ret") < 0
-        losses = F.sum(F.when(loss, F.col("ret")))
-        m = flat.groupBy("horizon").agg(
-            _wmean("ret").alias("mean_return"), _wmean(F.col("ret") - F.col("market")).alias("excess"), _wmean(flag(win)).alias("win_rate"),
-            F.coalesce(_wmean("ret", win), F.lit(0.0)).alias("avg_win"), F.coalesce(_wmean("ret", loss), F.lit(0.0)).alias("avg_loss"),
-            F.when(F.coalesce(losses, F.lit(0.0)) == 0, float("inf")).otherwise(F.coalesce(F.sum(F.when(win, F.col("ret"))), F.lit(0.0)) / F.abs(F.when(losses != 0, losses))).alias("profit_factor"),
-            _wmean("mae").alias("mean_mae"), F.min("mae").alias("worst_mae"),
-        )
-        one = m.join(effective_days(flat, ("horizon",)), "horizon").join(stats, "horizon")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One row a horizon: the measures of the selected entries."""
+    return analytics(df, df.select("stock_id", "date", F.col(weight).alias("weight")), horizons)[1]
 
 
 def cell_scores(df: DataFrame, selected: DataFrame, horizons: Iterable[int] = HORIZONS) -> DataFrame:
-    """One row for each (budget, horizon) with valid entries: measures, raw score, damping weight and their product.
-
-    The panel depends on the horizon alone, so each is built once and meets all budgets together.
-    """
-    out = None
-    for h in horizons:
-        flat, stats = analytics(panel(df, h), selected, ("budget",))
-        by = ("budget",)
-        m = flat.groupBy(*by).agg(_wmean(F.col("ret") - F.col("market")).alias("excess"), _wmean(flag(F.col("ret") > 0)).alias("win_rate"), _wmean(flag(F.col("ret") < KNIFE)).alias("knife_rate"))
-        one = m.join(effective_days(flat, by), "budget").join(weighted_quantile(flat, "ret", "weight", 0.1, by, "worst_decile"), "budget")
-        one = one.join(weighted_quantile(flat, "mae", "weight", 0.25, by, "tail_mae"), "budget").join(stats, "budget").withColumn("horizon", F.lit(h))
-        out = one if out is None else out.unionByName(one)
+    """One row for each (budget, horizon) with valid entries: measures, raw score, damping weight and their product."""
+    keys = ("budget", "horizon")
+    flat, stats = analytics(df, selected, horizons, ("budget",))
+    out = stats.join(weighted_quantile(flat, "ret", "weight", 0.1, keys, "worst_decile"), list(keys)).join(weighted_quantile(flat, "mae", "weight", 0.25, keys, "tail_mae"), list(keys))
     slip = F.coalesce(F.abs(F.col("avg_slippage")), F.lit(0.0))
     raw = 100 * (
         CELL["excess"] * F.col("excess") + CELL["win_rate"] * (F.col("win_rate") - 0.5) - CELL["worst_decile"] * F.abs(F.least(F.lit(0.0), "worst_decile"))
@@ -171,9 +195,8 @@ def multi_budget(df: DataFrame, score: str, budgets: Iterable[float] = BUDGETS,
 
 def composite_score(df: DataFrame, weight: str = "weight", horizon: int = 10) -> DataFrame:
     """One row: the single-horizon score of a selection."""
-    flat, stats = analytics(panel(df, horizon), df.select("stock_id", "date", F.col(weight).alias("weight"), F.lit(horizon).alias("horizon")), ("horizon",))
-    m = flat.groupBy("horizon").agg(_wmean(F.col("ret") - F.col("market")).alias("excess"), _wmean(flag(F.col("ret") > 0)).alias("win_rate"), _wmean(flag(F.col("ret") < KNIFE)).alias("knife_rate"), _wmean("mae").alias("mean_mae"))
-    m = m.join(weighted_quantile(flat, "ret", "weight", 0.1, ("horizon",), "worst_decile"), "horizon").join(stats.select("horizon", "n_rows", "event_recall", "zone_precision"), "horizon")
+    flat, stats = analytics(df, df.select("stock_id", "date", F.col(weight).alias("weight")), (horizon,))
+    m = stats.join(weighted_quantile(flat, "ret", "weight", 0.1, ("horizon",), "worst_decile"), "horizon")
     c = COMPOSITE
     value = 100 * (
         c["excess"] * F.col("excess") + c["win_rate"] * (F.col("win_rate") - 0.5) - c["worst_decile"] * F.abs(F.least(F.lit(0.0), "worst_decile"))
@@ -186,7 +209,7 @@ def regimes(df: DataFrame, weight: str = "weight", horizon: int = 10) -> DataFra
     """Entries in bull and bear markets: by the date's mean trailing 20-bar return; plain means."""
     s = Series()
     trailing = df.withColumn("__t", s.pct("close", 20)).groupBy("date").agg(F.avg("__t").alias("trailing"))
-    flat, _ = analytics(panel(df, horizon), df.select("stock_id", "date", F.col(weight).alias("weight"), F.lit(1).alias("one")), ("one",))
+    flat, _ = analytics(df, df.select("stock_id", "date", F.col(weight).alias("weight")), (horizon,))
     regime = F.when(F.col("trailing") > 0, "bull").when(F.col("trailing") <= 0, "bear")
     rows = flat.join(trailing, "date", "left").withColumn("regime", regime).where("regime is not null")
     return rows.groupBy("regime").agg(F.avg("ret").alias("mean_return"), F.avg(flag(F.col("ret") > 0)).alias("win_rate"), F.avg(flag(F.col("ret") < KNIFE)).alias("knife_rate"), F.avg("mae").alias("mean_mae"), F.count("*").alias("n_signals"))

@@ -80,7 +80,7 @@ STATS = {"n_rows": None, "raw_rows": None, "raw_mass": 6, "mass": 6, "duplicate_
 
 def _analytics(spark, d):
     df = scored(spark, d)
-    return ev.analytics(ev.panel(df, 10), df.select("stock_id", "date", "weight", F.lit(10).alias("horizon")), ("horizon",))[1]
+    return ev.analytics(df, df.select("stock_id", "date", "weight"), (10,))[1]
 
 
 def chosen(h: int) -> str:
