@@ -10,7 +10,7 @@ process's survival at full depth as the chance of one run.
 
 Small buckets are compared by brute force on sketches, which only nominates: nominated texts form families, and
 each family's shingle sets are then compared exactly, all pairs of it, in blocks. No stage emits pairs: buckets give
-each member's root, blocks give each member's root and number of links. A family's comparison needs the square of
+each member's root, blocks give where components meet, each member's root and its number of links. A family's comparison needs the square of
 its distinct texts, in matrix products, spread over tasks by blocks.
 
 Result per row: class_id (smallest doc_id of its class, linked directly or in a chain), n_links (rows whose
@@ -35,7 +35,7 @@ from tidemark.llm.common import Scratch, bounded, components, factory, map_arrow
 from tidemark.llm.substring_dedup import Texts, _signed, _Words, join_hashes, window_hashes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-SMALL, DEPTH, BLOCK, BINS = 1024, 3, 512, 256
+SMALL, DEPTH, BLOCK, BINS = 256, 3, 512, 256
 _TOP = 1 << 62  # nodes from here on stand for rows without an identifier of their own
 
 
@@ -176,26 +176,30 @@ def _alike(s: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold
 
 
 def nominated(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(a, b) edges from each member to its root in its bucket. rows: path, node, n, sketch."""
+    """(a, b) edges of nominated texts in each bucket. rows: path, node, n, sketch, side.
+
+    A bucket of one side gives an edge from each member to its root. One of two sides (two blocks of a large bucket,
+    each a bucket of its own elsewhere) gives one edge where components of its sides meet.
+    """
 
     def run(batches):
         for t in whole_groups(batches, "path"):
-            path, node, n = (t.column(c).to_numpy() for c in ("path", "node", "n"))
+            path, node, n, side = (t.column(c).to_numpy() for c in ("path", "node", "n", "side"))
             s = _sketches(t.column("sketch"))
             cut = np.append(np.flatnonzero(np.append(True, path[1:] != path[:-1])), len(path)).tolist()
-            roots, i, j = _Roots(len(path)), [], []
-
-            def settle(i, j, s=s, n=n, roots=roots):
-                if i:
-                    i, j = np.concatenate(i), np.concatenate(j)
-                    ok = _alike(s, n, i, j, threshold)
-                    for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                        roots.join(a, b)
-
-            held = 0
+            inside, across, out = _Roots(len(path)), [], []
+
+            def settle(i, j, s=s, n=n, side=side, inside=inside, across=across):
+                i, j = np.concatenate(i), np.concatenate(j)
+                ok = _alike(s, n, i, j, threshold)
+                for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    if side[a] == side[b]:
+                        inside.join(a, b)
+                    else:
+                        across.append((a, b))
+
+            i, j, held = [], [], 0
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if b - a < 2:
-                    continue
                 for x in range(a, b - 1):
                     i.append(np.full(b - x - 1, x))
                     j.append(np.arange(x + 1, b))
@@ -203,13 +207,24 @@ def nominated(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
                     if held > 200_000:
                         settle(i, j)
                         i, j, held = [], [], 0
-            settle(i, j)
-            up = np.array([roots.of(k) for k in range(len(path))], np.int64)
-            at = np.flatnonzero(up != np.arange(len(path)))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[up[at]])], names=["a", "b"])
+            if i:
+                settle(i, j)
+            single = np.ones(len(path), bool)  # rows of buckets of one side
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                single[a:b] = side[a] == side[a:b].min() == side[a:b].max()
+            up = np.array([inside.of(k) for k in range(len(path))], np.int64)
+            at = np.flatnonzero((up != np.arange(len(path))) & single)
+            out += zip(node[at].tolist(), node[up[at]].tolist(), strict=True)
+            met = _Roots(len(path))
+            for a, b in across:
+                a, b = int(up[a]), int(up[b])
+                if met.of(a) != met.of(b):
+                    met.join(a, b)
+                    out.append((int(node[a]), int(node[b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    sorted_ = rows.select("path", "node", "n", "sketch").repartition(parts, "path").sortWithinPartitions("path")
+    sorted_ = rows.select("path", "node", "n", "sketch", "side").repartition(parts, "path").sortWithinPartitions("path")
     return sorted_.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -326,23 +341,25 @@ def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESH
         buckets = level.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("size > 1")
         buckets = scratch.write(buckets, f"buckets{k}")
         chosen = buckets.where(F.col("size") <= small).groupBy("size", "who").agg(F.min("path").alias("path")).select("path")  # the same members once
-        members = level.select("node", "path").join(chosen, "path", "left_semi").join(sets.select("node", "n", "sketch"), "node")
-        edges = scratch.write(nominated(members, threshold, parts), f"edges{k}")
+        chosen = scratch.write(chosen, f"chosen{k}")
+        members = level.select("node", "path").join(bounded(chosen, chosen.count()), "path", "left_semi").join(sets.select("node", "n", "sketch"), "node")
+        edges = scratch.write(nominated(members.withColumn("side", F.lit(0)), threshold, parts), f"edges{k}")
         found = edges if found is None else found.unionByName(edges)
-        hot = buckets.where(F.col("size") > small)
-        if hot.isEmpty():
+        hot = scratch.write(buckets.where(F.col("size") > small).select("path", "size"), f"hot{k}")
+        n_hot = hot.count()
+        if not n_hot:
             break
-        inside = level.join(hot.select("path", "size"), "path").join(sets.select("node", "n", "sketch"), "node")
+        inside = level.join(bounded(hot, n_hot), "path").join(sets.select("node", "n", "sketch"), "node")
         if k < depth:
             inside = inside.withColumn("used", F.coalesce("used", F.unhex(F.lpad(F.hex(F.col("path").bitwiseAND(255)), 2, "0"))))
             level = scratch.write(children(inside, threshold).distinct(), f"level{k + 1}")
             continue
         # still large at full depth: blocks against blocks
-        nb = F.ceil(F.col("size") / (small // 2)).cast("int")
+        nb = F.ceil(F.col("size") / (2 * block)).cast("int")
         inside = inside.withColumn("nb", nb).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
         inside = inside.select("node", "n", "sketch", "path", "mine", other)
-        inside = inside.withColumn("path", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")))
+        inside = inside.withColumns({"path": F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")), "side": F.col("mine")})
         edges = scratch.write(nominated(inside, threshold, parts), "edges-blocks")
         found = found.unionByName(edges)
 

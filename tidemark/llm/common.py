@@ -140,22 +140,23 @@ def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, label): label is the smallest node of its component. edges: (a long, b long), any order.
 
     Large-star and small-star steps in turn (Kiveris et al., 2014) until the edges stay as they are:
-    O(log n) rounds, every group is aggregated on the map side first, and each round is a written table.
+    O(log n) rounds. Minima are aggregated on the map side and written, so a join has two plain exchanges and a hub's
+    partition can be split; each round is a written table.
     """
     e = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most):
         # large star: neighbours larger than the node hang under the node's smallest neighbour (or itself)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.write(large, "large")
         # small star: smaller neighbours and the node itself hang under the smallest
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
+        low2 = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.write(small, "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(e)
+        scratch.drop(e, low, large, low2)
         e = new
         if before is not None and tuple(now) == tuple(before):
             break
