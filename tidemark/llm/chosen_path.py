@@ -414,3 +414,21 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_texts(docs).select("doc_id", "class_id", "n_links", "kept")
+
+
+#: All pairs that share a shingle, their exact similarity, and components by a recursive walk.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+lk AS (
+  SELECT x, y FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c * 9 >= 4 * (p.n + q.n)
+  UNION ALL SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.doc_id < b.doc_id WHERE len(a.w) = 0 AND len(b.w) = 0),
+bi AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+re(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT re.doc_id, bi.y FROM re JOIN bi ON bi.x = re.r),
+cl AS (SELECT doc_id, min(r) AS class_id FROM re GROUP BY 1),
+ct AS (SELECT x AS doc_id, count(*) AS n_links FROM bi GROUP BY 1)
+SELECT cl.doc_id, class_id, coalesce(n_links, 0) AS n_links, cl.doc_id = class_id AS kept FROM cl LEFT JOIN ct USING (doc_id)
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op8_chosen_path": chosen_path.OP8_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
 }

@@ -289,3 +289,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int | None = N
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs)
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS m FROM p GROUP BY k HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT p.doc_id, p.i FROM p JOIN f USING (k) WHERE p.doc_id > f.m),
+x AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM d),
+c AS (SELECT x.doc_id, x.i, x.word, max(CASE WHEN s.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM x LEFT JOIN s ON s.doc_id = x.doc_id AND s.i = x.i),
+a AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
