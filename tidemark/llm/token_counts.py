@@ -37,15 +37,17 @@ class CountTree:
         pieces = encoder.split(text)
         self.leaves = [pieces[i : i + RUN] for i in range(0, len(pieces), RUN)] or [[]]
         self.wide = 1 << (len(self.leaves) - 1).bit_length()
-        self.tokens = np.zeros(2 * self.wide, np.int64)
-        self.chars = np.zeros(2 * self.wide, np.int64)
-        sizes = encoder.sizes(pieces)
-        for k, leaf in enumerate(self.leaves):
-            self.tokens[self.wide + k] = sum(sizes[k * RUN : (k + 1) * RUN])
-            self.chars[self.wide + k] = sum(map(len, leaf))
-        for node in range(self.wide - 1, 0, -1):
-            self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
+        self.tokens, self.chars = np.zeros(2 * self.wide, np.int64), np.zeros(2 * self.wide, np.int64)
+        if pieces:
+            at = np.arange(0, len(pieces), RUN)
+            below = slice(self.wide, self.wide + len(self.leaves))
+            self.tokens[below] = np.add.reduceat(encoder.sizes(pieces), at)
+            self.chars[below] = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, len(pieces)), at)
+        width = self.wide
+        while width > 1:  # a level from the one below
+            for tree in (self.tokens, self.chars):
+                tree[width // 2 : width] = tree[width : 2 * width : 2] + tree[width + 1 : 2 * width : 2]
+            width //= 2
 
     def count(self) -> int:
         return int(self.tokens[1])
@@ -66,7 +68,7 @@ class CountTree:
     def _set(self, leaf: int, pieces: list[str]) -> None:
         self.leaves[leaf] = pieces
         node = self.wide + leaf
-        self.tokens[node], self.chars[node] = sum(self.encoder.sizes(pieces)), sum(map(len, pieces))
+        self.tokens[node], self.chars[node] = self.encoder.sizes(pieces).sum(), sum(map(len, pieces))
         node //= 2
         while node:
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -79,25 +81,18 @@ class CountTree:
         end = max(start, min(end, size))
         first, before = self._find(start)
         # back: leaves from which to split anew, until enough pre-tokens stand before the edit
-        while first and sum(1 for _ in self._until(first, start - before)) < BACK:
+        while first and self._ended(first, start - before) < BACK:
             first -= 1
             before -= int(self.chars[self.wide + first])
         last, upto = self._find(max(start, end - 1))
-        upto += int(self.chars[self.wide + last])
         old = [p for leaf in self.leaves[first : last + 1] for p in leaf]
         # the split restarts at an old boundary, BACK pre-tokens before the edit and not inside white space
-        at, ends = before, []
-        for p in old:
-            at += len(p)
-            ends.append(at)
-        keep = sum(e <= start for e in ends)
-        keep = max(0, keep - BACK)
-        while keep and (old[keep - 1].isspace() or old[keep][:1].isspace() and old[keep].isspace()):
+        ends = before + np.cumsum(np.fromiter(map(len, old), np.int64, len(old)))
+        keep = max(0, int(np.searchsorted(ends, start, side="right")) - BACK)
+        while keep and (old[keep - 1].isspace() or old[keep].isspace()):
             keep -= 1
-        if first == 0 or keep:
-            pass
-        else:  # no safe boundary in these leaves: take all the text before
-            first, before, keep = 0, 0, 0
+        if first and not keep:  # no safe boundary in these leaves: take all the text before
+            first, before = 0, 0
             old = [p for leaf in self.leaves[: last + 1] for p in leaf]
         head = old[:keep]
         from_ = before + sum(map(len, head))
@@ -108,33 +103,24 @@ class CountTree:
         while True:
             done = last + 1 >= len(self.leaves)
             pieces = self.encoder.split(text if done else text + "".join(self.leaves[last + 1]))
-            old_ends, at = set(), from_
             rest = [p for leaf in self.leaves[first : last + 1 + (not done)] for p in leaf][keep:]
-            for p in rest:
-                at += len(p)
-                if at >= end and not p.isspace():
-                    old_ends.add(at + shift)
-            at, stop = from_, None
-            for i, p in enumerate(pieces):
-                at += len(p)
-                if at > edge and at in old_ends and not p.isspace() and i + 1 < len(pieces):
-                    stop = i + 1
+            rest_ends = from_ + np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest))) + shift
+            new_ends = from_ + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            stop = behind = None
+            for i in range(int(np.searchsorted(new_ends, edge, side="right")), len(pieces) - 1):
+                j = int(np.searchsorted(rest_ends, new_ends[i]))
+                if j < len(rest) and rest_ends[j] == new_ends[i] and not pieces[i].isspace() and not rest[j].isspace():
+                    stop, behind = i + 1, j + 1
                     break
             if stop is not None or done:
                 break
             last += 1
             text += "".join(self.leaves[last])
         if stop is None:
-            self.encoded += sum(map(len, pieces))
+            self.encoded += int(new_ends[-1]) - from_ if pieces else 0
             new_pieces = pieces
         else:
-            self.encoded += sum(map(len, pieces[:stop]))
-            at, behind = from_, 0
-            for i, p in enumerate(rest):
-                at += len(p)
-                if at + shift == from_ + sum(map(len, pieces[:stop])) and at >= end:
-                    behind = i + 1
-                    break
+            self.encoded += int(new_ends[stop - 1]) - from_
             new_pieces = pieces[:stop] + rest[behind:]
             if not done:
                 last += 1
@@ -143,13 +129,15 @@ class CountTree:
             if self.leaves[leaf]:
                 self._set(leaf, [])
 
-    def _until(self, leaf: int, chars: int):
-        at = 0
+    def _ended(self, leaf: int, chars: int) -> int:
+        """Pre-tokens of a leaf that end within its first ``chars`` characters, counted up to BACK."""
+        at = n = 0
         for p in self.leaves[leaf]:
             at += len(p)
-            if at > chars:
-                return
-            yield p
+            if at > chars or n == BACK:
+                break
+            n += 1
+        return n
 
 
 def planned_edits(text: str) -> list[tuple[int, int, str]]:
@@ -164,9 +152,9 @@ def count_edited(docs: DataFrame, vocabulary: str, pattern: str, edits=planned_e
 
     @factory
     def start():
-        from tidemark.llm.tokens import ByteEncoder
+        from tidemark.llm.tokens import byte_encoder
 
-        encoder = ByteEncoder(vocabulary, pattern)
+        encoder = byte_encoder(vocabulary, pattern)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []

@@ -122,6 +122,18 @@ def word_encoder(path: str, end: int | None = None) -> WordEncoder:
     return WordEncoder(path, end)
 
 
+class _Sizes(dict):
+    """Pre-token -> its token count, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self.encode(piece))
+        return n
+
+
 class ByteEncoder:
     """Counts and ids of ``byte_bpe_50k.tiktoken`` (byte-level BPE), pre-token by pre-token."""
 
@@ -132,24 +144,22 @@ class ByteEncoder:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, int] = {}
+        self.known = _Sizes(self.encoding.encode_ordinary)
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def sizes(self, pieces: list[str]) -> list[int]:
+    def sizes(self, pieces: list[str]) -> np.ndarray:
         """Token count of each pre-token."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        one = self.encoding.encode_ordinary
-        out = []
-        for p in pieces:
-            n = known.get(p)
-            if n is None:
-                n = known[p] = len(one(p))
-            out.append(n)
-        return out
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
+
+
+@functools.cache
+def byte_encoder(path: str, pattern: str) -> ByteEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return ByteEncoder(path, pattern)
