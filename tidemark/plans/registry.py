@@ -71,4 +71,4 @@ def on_bars(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None, *
     register(name, lambda spark, d: run(lineitem_bars(spark, d)), sql, columns)
 
 
-from tidemark.plans import evaluation, patterns, recurrences, relational, windows  # noqa: E402, F401
+from tidemark.plans import evaluation, models, patterns, recurrences, relational, windows  # noqa: E402, F401
