@@ -53,14 +53,14 @@ def plain_crc(data, poly, width):
     return c
 
 
-def stream(x, depth, write, number=0):
-    head = bytes([0xFF, 0xF8, 7 << 4, {8: 1, 16: 4, 24: 6}[depth] << 1]) + flac.utf8_number(number) + (len(x) - 1).to_bytes(2, "big")
+def stream(x, depth, write, number=0, code=0):
+    head = bytes([0xFF, 0xF8, 7 << 4, code << 4 | {8: 1, 16: 4, 24: 6}[depth] << 1]) + flac.utf8_number(number) + (len(x) - 1).to_bytes(2, "big")
     head += bytes([plain_crc(head, 0x07, 8)])
     b = Bits()
     write(b)
     frame = head + b.bytes()
     frame += plain_crc(frame, 0x8005, 16).to_bytes(2, "big")
-    packed = (8000 << 44) | ((depth - 1) << 36) | len(x)
+    packed = (8000 << 44) | ((code if code < 8 else 1) << 41) | ((depth - 1) << 36) | len(x)
     info = len(x).to_bytes(2, "big") * 2 + bytes(6) + packed.to_bytes(8, "big") + bytes(16)
     return b"fLaC" + bytes([0, 0, 0, 34]) + info + bytes([0x84, 0, 0, 4]) + b"abcd" + frame
 
@@ -129,6 +129,37 @@ def test_streams_of_other_encoders():
         assert len(got) == 1 and got[0][0] == 0 and (got[0][1] == want).all()
 
 
+def test_channels():
+    """Three channels by themselves, and stereo by its three differences; fixed order 1 with their own parameters."""
+    r = np.random.default_rng(9)
+    left, right, third = (np.cumsum(r.integers(-90, 90, 100)) for _ in range(3))
+
+    def writer(*parts):
+        def write(b):
+            for x, depth in parts:
+                b.put(9 << 1, 8)
+                b.put(int(x[0]), depth)
+                b.put(0, 2)
+                b.put(0, 4)
+                b.put(6, 4)
+                for v in np.diff(x):
+                    b.rice(int(v), 6)
+
+        return write
+
+    side, mid = left - right, (left + right) >> 1
+    media = [
+        stream(left, 16, writer((left, 16), (right, 16), (third, 16)), code=2), stream(left, 16, writer((left, 16), (side, 17)), code=8),
+        stream(left, 16, writer((side, 17), (right, 16)), code=9), stream(left, 16, writer((mid, 16), (side, 17)), code=10), stream(left, 16, writer((left, 16))),
+    ]
+    got = flac.decode(media)
+    assert (got[0][0][1] == np.stack([left, right, third], 1)).all() and (got[4][0][1] == left).all()
+    for blocks in got[1:4]:
+        assert (blocks[0][1] == np.stack([left, right], 1)).all()
+    assert flac.blocks_of(media)[1] == [(0, np.stack([left, right], 1).astype("<i2").tobytes())]
+    assert flac.pcm(np.array([-3, 70_000]), 24) == b"\xfd\xff\xff" + (70_000).to_bytes(3, "little")
+
+
 def test_checksums():
     good = flac.encode(cases())[8]
     for at in (44, 60, 900, len(good) - 1):

@@ -12,9 +12,9 @@ parameter that the mean asks for; frames of one value are constant, and frames t
 CRC-16 of all frames at once: the code is linear, so each byte contributes a table value for its distance from the
 end, and a frame's checksum is the exclusive or of its bytes' values.
 
-Supported streams: mono, 4 to 24 bits a sample, fixed or variable block size up to 65,535 samples, Rice parameters of
-4 and 5 bits with escapes, all partition orders, wasted bits. Streams with more channels are refused with
-``ValueError``; so are bad checksums. Defined cases: a null text counts as empty and gives one padded block; an empty
+Supported streams: one to eight channels, stereo as left and right, left and side, side and right, or mid and side; 4
+to 24 bits a sample, fixed or variable block size up to 65,535 samples, Rice parameters of 4 and 5 bits with escapes,
+all partition orders, wasted bits. Broken streams and bad checksums raise ``ValueError``. Defined cases: a null text counts as empty and gives one padded block; an empty
 table gives no rows; repeated rows are coded alike; other columns are ignored.
 """
 
@@ -286,8 +286,6 @@ def _frames_of(media: bytes, base: int) -> tuple[dict, list[tuple[int, int, int,
             break
     if info is None:
         raise ValueError("no stream info")
-    if info["channels"] != 1:
-        raise ValueError("only mono streams are supported")
     return info, base + at
 
 
@@ -296,7 +294,7 @@ _DEPTH = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
 
 
 def decode(media: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
-    """For each stream, its PCM blocks: (offset of the first sample, samples).
+    """For each stream, its PCM blocks: (offset of the first sample, samples; a column a channel if there are several).
 
     Frames of one stream follow each other at places known only when the frame before is decoded, so streams are
     walked together: step f decodes frame f of every stream that has one.
@@ -315,8 +313,8 @@ def decode(media: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     live = np.flatnonzero(at < base[1:])
     while len(live):
         start = at[live]
-        body, length, own = _headers(bits.raw, start, depth[live])
-        ends, samples = _decode_subframes(bits, body * 8, length, own)
+        body, length, own, code = _headers(bits.raw, start, depth[live])
+        ends, samples = _channels(bits, body * 8, length, own, code)
         ends = (ends + 7) // 8
         checks.append((start, ends - start))
         for k, i in enumerate(live.tolist()):
@@ -334,13 +332,45 @@ def decode(media: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     return out
 
 
-def _headers(raw: np.ndarray, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the subframe starts (byte), block size and bits a sample of the frames at these bytes; verifies CRC-8."""
+#: Channel assignments of stereo differences, and the channel that is the side and has one bit more.
+LEFT_SIDE, SIDE_RIGHT, MID_SIDE = 8, 9, 10
+_SIDE = {LEFT_SIDE: 1, SIDE_RIGHT: 0, MID_SIDE: 1}
+
+
+def _channels(bits: _Streams, at: np.ndarray, length: np.ndarray, depth: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ends (bits) and samples of frames whose subframes start at these bits; channel c of all frames together."""
+    if (code > MID_SIDE).any():
+        raise ValueError("a reserved channel assignment")
+    count = np.where(code < 8, code + 1, 2)
+    at = at.copy()
+    parts: list[list[np.ndarray]] = [[] for _ in at]
+    for c in range(int(count.max())):
+        w = np.flatnonzero(count > c)
+        side = np.array([_SIDE.get(int(x)) == c for x in code[w]], np.int64)
+        at[w], got = _decode_subframes(bits, at[w], length[w], depth[w] + side)
+        for k, s in zip(w.tolist(), got, strict=True):
+            parts[k].append(s)
+    out = []
+    for x, own in zip(code.tolist(), parts, strict=True):
+        if len(own) == 1:
+            out.append(own[0])
+            continue
+        if x == LEFT_SIDE:
+            own = [own[0], own[0] - own[1]]
+        elif x == SIDE_RIGHT:
+            own = [own[0] + own[1], own[1]]
+        elif x == MID_SIDE:
+            mid = own[0] * 2 + (own[1] & 1)
+            own = [(mid + own[1]) >> 1, (mid - own[1]) >> 1]
+        out.append(np.stack(own, 1))
+    return at, out
+
+
+def _headers(raw: np.ndarray, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the first subframe starts (byte), block size, bits a sample and channel code of frames; verifies CRC-8."""
     if ((raw[at] != 0xFF) | (raw[at + 1] & 0xFC != 0xF8)).any():
         raise ValueError("frame sync is lost")
     size_code, rate_code = raw[at + 2] >> 4, raw[at + 2] & 15
-    if (raw[at + 3] >> 4 != 0).any():
-        raise ValueError("only mono streams are supported")
     depth_code = (raw[at + 3] >> 1) & 7
     own = depth.copy()
     for c, b in _DEPTH.items():
@@ -359,7 +389,7 @@ def _headers(raw: np.ndarray, at: np.ndarray, depth: np.ndarray) -> tuple[np.nda
         w = np.flatnonzero(size == n)
         if (crc8(raw[at[w][:, None] + np.arange(n)[None, :]]) != raw[p[w]]).any():
             raise ValueError("a frame header's checksum is wrong")
-    return p + 1, length, own
+    return p + 1, length, own, (raw[at + 3] >> 4).astype(np.int64)
 
 
 def _decode_subframes(bits: _Streams, at: np.ndarray, length: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -503,9 +533,18 @@ def _rice(bits, x, rows, at, k, first, count) -> np.ndarray:
     return out
 
 
+def pcm(samples: np.ndarray, bits: int) -> bytes:
+    """Interleaved PCM: up to 8 bits as unsigned bytes, more as signed little-endian in as many bytes as they need."""
+    if bits <= 8:
+        return (samples + (1 << (bits - 1))).astype(np.uint8).tobytes()
+    width = (bits + 7) // 8
+    return samples.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
+
+
 def blocks_of(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """PCM blocks of 8-bit streams as the bytes that were stored, with sample offsets."""
-    return [[(o, (s + 128).astype(np.uint8).tobytes()) for o, s in blocks] for blocks in decode(media)]
+    """PCM blocks of streams, with the offsets of their first samples."""
+    depths = [_frames_of(m, 0)[0]["bits"] for m in media]
+    return [[(o, pcm(s, d)) for o, s in blocks] for d, blocks in zip(depths, decode(media), strict=True)]
 
 
 def payload_of(text: str | None) -> bytes:
