@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import advanced as adv
@@ -97,9 +97,8 @@ def with_labels(df: DataFrame, s: Series, left: int = 8, right: int = 13) -> Dat
 
 
 def min_history(df: DataFrame, rows: int = 252, key: str = "stock_id") -> DataFrame:
-    """Series with at least so many bars."""
-    enough = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= rows).select(key)
-    return df.join(enough, key, "left_semi")
+    """Series with at least so many bars. The count is a window by series, which the features partition by anyway."""
+    return df.withColumn("__bars", F.count("*").over(Window.partitionBy(key))).where(F.col("__bars") >= rows).drop("__bars")
 
 
 def build_features(df: DataFrame, min_rows: int = 252, keep_helpers: bool = False, groups: Iterable[str] | None = None) -> DataFrame:
