@@ -30,11 +30,11 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int = END, id_col: str = "d
     def start():
         from tidemark.llm.tokens import word_encoder
 
-        encoder, before = word_encoder(vocabulary, end), 0
+        encoder, before = word_encoder(vocabulary), 0
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal before
-            ids = encoder.encode(b.column("text").to_pylist())
+            ids = encoder.encode(b.column("text").to_pylist(), end)
             n = np.array([len(x) // 4 for x in ids], np.int64)
             at = before + np.cumsum(n) - n
             before += int(n.sum())

@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pre-tokens remembered by a worker at most.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 class _Numbers(dict):
@@ -41,7 +41,7 @@ class WordEncoder:
     #: Letters, white space, full stops and commas: where no two signs touch, white space around signs is all the pattern does.
     PROSE = re.compile("[\t-\r A-Za-zÀ-ÖØ-öø-ÿ.,]*")
 
-    def __init__(self, path: str, end: int | None = None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -53,7 +53,6 @@ class WordEncoder:
         spec["added_tokens"] = []
         spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.pieces = Tokenizer.from_str(json.dumps(spec))
-        self.tail = b"" if end is None else np.array([end], "<u4").tobytes()
         self.generation = 0
         self._forget()
 
@@ -101,9 +100,9 @@ class WordEncoder:
     def encode_whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end id if there is one."""
-        out = []
+        out, tail = [], b"" if end is None else np.array([end], "<u4").tobytes()
         for t, at in zip(texts, self.numbers(texts), strict=True):
             if at is None:
                 ids = self.encode_whole(t)
@@ -112,14 +111,14 @@ class WordEncoder:
                 size = self.starts[at + 1] - begin
                 upto = np.cumsum(size)
                 ids = self.flat[np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
-            out.append(ids.tobytes() + self.tail)
+            out.append(ids.tobytes() + tail)
         return out
 
 
 @functools.cache
-def word_encoder(path: str, end: int | None = None) -> WordEncoder:
-    """One encoder for all tasks of a Python worker."""
-    return WordEncoder(path, end)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: what it remembers is held once."""
+    return WordEncoder(path)
 
 
 class _Sizes(dict):
