@@ -16,7 +16,7 @@ from tidemark.llm import chosen_path, exact_dedup, mixing, packing, quality
 from tidemark.llm.common import Scratch
 
 #: Shares of tokens after mixing; "good" keeps its tokens, the others are thinned to these proportions of it.
-TARGETS = {"good": 0.90, "poor": 0.04, "toxic": 0.06}
+TARGETS = {"good": 0.97, "poor": 0.01, "toxic": 0.02}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

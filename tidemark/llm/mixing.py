@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
 
-SAMPLE, BUCKETS = 4_000, 1 << 14
+SAMPLE, BUCKETS, TELLING = 10_000, 1 << 14, 1_000
 MU, ROUNDS, CLOSE, SNAP = 1e-5, 100, 3e-4, 0.05
 #: Shares of tokens that the mix shall have.
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
@@ -73,36 +73,45 @@ class Features:
 
 
 class Softmax:
-    """Multinomial logistic regression over hashed presence, each text scaled to unit length."""
+    """Multinomial logistic regression over hashed presence, on the ``TELLING`` buckets that tell domains apart best."""
 
     def __init__(self, domains: list[str], weights: np.ndarray, bias: np.ndarray):
         self.domains, self.weights, self.bias = domains, weights, bias
 
     @staticmethod
-    def fit(buckets: list[np.ndarray], y: list[str], rounds: int = 80, rate: float = 0.05, l2: float = 1e-6) -> Softmax:
+    def fit(buckets: list[np.ndarray], y: list[str], rounds: int = 80, rate: float = 0.05, l2: float = 1e-4, telling: int = TELLING) -> Softmax:
         domains = sorted(set(y))
         k, n = len(domains), len(y)
-        w, b = np.zeros((BUCKETS, max(k, 1))), np.zeros(max(k, 1))
+        weights = np.zeros((BUCKETS, max(k, 1)))
         if k < 2:
-            return Softmax(domains, w, b)
+            return Softmax(domains, weights, np.zeros(max(k, 1)))
         target = np.eye(k)[[domains.index(v) for v in y]]
-        size = np.array([len(x) for x in buckets])
-        scale = 1 / np.sqrt(np.maximum(size, 1))
-        col, row = np.concatenate(buckets), np.repeat(np.arange(n), size)
+        share = target.mean(0)
+        col, row = np.concatenate(buckets), np.repeat(np.arange(n), [len(x) for x in buckets])
+        # chi-square of presence against domain
+        seen = np.stack([np.bincount(col, target[row, j], BUCKETS) for j in range(k)], 1)
+        expected = np.maximum(seen.sum(1, keepdims=True) * share, 1e-9)
+        kept = np.argsort(-((seen - expected) ** 2 / expected).sum(1), kind="stable")[:telling]
+        number = np.full(BUCKETS, -1)
+        number[kept] = np.arange(len(kept))
+        fine = number[col] >= 0
+        col, row = number[col[fine]], row[fine]
+        w, b = np.zeros((len(kept), k)), np.log(share)
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(k), np.zeros(k)
         for step in range(1, rounds + 1):
-            z = np.stack([np.bincount(row, w[col, j] * scale[row], n) for j in range(k)], 1) + b
+            z = np.stack([np.bincount(row, w[col, j], n) for j in range(k)], 1) + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             d = (p - target) / n
-            g = np.stack([np.bincount(col, (d[:, j] * scale)[row], BUCKETS) for j in range(k)], 1) + l2 * w
+            g = np.stack([np.bincount(col, d[row, j], len(kept)) for j in range(k)], 1) + l2 * w
             gb = d.sum(0)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             c1, c2 = 1 - 0.9**step, 1 - 0.999**step
             w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-            b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-        return Softmax(domains, w, b)
+            b = b - rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+        weights[kept] = w
+        return Softmax(domains, weights, b)
 
     def posteriors(self, buckets: list[np.ndarray]) -> np.ndarray:
         if len(self.domains) < 2:
@@ -112,7 +121,7 @@ class Softmax:
         if size.sum():
             col, row = np.concatenate(buckets), np.repeat(np.arange(len(size)), size)
             for j in range(z.shape[1]):
-                z[:, j] = np.bincount(row, self.weights[col, j], len(size)) / np.sqrt(np.maximum(size, 1))
+                z[:, j] = np.bincount(row, self.weights[col, j], len(size))
         z += self.bias
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -122,7 +131,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, vocabulary: str, most: int
     """labelled: doc_id, domain. At most ``most`` rows reach the driver, as bucket numbers."""
     prepare(docs.sparkSession)
     y = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("y"))
-    ids = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").cast("long").alias("id"), "y")
+    y = y.select(F.col("doc_id").cast("long").alias("id"), "y").join(docs.select(F.col("doc_id").cast("long").alias("id")), "id", "left_semi")
+    ids = y.orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids), "id")  # at most SAMPLE ids
 
     @factory
@@ -224,7 +234,8 @@ def fit_rates(rows: DataFrame, shares: np.ndarray, mu: float = MU, rounds: int =
 def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocabulary: str, anchor: str | None = None, snap: float = SNAP, most: int = SAMPLE) -> DataFrame:
     """doc_id, row, tokens, domain (likeliest), posterior (its own), rate, copies: a row for each row of docs.
 
-    The mix has as many tokens as docs; with an anchor, as many as leave that domain's total as it is.
+    The mix has as many tokens as docs. With an anchor that domain's total stays as it is, and the others are thinned
+    where they have more than their target in proportion to it; nothing is repeated to fill a target.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -238,8 +249,9 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocab
             want = want / want.sum()
             if anchor in domains and want[domains.index(anchor)] > 0:
                 j = domains.index(anchor)
-                natural = rows.agg((F.sum(F.col("tokens") * F.col("p")[j]) / F.sum("tokens"))).first()[0] or 0.0
-                want = want * natural / want[j]
+                shares = rows.agg(*[(F.sum(F.col("tokens") * F.col("p")[k]) / F.sum("tokens")).alias(f"s{k}") for k in range(len(domains))]).first()
+                natural = np.array([v or 0.0 for v in shares])
+                want = np.minimum(want * natural[j] / want[j], natural)
             steps = fit_rates(rows, want)
 
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
