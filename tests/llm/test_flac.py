@@ -171,6 +171,31 @@ def test_checksums():
     assert flac.crc16(data, np.array([0, 10]), np.array([100, 333])).tolist() == [plain_crc(good[:100], 0x8005, 16), plain_crc(good[10:343], 0x8005, 16)]
 
 
+def test_samples_that_look_like_a_frame():
+    """A verbatim frame that holds a right header: the scan gives up, walking does not."""
+    head = bytes([0xFF, 0xF8, 7 << 4, 1 << 1, 0, 0, 63])
+    head += bytes([plain_crc(head, 0x07, 8)])
+    data = head * 8
+    x = np.frombuffer(data, np.uint8).astype(np.int64) - 128
+
+    def write(b):
+        b.put(1 << 1, 8)
+        for v in x:
+            b.put(int(v), 8)
+
+    plain = bytes((v + 128) & 0xFF for v in x)
+    shifted = np.frombuffer(bytes((v - 128) & 0xFF for v in data), np.uint8).astype(np.int64) - 128
+
+    def raw(b):  # the bytes in the stream are the header's
+        b.put(1 << 1, 8)
+        for v in data:
+            b.put(v, 8)
+
+    media = [stream(x, 8, write), stream(shifted, 8, raw), flac.encode([plain])[0]]
+    got = flac.decode(media)
+    assert (got[0][0][1] == x).all() and len(got[1]) == 1 and [int(v) & 0xFF for v in got[1][0][1]] == list(data)
+
+
 def test_query_columns(spark):
     texts = [None, "", "x" * 64, "é" * 3000, "the same", "the same"]
     df = spark.createDataFrame([(i, t, b"m") for i, t in enumerate(texts)], "doc_id long, text string, media binary")

@@ -296,40 +296,82 @@ _DEPTH = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
 def decode(media: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     """For each stream, its PCM blocks: (offset of the first sample, samples; a column a channel if there are several).
 
-    Frames of one stream follow each other at places known only when the frame before is decoded, so streams are
-    walked together: step f decodes frame f of every stream that has one.
+    Frames are found by their sync codes: a place whose header checksum is right starts a frame if the frame checksum
+    of what stands between it and the next such place is right too. All frames of all streams are then decoded
+    together. A stream where that fails (samples that look like a header) is walked from frame to frame.
     """
     base = np.cumsum([0] + [len(m) for m in media])
-    infos, at = [], np.zeros(len(media), np.int64)
+    infos, first = [], np.zeros(len(media), np.int64)
     for i, m in enumerate(media):
-        info, at[i] = _frames_of(m, int(base[i]))
+        info, first[i] = _frames_of(m, int(base[i]))
         infos.append(info)
     bits = _Streams(media)
     depth = np.array([x["bits"] for x in infos], np.int64)
-    out: list[list[tuple[int, np.ndarray]]] = [[] for _ in media]
-    done = np.zeros(len(media), np.int64)
     want = np.array([x["samples"] for x in infos], np.int64)
-    checks: list[tuple[np.ndarray, np.ndarray]] = []
-    live = np.flatnonzero(at < base[1:])
+    out: list[list[tuple[int, np.ndarray]]] = [[] for _ in media]
+    starts, ends, owner = _found(bits.raw, first, base, depth)
+    if len(starts):
+        body, length, own, code, _ = _parsed(bits.raw, starts, depth[owner])
+        stop, samples = _channels(bits, body * 8, length, own, code)
+        if ((stop + 7) // 8 != ends).any():
+            raise ValueError("a frame does not end where the next one starts")
+        before = np.cumsum(length) - length
+        offset = before - before[np.searchsorted(owner, owner)]
+        for k, (i, o) in enumerate(zip(owner.tolist(), offset.tolist(), strict=True)):
+            out[i].append((o, samples[k]))
+    whole = np.zeros(len(media), bool)
+    whole[owner] = True
+    rest = np.flatnonzero(~whole & (first < base[1:]))
+    if len(rest):
+        _walk(bits, out, rest, first, base, depth)
+    done = np.array([sum(len(x) for _, x in blocks) for blocks in out], np.int64)
+    if ((want > 0) & (want != done)).any():
+        raise ValueError("samples are missing")
+    return out
+
+
+def _found(raw: np.ndarray, first: np.ndarray, base: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (of what the checksum covers) and streams of frames, for streams all of whose frames are sure."""
+    at = np.flatnonzero((raw[:-16] == 0xFF) & (raw[1:-15] & 0xFC == 0xF8))
+    owner = np.searchsorted(base, at, side="right") - 1
+    fine = at >= first[owner]
+    at, owner = at[fine], owner[fine]
+    fine = _parsed(raw, at, depth[owner])[4]
+    at, owner = at[fine], owner[fine]
+    none = np.zeros(0, np.int64)
+    if not len(at):
+        return none, none, none
+    last = np.append(owner[1:] != owner[:-1], True)
+    ends = np.where(last, base[owner + 1], np.append(at[1:], 0)) - 2
+    good = ends > at
+    given = raw[ends].astype(np.int64) << 8 | raw[ends + 1]
+    good[good] = crc16(raw, at[good], (ends - at)[good]) == given[good]
+    bad = np.zeros(len(first), bool)
+    bad[owner[~good]] = True
+    head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    bad[owner[head][at[head] != first[owner[head]]]] = True
+    sure = ~bad[owner]
+    return at[sure], ends[sure], owner[sure]
+
+
+def _walk(bits: _Streams, out: list, live: np.ndarray, first: np.ndarray, base: np.ndarray, depth: np.ndarray) -> None:
+    """Decodes streams frame by frame, all of them in step, each frame's end giving the next one's start."""
+    at, done = first.copy(), np.zeros(len(first), np.int64)
     while len(live):
         start = at[live]
-        body, length, own, code = _headers(bits.raw, start, depth[live])
+        body, length, own, code, fine = _parsed(bits.raw, start, depth[live])
+        if not fine.all():
+            raise ValueError("frame sync is lost or a header's checksum is wrong")
         ends, samples = _channels(bits, body * 8, length, own, code)
         ends = (ends + 7) // 8
-        checks.append((start, ends - start))
+        given = bits.raw[ends].astype(np.int64) << 8 | bits.raw[ends + 1]
+        if (crc16(bits.raw, start, ends - start) != given).any():
+            raise ValueError("a frame's checksum is wrong")
         for k, i in enumerate(live.tolist()):
             out[i].append((int(done[i]), samples[k]))
         done[live] += length
         at[live] = ends + 2
         live = live[at[live] < base[1:][live]]
-    if checks:
-        starts, sizes = (np.concatenate(x) for x in zip(*checks, strict=True))
-        given = bits.raw[starts + sizes].astype(np.int64) << 8 | bits.raw[starts + sizes + 1]
-        if (crc16(bits.raw, starts, sizes) != given).any():
-            raise ValueError("a frame's checksum is wrong")
-    if ((want > 0) & (want != done)).any():
-        raise ValueError("samples are missing")
-    return out
 
 
 #: Channel assignments of stereo differences, and the channel that is the side and has one bit more.
@@ -339,8 +381,6 @@ _SIDE = {LEFT_SIDE: 1, SIDE_RIGHT: 0, MID_SIDE: 1}
 
 def _channels(bits: _Streams, at: np.ndarray, length: np.ndarray, depth: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ends (bits) and samples of frames whose subframes start at these bits; channel c of all frames together."""
-    if (code > MID_SIDE).any():
-        raise ValueError("a reserved channel assignment")
     count = np.where(code < 8, code + 1, 2)
     at = at.copy()
     parts: list[list[np.ndarray]] = [[] for _ in at]
@@ -366,11 +406,10 @@ def _channels(bits: _Streams, at: np.ndarray, length: np.ndarray, depth: np.ndar
     return at, out
 
 
-def _headers(raw: np.ndarray, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where the first subframe starts (byte), block size, bits a sample and channel code of frames; verifies CRC-8."""
-    if ((raw[at] != 0xFF) | (raw[at + 1] & 0xFC != 0xF8)).any():
-        raise ValueError("frame sync is lost")
-    size_code, rate_code = raw[at + 2] >> 4, raw[at + 2] & 15
+def _parsed(raw: np.ndarray, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the first subframe starts (byte), block size, bits a sample, channel code, and whether a header is right."""
+    size_code, rate_code, code = raw[at + 2] >> 4, raw[at + 2] & 15, (raw[at + 3] >> 4).astype(np.int64)
+    fine = (raw[at] == 0xFF) & (raw[at + 1] & 0xFC == 0xF8) & (size_code > 0) & (rate_code < 15) & (code <= MID_SIDE) & (raw[at + 3] & 1 == 0)
     depth_code = (raw[at + 3] >> 1) & 7
     own = depth.copy()
     for c, b in _DEPTH.items():
@@ -387,9 +426,8 @@ def _headers(raw: np.ndarray, at: np.ndarray, depth: np.ndarray) -> tuple[np.nda
     size = p - at
     for n in np.unique(size).tolist():
         w = np.flatnonzero(size == n)
-        if (crc8(raw[at[w][:, None] + np.arange(n)[None, :]]) != raw[p[w]]).any():
-            raise ValueError("a frame header's checksum is wrong")
-    return p + 1, length, own, (raw[at + 3] >> 4).astype(np.int64)
+        fine[w] &= crc8(raw[at[w][:, None] + np.arange(n)[None, :]]) == raw[p[w]]
+    return p + 1, length, own, code, fine
 
 
 def _decode_subframes(bits: _Streams, at: np.ndarray, length: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
