@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
@@ -80,3 +81,34 @@ def test_defined_cases(spark):
     none = spark.createDataFrame([], labelled.schema)
     assert {x.rate for x in mixing.rated(docs, none, {"fruit": 1.0}, VOCABULARY).collect()} == {1.0}
     assert mixing.rated(docs.limit(0), labelled, {"fruit": 1.0}, VOCABULARY).count() == 0
+
+
+def soft(spark, n=600):
+    """Rows of fit_rates: three domains, nearly certain."""
+    r = np.random.default_rng(5)
+    p = np.full((n, 3), 1e-6)
+    p[np.arange(n), r.choice(3, n, p=[0.6, 0.3, 0.1])] = 1 - 2e-6
+    tokens = r.integers(50, 150, n)
+    return p, tokens, spark.createDataFrame([(int(t), [float(v) for v in x]) for t, x in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+
+
+def test_small_targets_are_met(spark):
+    p, tokens, rows = soft(spark)
+    for small in (0.01, 3e-4):
+        want = np.array([0.7 - small, 0.3, small])
+        steps = mixing.fit_rates(rows, want)
+        got = (tokens * steps.rates(p)[0]) @ p / tokens.sum()
+        assert (np.abs(got - want) <= np.minimum(1e-4, 0.005 * want)).all() and not steps.missed.any()
+
+
+def test_missed_targets_are_reported(spark):
+    p, tokens, rows = soft(spark)
+    want = np.array([0.5, 0.2, 0.3])
+    steps = mixing.fit_rates(rows, want, rounds=2)
+    got = (tokens * steps.rates(p)[0]) @ p / tokens.sum()
+    assert len(steps.residuals) == 2 and np.abs(steps.missed - (got - want)).max() < 1e-4
+    docs, _ = frame(spark, 30)
+    docs = docs.withColumn("text", F.lit("apple pear"))
+    labelled = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("domain"))
+    with pytest.warns(RuntimeWarning, match="targets not met"):
+        mixing.rated(docs, labelled, {"a": 0.9, "b": 0.1}, VOCABULARY)

@@ -15,12 +15,13 @@ within ``SNAP`` of 1 are 1, so that a document the mix leaves alone is neither d
 
 Defined cases: a null text has no tokens; a row without identifier is scored like others; labels outside the
 domains teach nothing; with fewer than two labelled domains every posterior is equal and every rate 1; targets of
-domains that no label names are left out; targets that cannot be met are approached in least squares; repeated rows
-are rows like others; an empty table gives no rows; other columns are kept as they came.
+domains that no label names are left out; targets that cannot be met, or are not within ``ROUNDS`` rounds, are
+approached in least squares and a RuntimeWarning names them; repeated rows are rows like others; an empty table gives no rows; other columns are kept as they came.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
 
 SAMPLE, BUCKETS, TELLING = 10_000, 1 << 14, 1_000
-MU, ROUNDS, CLOSE, SNAP = 1e-5, 100, 3e-4, 0.05
+MU, ROUNDS, SNAP = 1e-5, 100, 0.05
+#: A target is met within CLOSE of all tokens and within NEAR of itself.
+CLOSE, NEAR = 1e-4, 5e-3
 #: Shares of tokens that the mix shall have.
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 
@@ -79,7 +82,7 @@ class Softmax:
         self.domains, self.weights, self.bias = domains, weights, bias
 
     @staticmethod
-    def fit(buckets: list[np.ndarray], y: list[str], rounds: int = 80, rate: float = 0.05, l2: float = 1e-4, telling: int = TELLING) -> Softmax:
+    def fit(buckets: list[np.ndarray], y: list[str], rounds: int = 120, rate: float = 0.05, l2: float = 1e-4, telling: int = TELLING) -> Softmax:
         domains = sorted(set(y))
         k, n = len(domains), len(y)
         weights = np.zeros((BUCKETS, max(k, 1)))
@@ -179,6 +182,7 @@ class Steps:
         root = np.sqrt(min(1.0, (max(values[0], 0.0) / 2 + mu) * self.step))  # half: rates at zero bend the sum less
         self.momentum = (1 - root) / (1 + root)
         self.residuals: list[np.ndarray] = []
+        self.missed = np.zeros(len(gram))
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates after all rounds so far, and the point where the next residual is taken."""
@@ -208,24 +212,34 @@ def _sums(rows: DataFrame, width: int, sums) -> np.ndarray:
 
 
 def fit_rates(rows: DataFrame, shares: np.ndarray, mu: float = MU, rounds: int = ROUNDS, close: float = CLOSE) -> Steps | None:
-    """shares: target of each domain as a part of all tokens (they may sum to any total)."""
+    """shares: target of each domain as a part of all tokens (they may sum to any total).
+
+    ``missed`` of the result is what each domain has over its target, or 0 where the target is met.
+    """
     k = len(shares)
     first = _sums(rows, k * k + 1, lambda p, t: np.append(((p * t[:, None]).T @ p).ravel(), t.sum()))
     total = first[-1]
     if not total or k < 2:
         return None
-    steps = Steps(first[:-1].reshape(k, k) / total, mu)
-    for _ in range(rounds):
+    within = np.where(shares > 0, np.minimum(close, NEAR * shares), close)
+    # the pull towards 1 moves a total by mu * (1 - r): less than the least tolerance
+    steps = Steps(first[:-1].reshape(k, k) / total, min(mu, within.min() / 2))
+    still = 0
+    for left in range(rounds, -1, -1):
 
         def both(p, t, steps=steps):
             r, y = steps.rates(p)
             return np.concatenate([(t * r) @ p, (t * y) @ p])
 
         at = _sums(rows, 2 * k, both) / total
-        if steps.residuals and np.abs(at[:k] - shares).max() < close:
+        over = at[:k] - shares
+        steps.missed = np.where(np.abs(over) > within, over, 0.0)
+        if steps.residuals and not steps.missed.any():
             break
         e = at[k:] - shares
-        if len(steps.residuals) > 3 and np.abs(steps.residuals[-1] - e).max() < close / 100:
+        # one small move may be the turn of a swing
+        still = still + 1 if steps.residuals and np.abs(steps.residuals[-1] - e).max() < within.min() / 100 else 0
+        if still == 3 or not left:
             break
         steps.residuals.append(e)
     return steps
@@ -253,6 +267,9 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocab
                 natural = np.array([v or 0.0 for v in shares])
                 want = np.minimum(want * natural[j] / want[j], natural)
             steps = fit_rates(rows, want)
+            if steps and steps.missed.any():
+                missed = ", ".join(f"{d} {w:.6f} by {m:+.6f}" for d, w, m in zip(domains, want, steps.missed, strict=True) if m)
+                warnings.warn(f"mixing: targets not met after {len(steps.residuals)} rounds: {missed}", RuntimeWarning, stacklevel=2)
 
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
         p = b.column("p").flatten().to_numpy().reshape(b.num_rows, -1)
