@@ -112,3 +112,16 @@ def test_missed_targets_are_reported(spark):
     labelled = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("domain"))
     with pytest.warns(RuntimeWarning, match="targets not met"):
         mixing.rated(docs, labelled, {"a": 0.9, "b": 0.1}, VOCABULARY)
+
+
+def test_copies_meet_the_targets(spark):
+    r = np.random.default_rng(7)
+    kinds = r.choice(3, 4000, p=[0.88, 0.07, 0.05])
+    words = [["apple", "pear", "plum"], ["steel", "iron", "zinc"], ["river", "lake", "sea"]]
+    names = ["fruit", "metal", "water"]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words[k], 8))) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, names[k]) for i, k in enumerate(kinds)], "doc_id long, domain string")
+    want = {"fruit": 0.9, "metal": 0.06, "water": 0.04}
+    got = mixing.rated(docs, labelled, want, VOCABULARY).toPandas()
+    total = (got.tokens * got.copies).groupby(got.domain).sum() / got.tokens.sum()
+    assert all(abs(total[d] - w) < 0.01 for d, w in want.items())

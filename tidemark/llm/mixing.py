@@ -10,8 +10,9 @@ by accelerated projected gradient. A document's step depends on its own posterio
 domain alone, so what a round sends to the driver and back is one number a domain: a task replays the residuals so
 far over its rows (numpy, a few operations a round) and returns its partial totals. Rates are never gathered.
 
-Rates turn into whole copies: the integer part, and one more if a hash of the identifier is under the rest; rates
-within ``SNAP`` of 1 are 1, so that a document the mix leaves alone is neither dropped nor doubled.
+Rates turn into whole copies: the integer part, and one more if a hash of the identifier is under the rest, so
+that the tokens of the copies meet the targets that the rates meet. Only documents of an anchored domain with rates
+within ``SNAP`` of 1 are left alone, neither dropped nor doubled.
 
 Defined cases: a null text has no tokens; a row without identifier is scored like others; labels outside the
 domains teach nothing; with fewer than two labelled domains every posterior is equal and every rate 1; targets of
@@ -249,7 +250,8 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocab
     """doc_id, row, tokens, domain (likeliest), posterior (its own), rate, copies: a row for each row of docs.
 
     The mix has as many tokens as docs. With an anchor that domain's total stays as it is, and the others are thinned
-    where they have more than their target in proportion to it; nothing is repeated to fill a target.
+    where they have more than their target in proportion to it; nothing is repeated to fill a target. ``snap`` holds
+    for documents of the anchored domain alone.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -281,7 +283,8 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocab
     out = map_arrow(rows, step, "doc_id long, row long, tokens long, domain string, posterior double, rate double")
     whole = F.floor(F.col("rate"))
     dice = F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
-    copies = F.when(F.abs(F.col("rate") - 1) <= snap, F.lit(1)).otherwise(whole + (dice < F.col("rate") - whole).cast("int"))
+    alone = (F.col("domain") == F.lit(anchor)) & (F.abs(F.col("rate") - 1) <= snap)  # NULL without an anchor
+    copies = F.when(alone, F.lit(1)).otherwise(whole + (dice < F.col("rate") - whole).cast("int"))
     return out.withColumn("copies", copies.cast("int"))
 
 
