@@ -126,14 +126,22 @@ def correlated(df: DataFrame, features: list[str], most: float = 0.95) -> list[s
 
 
 def run_folds(df: DataFrame, features: list[str], label: str, folds: Iterable[tuple[str, object, object]], model=Baseline, embargo: int = 14) -> tuple[DataFrame, list[tuple]]:
-    """(validation rows of all folds with fold and score, importances by fold). Scaling is fitted on each fold's train."""
+    """(validation rows of all folds with fold and score, importances by fold). Scaling is fitted on each fold's train.
+
+    A fold without train or validation rows gives none.
+    """
     out, found = None, []
     for name, train_end, val_end in folds:
-        split = ds.scale(ds.temporal_split(df, train_end, val_end, embargo, include_test=False), features)
+        split = ds.temporal_split(df, train_end, val_end, embargo, include_test=False)
+        if split.select("split").distinct().count() < 2:
+            continue
+        split = ds.scale(split, features)
         fitted = model().fit(split.where("split = 'train'"), features, label)
         found += [(name, m, f, v) for m, f, v in fitted.importances()]
         one = fitted.predict(split.where("split = 'val'")).withColumn("fold", F.lit(name))
         out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = df.where(F.lit(False)).withColumns({"split": F.lit(""), "score": F.lit(0.0), "fold": F.lit("")})
     return out, found
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import calculator as calc
+from tidemark.operators import features as feat
 from tidemark.operators import legacy
 from tidemark.operators import patterns as pat
+from tidemark.operators.dataset import clean_dataset
 from tidemark.operators.recursive import recursive
 from tidemark.operators.rolling import Series
 from tidemark.plans.patterns import PAST, prev
@@ -40,18 +42,16 @@ on_bars("sequence_windows", _sequences, f"CASE WHEN {NUM} > 5 THEN {lag('close',
 
 
 def _walk_forward(spark, d: str) -> DataFrame:
-    """Out-of-sample scores of the weighted baseline on a few features, fold by fold, with their ranking measures."""
+    """Out-of-sample scores of the weighted baseline on the feature table, fold by fold, with their ranking measures."""
     from tidemark.operators.evaluate import classification
     from tidemark.operators.ml import Baseline, run_folds
 
-    features = ["r1", "r5", "z20", "range"]
-    b = pat.events(lineitem_bars(spark, d), S)
-    b = b.withColumns({"r1": S.pct("close", 1), "r5": S.pct("close", 5), "z20": S.z("close", 20), "range": F.col("high") / F.col("low") - 1})
-    rows = b.dropna(subset=features).select("stock_id", "date", "PivotLow", *features).persist()
-    out, _ = run_folds(rows, features, "PivotLow", FOLDS[2:], lambda: Baseline(5, 3))
-    out = out.persist()
+    features = feat.list_features()
+    rows = clean_dataset(feat.build_features(lineitem_bars(spark, d)), features).select("stock_id", "date", "PivotLow", *features).persist()
+    out, _ = run_folds(rows, features, "PivotLow", FOLDS, Baseline)
+    out = out.select("fold", "PivotLow", "score").persist()
     per = None
-    for name, _, _ in FOLDS[2:]:
+    for name, _, _ in FOLDS:
         one = classification(out.where(F.col("fold") == name), "PivotLow", score="score").withColumn("fold", F.lit(name))
         per = one if per is None else per.unionByName(one)
     return per
