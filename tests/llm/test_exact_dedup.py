@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup as xd
 
@@ -53,6 +54,49 @@ def test_runs_merge(spark):
     assert log.collisions(a.unionByName(b)) is None
 
 
+def test_lookups_and_merges_by_size(spark):
+    """Runs of one size class are merged four at a time; a batch meets what any run holds."""
+    log = xd.DigestLog(spark, "smallest", smallest=2)
+    held = {}
+    for k in range(9):
+        rows = [(10 * k + i, f"text {(7 * k + i) % 11}") for i in range(3 if k % 2 else 2)]
+        log.flush(spark.createDataFrame(rows, "doc_id long, text string"))
+        for d, t in rows:
+            held.setdefault(t, []).append(d)
+    assert len(log.runs) == 9 and len(log.segments) < 9
+    batch = [(1000 + i, f"TEXT {i}") for i in range(14)] + [(None, "text 3")]
+    got = {(x.doc_id, x.keep_id, x.n) for x in log.lookup(spark.createDataFrame(batch, "doc_id long, text string")).collect()}
+    assert got == {(d, min(held[t.lower()]), len(held[t.lower()])) for d, t in batch if t.lower() in held}
+    index = log.compact()
+    assert {(x.keep_id, x.n) for x in index.collect()} == {(min(v), len(v)) for v in held.values()} and len(log.segments) == 1
+
+
+def test_filters_never_deny_and_seldom_pass(spark):
+    log = xd.DigestLog(spark)
+    rows = spark.range(4000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"), "id")
+    own = xd.Filter(log.scratch, rows.where("id < 1000"), 1000, "own")
+    passed = {x.id for x in own.passed(rows).collect()}
+    assert set(range(1000)) <= passed and len(passed) < 1000 + 0.1 * 3000
+    full = xd.Filter(log.scratch, rows, 4000, "full", most=xd.BLOCK)
+    assert full.bits == xd.BLOCK and full.passed(rows).count() == 4000
+
+
+def test_a_full_filter_changes_nothing(spark):
+    """More hits than the filter has room for: more texts are sent, the result is the same."""
+    rows = [(i, f"text {i % 700}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    big = xd.exact_dedup(df).select("doc_id", "keep_id", "group_size", "kept")
+    small = xd.exact_dedup(df, most=xd.BLOCK).select("doc_id", "keep_id", "group_size", "kept")
+    assert sorted(big.collect()) == sorted(small.collect()) and small.where("kept").count() == 700
+
+
+def test_clashing_and_dotted_columns(spark):
+    df = spark.createDataFrame([(1, "a", 1, 2, 3, 4), (2, "A", 5, 6, 7, 8), (2, "a", 9, 9, 9, 9)], "doc_id long, text string, id int, `key` int, digest int, `a.b` int")
+    out = xd.keep_one(df, "smallest")
+    assert out.columns == df.columns and [tuple(x) for x in out.collect()] == [(1, "a", 1, 2, 3, 4)]
+    assert xd.exact_dedup(df).count() == 3
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_keep_one(spark, keep):
     rows = rows_of(2)

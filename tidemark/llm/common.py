@@ -1,8 +1,9 @@
-"""What the operators share: code shipping, written scratch tables, sorted groups, components."""
+"""What the operators share: code shipping, written scratch tables, free column names, sorted groups, components."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: long texts make wide rows, and a Python worker holds a batch or two.
@@ -24,9 +25,8 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors once an application, and bounds Arrow batches by rows."""
+    """Sends this package to the executors, once an application."""
     app = spark.sparkContext.applicationId
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[2]
@@ -38,6 +38,18 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows for the jobs run inside; the session's own setting holds again behind."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
     sc = spark.sparkContext
@@ -52,11 +64,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one operator call. A table cuts lineage: a lost executor costs no recomputation."""
+    """Written tables of one operator call. A table cuts lineage: a lost executor costs no recomputation.
+
+    Tables that a result still reads live until ``close``, until the ``released`` block around the call ends, or until
+    the application does; what nothing reads any more is dropped on the way.
+    """
+
+    _all: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        Scratch._all.append(self)
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self.made += 1
@@ -64,17 +83,58 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         for k, v in options.items():
             writer = writer.option(k, v)
-        writer.parquet(path)
+        with small_batches(self.spark):
+            writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing will read any more."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(t.scratch_path)
+
+    def close(self) -> None:
+        """Deletes all tables: results that read them must have been written before."""
+        self._delete(self.base)
+        if self in Scratch._all:
+            Scratch._all.remove(self)
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Closes the scratch tables of all operators called inside. Their results must be written inside too."""
+    before = set(map(id, Scratch._all))
+    try:
+        yield
+    finally:
+        for s in [s for s in Scratch._all if id(s) not in before]:
+            s.close()
+
+
+def plain(docs: DataFrame) -> list[Column]:
+    """All columns of docs as they came, whatever signs stand in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of docs (in any case) has them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether crc32 of the identifier as text leaves 1 modulo 3; false without an identifier."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
