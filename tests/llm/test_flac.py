@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -196,11 +197,21 @@ def test_samples_that_look_like_a_frame():
     assert (got[0][0][1] == x).all() and len(got[1]) == 1 and [int(v) & 0xFF for v in got[1][0][1]] == list(data)
 
 
-def test_query_columns(spark):
+@pytest.fixture
+def features_of_table(spark):
+    """The operator on a small table, in one round and in several."""
+
+    def run(df, **kw):
+        return {x.doc_id: x for x in flac.media_features(df, **kw).collect()}
+
+    return run
+
+
+def test_query_columns(spark, features_of_table):
     texts = [None, "", "x" * 64, "é" * 3000, "the same", "the same"]
     df = spark.createDataFrame([(i, t, b"m") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
-    got = {x.doc_id: x for x in flac.described(flac.pcm_blocks(flac.stored(df))).collect()}
-    assert len(got) == 6
+    got = features_of_table(df)
+    assert got == features_of_table(df, rounds=1) and len(got) == 6
     for i, t in enumerate(texts):
         p = flac.payload_of(t)
         assert len(p) % 64 == 0 and len(p) > 0
@@ -209,7 +220,29 @@ def test_query_columns(spark):
         m = flac.encode([p])[0]
         assert (got[i].media_bytes, got[i].media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
     assert got[4].feature == got[5].feature
-    assert flac.described(flac.pcm_blocks(flac.stored(df.limit(0)))).count() == 0
+    assert features_of_table(df.limit(0)) == {}
+
+
+def test_a_very_long_text_needs_bounded_memory():
+    """Coding and decoding go by groups of frames: a stream of 6 MB stays under what one group needs, plus itself."""
+    text = " ".join(f"word {i}" for i in range(500_000))
+    payload = flac.payload_of(text)
+    tracemalloc.start()
+    media = flac.encode([payload])[0]
+    got = b"".join(p for _, p in flac.blocks_of([media])[0])
+    feature = flac.feature_of(payload)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == payload and len(payload) > 5_000_000 and peak < 450e6, peak
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    assert feature.startswith(f"level={(x * x).sum() // len(x)};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()};lag1={(x[1:] * x[:-1]).sum() // (len(x) - 1)};")
+
+
+def test_the_streams_own_checksum():
+    good = bytearray(flac.encode([b"some bytes " * 40])[0])
+    good[8 + 18] ^= 1
+    with pytest.raises(ValueError, match="stream's checksum"):
+        flac.decode([bytes(good)])
 
 
 def test_written_blocks_are_seekable(spark, tmp_path):

@@ -14,25 +14,35 @@ end, and a frame's checksum is the exclusive or of its bytes' values.
 
 Supported streams: one to eight channels, stereo as left and right, left and side, side and right, or mid and side; 4
 to 24 bits a sample, fixed or variable block size up to 65,535 samples, Rice parameters of 4 and 5 bits with escapes,
-all partition orders, wasted bits. Broken streams and bad checksums raise ``ValueError``. Defined cases: a null text counts as empty and gives one padded block; an empty
-table gives no rows; repeated rows are coded alike; other columns are ignored.
+all partition orders, wasted bits. Broken streams and bad checksums (of headers, frames and the whole stream) raise
+``ValueError``.
+
+Memory: frames are coded and decoded in groups of about ``TOGETHER`` bytes, however long a stream is, so a very long
+text costs its own size a few times over. (A stream with samples that look like a frame is walked instead, which
+needs all its bits at once.)
+
+Defined cases: a null text counts as empty and gives one padded block; an empty table gives no rows; repeated rows
+are coded alike; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, prepare
+from tidemark.llm.common import Scratch, by_bytes, prepare
 
 FRAME, RATE, PAD = 1024, 8000, 64
 #: Payload bytes that are coded together: bounds a worker's memory.
 TOGETHER = 1_500_000
+#: Rounds in which the query stores and decodes its table: scratch holds the media of one round at a time.
+ROUNDS = 3
 #: Fixed predictors by order: coefficients of the samples before.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -70,10 +80,25 @@ def _distances(n: int) -> np.ndarray:
     return _far
 
 
+def _groups(sizes) -> Iterator[tuple[int, int]]:
+    """Ranges of about TOGETHER bytes each, one item at least."""
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held + n > TOGETHER and i > at:
+            yield at, i
+            at, held = i, 0
+        held += int(n)
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def crc16(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """CRC-16 of each slice of the bytes in data."""
     if not len(starts):
         return np.zeros(0, np.int64)
+    groups = list(_groups(sizes))
+    if len(groups) > 1:
+        return np.concatenate([crc16(data, starts[a:z], sizes[a:z]) for a, z in groups])
     table = _distances(int(sizes.max()))
     upto = np.cumsum(sizes)
     k = np.arange(upto[-1])
@@ -121,7 +146,7 @@ def predicted(x: np.ndarray, order: int) -> np.ndarray:
 def encode(payloads: list[bytes], frame: int = FRAME, linear: tuple[tuple[int, ...], int] | None = None) -> list[bytes]:
     """A FLAC stream for each payload (bytes as 8-bit samples). linear: quantised coefficients and shift to use."""
     sizes = np.array([len(p) for p in payloads], np.int64)
-    data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64) - 128
+    data = np.frombuffer(b"".join(payloads), np.uint8)
     per = -(-sizes // frame)
     owner = np.repeat(np.arange(len(payloads)), per)
     first = np.cumsum(per) - per
@@ -130,10 +155,11 @@ def encode(payloads: list[bytes], frame: int = FRAME, linear: tuple[tuple[int, .
     start = (np.cumsum(sizes) - sizes)[owner] + number * frame
     bodies: list[bytes] = [b""] * len(owner)
     for n in np.unique(length).tolist():
-        which = np.flatnonzero(length == n)
-        x = data[start[which][:, None] + np.arange(n)[None, :]]
-        for k, b in zip(which.tolist(), _subframes(x, linear), strict=True):
-            bodies[k] = b
+        alike = np.flatnonzero(length == n)
+        for which in np.array_split(alike, -(-len(alike) * n // TOGETHER)):
+            x = data[start[which][:, None] + np.arange(n)[None, :]].astype(np.int64) - 128
+            for k, b in zip(which.tolist(), _subframes(x, linear), strict=True):
+                bodies[k] = b
     # headers: sync, fixed block size, size code, 8 kHz, mono, 8 bits
     heads = []
     for k, (no, n) in enumerate(zip(number.tolist(), length.tolist(), strict=True)):
@@ -244,8 +270,8 @@ def linear_bits(linear) -> int:
 class _Streams:
     """Bits of concatenated streams, read at many places at once."""
 
-    def __init__(self, media: list[bytes]):
-        self.raw = np.frombuffer(b"".join(media) + b"\0" * 16, np.uint8)
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw  # with 16 bytes of nothing behind
         self.one = None
 
     def number(self, at: np.ndarray, bits) -> np.ndarray:
@@ -297,39 +323,52 @@ def decode(media: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     """For each stream, its PCM blocks: (offset of the first sample, samples; a column a channel if there are several).
 
     Frames are found by their sync codes: a place whose header checksum is right starts a frame if the frame checksum
-    of what stands between it and the next such place is right too. All frames of all streams are then decoded
-    together. A stream where that fails (samples that look like a header) is walked from frame to frame.
+    of what stands between it and the next such place is right too. The frames of all streams are then decoded in
+    groups. A stream where that fails (samples that look like a header) is walked from frame to frame.
     """
     base = np.cumsum([0] + [len(m) for m in media])
     infos, first = [], np.zeros(len(media), np.int64)
     for i, m in enumerate(media):
         info, first[i] = _frames_of(m, int(base[i]))
         infos.append(info)
-    bits = _Streams(media)
+    raw = np.frombuffer(b"".join(media) + b"\0" * 16, np.uint8)
     depth = np.array([x["bits"] for x in infos], np.int64)
     want = np.array([x["samples"] for x in infos], np.int64)
     out: list[list[tuple[int, np.ndarray]]] = [[] for _ in media]
-    starts, ends, owner = _found(bits.raw, first, base, depth)
-    if len(starts):
-        body, length, own, code, _ = _parsed(bits.raw, starts, depth[owner])
+    starts, ends, owner = _found(raw, first, base, depth)
+    done = np.zeros(len(media), np.int64)
+    for a, z in _groups(ends - starts):
+        low = int(starts[a])
+        bits = _Streams(np.concatenate([raw[low : int(ends[z - 1])], np.zeros(18, np.uint8)]))
+        body, length, own, code, _ = _parsed(bits.raw, starts[a:z] - low, depth[owner[a:z]])
         stop, samples = _channels(bits, body * 8, length, own, code)
-        if ((stop + 7) // 8 != ends).any():
+        if ((stop + 7) // 8 + low != ends[a:z]).any():
             raise ValueError("a frame does not end where the next one starts")
-        before = np.cumsum(length) - length
-        offset = before - before[np.searchsorted(owner, owner)]
-        for k, (i, o) in enumerate(zip(owner.tolist(), offset.tolist(), strict=True)):
-            out[i].append((o, samples[k]))
+        for k, i in enumerate(owner[a:z].tolist()):
+            out[i].append((int(done[i]), samples[k]))
+            done[i] += len(samples[k])
     whole = np.zeros(len(media), bool)
     whole[owner] = True
     rest = np.flatnonzero(~whole & (first < base[1:]))
     if len(rest):
-        _walk(bits, out, rest, first, base, depth)
+        _walk(_Streams(raw), out, rest, first, base, depth)
     done = np.array([sum(len(x) for _, x in blocks) for blocks in out], np.int64)
     if ((want > 0) & (want != done)).any():
         raise ValueError("samples are missing")
+    for info, blocks in zip(infos, out, strict=True):
+        if any(info["md5"]) and _md5(blocks, info["bits"]) != info["md5"]:
+            raise ValueError("the stream's checksum is wrong")
     return out
 
 
+def _md5(blocks: list[tuple[int, np.ndarray]], bits: int) -> bytes:
+    """MD5 of signed little-endian samples, channels interleaved, in whole bytes: what a stream's header names."""
+    width, sum_ = (bits + 7) // 8, hashlib.md5()
+    for _, x in blocks:
+        sum_.update(x.astype(np.int8).tobytes() if width == 1 else x.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :width].tobytes())
+    return sum_.digest()
+
+
 def _found(raw: np.ndarray, first: np.ndarray, base: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends (of what the checksum covers) and streams of frames, for streams all of whose frames are sure."""
     at = np.flatnonzero((raw[:-16] == 0xFF) & (raw[1:-15] & 0xFC == 0xF8))
@@ -590,17 +629,6 @@ def payload_of(text: str | None) -> bytes:
     return raw + b"\0" * (PAD - len(raw) % PAD if len(raw) % PAD or not raw else 0)
 
 
-def _chunks(values: list[bytes]):
-    at, held = 0, 0
-    for i, v in enumerate(values):
-        held += len(v)
-        if held > TOGETHER and i > at:
-            yield at, i
-            at, held = i, len(v)
-    if at < len(values):
-        yield at, len(values)
-
-
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a FLAC stream of 8-bit samples."""
     prepare(docs.sparkSession)
@@ -613,7 +641,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 texts = b.column("text").to_pylist()
                 payloads = [payload_of(t) for t in texts]
                 media: list[bytes] = []
-                for a, z in _chunks(payloads):
+                for a, z in _groups(list(map(len, payloads))):
                     media += encode(payloads[a:z])
                 sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -623,7 +651,10 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media, blocks: array of (sample_offset, pcm), each frame verified by its checksums."""
+    """doc_id, n_bytes, media_bytes, media_sha256 (of the stream as it was read), blocks: array of (sample_offset, pcm).
+
+    Each frame is verified by its checksums, and each stream by its own.
+    """
     prepare(media.sparkSession)
 
     def run(batches):
@@ -633,14 +664,16 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                     continue
                 streams = b.column("media").to_pylist()
                 blocks: list[list[tuple[int, bytes]]] = []
-                for a, z in _chunks(streams):
+                for a, z in _groups(list(map(len, streams))):
                     blocks += blocks_of(streams[a:z])
                 cuts = np.cumsum([0] + [len(x) for x in blocks]).astype(np.int32)
                 flat = [p for x in blocks for p in x]
                 structs = pa.StructArray.from_arrays([pa.array([o for o, _ in flat], pa.int64()), pa.array([p for _, p in flat], pa.binary())], names=["sample_offset", "pcm"])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), b.column("media"), pa.ListArray.from_arrays(pa.array(cuts), structs)], names=["doc_id", "n_bytes", "media", "blocks"])
+                about = [pa.array(list(map(len, streams)), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in streams], pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *about, pa.ListArray.from_arrays(pa.array(cuts), structs)], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, blocks array<struct<sample_offset: bigint, pcm: binary>>")
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: bigint, pcm: binary>>"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def write_pcm(blocks: DataFrame, path: str) -> DataFrame:
@@ -658,16 +691,21 @@ def samples_between(written: DataFrame, doc_id: int, first: int, last: int) -> D
 
 
 def feature_of(payload: bytes) -> str:
-    """Level, crossings and lag-1 correlation of the samples, as fixed-point text."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    level = int((x * x).sum() // len(x))
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    lag = int((x[1:] * x[:-1]).sum() // max(1, len(x) - 1))
-    return f"level={level};crossings={crossings};lag1={lag};peak={int(np.abs(x).max())}"
+    """Level, crossings, lag-1 correlation and peak of the samples, as fixed-point text; summed piece by piece."""
+    raw = np.frombuffer(payload, np.uint8)
+    level = crossings = lag = peak = 0
+    for at in range(0, len(raw), TOGETHER):
+        x = raw[at : at + TOGETHER + 1].astype(np.int64) - 128  # one more sample: pairs over the cut count once
+        own = x[:TOGETHER]
+        level += int((own * own).sum())
+        crossings += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        lag += int((x[1:] * x[:-1]).sum())
+        peak = max(peak, int(np.abs(own).max()))
+    return f"level={level // len(raw)};crossings={crossings};lag1={lag // max(1, len(raw) - 1)};peak={peak}"
 
 
 def described(blocks: DataFrame) -> DataFrame:
-    """Digests and features of what was read back; nothing of a payload leaves the stage."""
+    """Digests and features of PCM blocks that were read; nothing of a payload leaves the stage."""
 
     def run(batches):
         for whole in batches:
@@ -675,19 +713,38 @@ def described(blocks: DataFrame) -> DataFrame:
                 if not b.num_rows:
                     continue
                 rows = []
-                for media, parts in zip(b.column("media").to_pylist(), b.column("blocks").to_pylist(), strict=True):
+                for parts in b.column("blocks").to_pylist():
                     payload = b"".join(p["pcm"] for p in parts)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{feature_of(payload)};blocks={len(parts)}"))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), f"{feature_of(payload)};blocks={len(parts)}"))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    [b.column("doc_id"), b.column("n_bytes"), b.column("media_bytes"), b.column("media_sha256"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                    names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"],
                 )
 
-    return blocks.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = blocks.mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """Stores every text as FLAC, reads the streams, writes their PCM blocks, and describes the blocks that it reads.
+
+    The table goes through in rounds by a hash of the rows, and a round's media are deleted when its blocks stand.
+    """
+    scratch = Scratch(docs.sparkSession, "flac")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    turn = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(rounds))
+    out = None
+    for k in range(rounds):
+        media = scratch.write(stored(docs.where(turn == k)), f"media{k}")
+        blocks = scratch.write(pcm_blocks(media), f"pcm{k}")
+        scratch.drop(media)
+        out = blocks if out is None else out.unionByName(blocks)
+    done = scratch.write(described(out), "described")
+    return done
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return described(pcm_blocks(stored(docs)))
+    return media_features(docs)
