@@ -58,11 +58,50 @@ def test_rates_agree_with_a_plain_solver():
     assert np.abs(rate - x).max() < 1e-3
 
 
-def test_anchor_leaves_its_domain_alone(spark):
-    docs, labelled = frame(spark)
-    got = mixing.rated(docs, labelled, {"fruit": 0.5, "metal": 0.45, "water": 0.05}, VOCABULARY, anchor="fruit").toPandas()
-    assert (got.copies[got.domain == "fruit"] == 1).all()
-    assert (got.copies[got.domain == "water"] == 0).mean() > 0.5
+def test_an_anchor_is_taken_once_and_the_others_meet_their_targets(spark):
+    """Thinned or repeated, in proportion to the anchored domain."""
+    docs, labelled = frame(spark, 900)
+    want = {"fruit": 0.3, "metal": 0.65, "water": 0.05}
+    rates = mixing.rated(docs, labelled, want, VOCABULARY, anchor="fruit")
+    got = rates.toPandas()
+    assert (got.rate[got.domain == "fruit"] == 1).all() and (got.copies[got.domain == "fruit"] == 1).all()
+    assert got.rate[got.domain == "metal"].mean() > 1.5 and (got.copies[got.domain == "water"] == 0).mean() > 0.5
+    for x in mixing.achieved(rates, rates.domains).collect():
+        assert abs(x.by_rates - want[x.domain]) < 1e-3 and abs(x.by_copies - want[x.domain]) < 0.03 and abs(x.as_it_was - 1 / 3) < 0.05
+
+
+def test_the_query_meets_its_targets(spark):
+    """op4 on the 0.01 tables: shares by rates within the stop's tolerance, by copies within what dice leave."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(os.path.join(folder, "documents.parquet")).select("doc_id", "text")
+    labels = spark.read.parquet(os.path.join(folder, "labels.parquet"))
+    labelled = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    rates = mixing.rated(docs, labelled, mixing.TARGETS, VOCABULARY)
+    assert rates.count() == docs.count()
+    total = rates.agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("rate")).alias("r")).first()
+    assert abs(total.r / total.t - 1) < 5e-4
+    # the dice of one document move its domain by its own tokens: three standard deviations
+    spread = {x.domain: 3 * x.v**0.5 / total.t for x in rates.withColumn("f", F.col("rate") - F.floor("rate")).groupBy("domain").agg(F.sum(F.col("tokens") ** 2 * F.col("f") * (1 - F.col("f"))).alias("v")).collect()}
+    for x in mixing.achieved(rates, rates.domains).collect():
+        assert abs(x.by_rates - mixing.TARGETS[x.domain]) < 3e-4
+        assert abs(x.by_copies - mixing.TARGETS[x.domain]) < 1e-3 + 2 * sum(spread.values())
+
+
+def test_equal_identifiers_are_told_apart_by_text(spark):
+    docs, labelled = frame(spark, 300)
+    odd = docs.unionByName(spark.createDataFrame([(0, "river lake sea the river", "odd"), (0, "apple pear", "even"), (None, "river lake", "none"), (None, "plum pear", "none")], docs.schema))
+    out = mixing.mixed(odd, labelled, {"fruit": 1.0, "metal": 1.0}, VOCABULARY, anchor="fruit").collect()
+    rows = [x.row for x in out]
+    assert "even" in rows and "odd" not in rows and rows.count("none") == 1
+
+
+def test_clashing_and_dotted_columns(spark):
+    docs, labelled = frame(spark, 60)
+    docs = docs.withColumns({c: F.lit(c) for c in ("id", "th", "_th", "copies", "turn", "a.b", "tokens", "domain")})
+    out = mixing.mixed(docs, labelled, {"fruit": 1.0, "metal": 1.0}, VOCABULARY)
+    assert out.columns == docs.columns and {x["a.b"] for x in out.collect()} == {"a.b"}
 
 
 def test_mixed_keeps_columns(spark):

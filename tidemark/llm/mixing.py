@@ -1,23 +1,29 @@
 """Mixing to target weights with soft membership.
 
 A softmax classifier, fitted on the driver on a bounded sample of a labelled table (``SAMPLE`` rows, by hash of the
-identifier), gives every document posteriors over domains from the hashed presence of its pre-tokens. Nonnegative
-rates r then minimise
+identifier), gives every document posteriors over domains from the hashed presence of its pre-tokens. Posteriors are
+given to four decimals, and rows of equal posteriors are a cell with the sum of their tokens. Nonnegative rates r then
+minimise
 
     1/2 sum_k (sum_i r_i a_ik - target_k)^2 + MU/2 sum_i a_i (r_i - 1)^2,   a_ik = tokens_i posterior_ik / all tokens
 
-by accelerated projected gradient. A document's step depends on its own posteriors and on the residual of each
-domain alone, so what a round sends to the driver and back is one number a domain: a task replays the residuals so
-far over its rows (numpy, a few operations a round) and returns its partial totals. Rates are never gathered.
+by accelerated projected gradient. A row's step depends on its own posteriors and on the residual of each domain
+alone, so its rate is that of its cell, and what a round sends to the driver and back is one number a domain: a task
+replays the residuals so far over its cells (numpy, a few operations a round) and returns its partial totals. Rates
+are never gathered, and texts are read once.
+
+With an anchor the documents whose likeliest domain it is have rate 1; the targets hold in proportion to that domain,
+and the rates of all others are fitted to them, up as well as down.
 
 Rates turn into whole copies: the integer part, and one more if a hash of the identifier is under the rest, so
-that the tokens of the copies meet the targets that the rates meet. Only documents of an anchored domain with rates
-within ``SNAP`` of 1 are left alone, neither dropped nor doubled.
+that the tokens of the copies meet, in expectation, the targets that the rates meet. Nothing is rounded to 1.
 
 Defined cases: a null text has no tokens; a row without identifier is scored like others; labels outside the
 domains teach nothing; with fewer than two labelled domains every posterior is equal and every rate 1; targets of
-domains that no label names are left out; targets that cannot be met, or are not within ``ROUNDS`` rounds, are
-approached in least squares and a RuntimeWarning names them; repeated rows are rows like others; an empty table gives no rows; other columns are kept as they came.
+domains that no label names are left out, and a domain without a target has target 0; targets that cannot be met, or
+are not within ``ROUNDS`` rounds, are approached in least squares and a RuntimeWarning names them; repeated rows are
+rows like others; rows that share identifier and text have equal copies; a very long text is read whole, in its own
+batch; an empty table gives no rows; other columns, whatever their names, are kept as they came.
 """
 
 from __future__ import annotations
@@ -30,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
+from tidemark.llm.common import Scratch, bounded, factory, free, map_arrow, plain, prepare, small_batches
 
 SAMPLE, BUCKETS, TELLING = 10_000, 1 << 14, 1_000
-MU, ROUNDS, SNAP = 1e-5, 100, 0.05
+MU, ROUNDS, DECIMALS = 1e-5, 100, 4
 #: A target is met within CLOSE of all tokens and within NEAR of itself.
 CLOSE, NEAR = 1e-4, 5e-3
 #: Shares of tokens that the mix shall have.
@@ -149,12 +155,14 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, vocabulary: str, most: int
 
         return step
 
-    got = map_arrow(rows, start, "id long, y string, buckets array<int>").toArrow().sort_by("id").slice(0, 2 * most)
+    one = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # of rows that share an identifier, one teaches
+    with small_batches(docs.sparkSession):
+        got = map_arrow(one, start, "id long, y string, buckets array<int>").toArrow().sort_by("id")
     return Softmax.fit([np.array(x, np.int64) for x in got.column("buckets").to_numpy()], got.column("y").to_pylist())
 
 
 def exposed(docs: DataFrame, model: Softmax, vocabulary: str) -> DataFrame:
-    """doc_id, row, tokens, p (posteriors in the order of model.domains)."""
+    """doc_id, row, th (hash of the text), tokens, p (posteriors in the order of model.domains, to DECIMALS places)."""
     prepare(docs.sparkSession)
     parts = (model.domains, model.weights.astype(np.float32), model.bias)
 
@@ -164,20 +172,27 @@ def exposed(docs: DataFrame, model: Softmax, vocabulary: str) -> DataFrame:
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             tokens, buckets = features.of(b.column("text").to_pylist())
-            p = own.posteriors(buckets)
+            p = own.posteriors(buckets).round(DECIMALS)
+            best = (np.arange(len(p)), p.argmax(1))
+            p[best] = (p[best] + 1 - p.sum(1)).round(DECIMALS)  # the largest takes what rounding leaves
             lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(tokens), lists], names=["doc_id", "row", "tokens", "p"])
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("th"), pa.array(tokens), lists], names=["doc_id", "row", "th", "tokens", "p"])
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    return map_arrow(rows, start, "doc_id long, row long, tokens long, p array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"), text_hash("text").alias("th"))
+    return map_arrow(rows, start, "doc_id long, row long, th long, tokens long, p array<double>")
+
+
+def text_hash(text: str) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0))
 
 
 class Steps:
     """Replays the accelerated projected gradient: constant step and momentum, and the residual of each round."""
 
-    def __init__(self, gram: np.ndarray, mu: float = MU):
+    def __init__(self, gram: np.ndarray, mu: float = MU, anchor: int | None = None):
+        self.anchor = anchor
         values = np.linalg.eigvalsh(gram)
         self.mu, self.step = mu, 1 / (max(values[-1], 1e-12) + mu)
         root = np.sqrt(min(1.0, (max(values[0], 0.0) / 2 + mu) * self.step))  # half: rates at zero bend the sum less
@@ -187,12 +202,15 @@ class Steps:
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates after all rounds so far, and the point where the next residual is taken."""
-        r = y = np.ones(len(p))
+        rate, point = np.ones(len(p)), np.ones(len(p))
+        able = np.arange(len(p)) if self.anchor is None else np.flatnonzero(p.argmax(1) != self.anchor)
+        p, r, y = p[able], rate[able], rate[able]
         for e in self.residuals:
             new = np.maximum(0.0, y - self.step * (p @ e + self.mu * (y - 1)))
             y = new + self.momentum * (new - r)
             r = new
-        return r, y
+        rate[able], point[able] = r, y
+        return rate, point
 
 
 def _sums(rows: DataFrame, width: int, sums) -> np.ndarray:
@@ -212,19 +230,29 @@ def _sums(rows: DataFrame, width: int, sums) -> np.ndarray:
     return out
 
 
-def fit_rates(rows: DataFrame, shares: np.ndarray, mu: float = MU, rounds: int = ROUNDS, close: float = CLOSE) -> Steps | None:
-    """shares: target of each domain as a part of all tokens (they may sum to any total).
+def cells_of(rows: DataFrame) -> DataFrame:
+    """(tokens, p): the tokens of all rows that have these posteriors, aggregated in each task first."""
+    return rows.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")).select("tokens", "p")
+
+
+def fit_rates(rows: DataFrame, shares: np.ndarray, mu: float = MU, rounds: int = ROUNDS, close: float = CLOSE, anchor: int | None = None) -> Steps | None:
+    """shares: target of each domain as a part of all tokens (they may sum to any total). rows: tokens, p.
 
     ``missed`` of the result is what each domain has over its target, or 0 where the target is met.
     """
     k = len(shares)
-    first = _sums(rows, k * k + 1, lambda p, t: np.append(((p * t[:, None]).T @ p).ravel(), t.sum()))
+
+    def gram(p, t):
+        free_ = t if anchor is None else np.where(p.argmax(1) == anchor, 0.0, t)  # what no rate moves bends nothing
+        return np.append(((p * free_[:, None]).T @ p).ravel(), t.sum())
+
+    first = _sums(rows, k * k + 1, gram)
     total = first[-1]
     if not total or k < 2:
         return None
     within = np.where(shares > 0, np.minimum(close, NEAR * shares), close)
     # the pull towards 1 moves a total by mu * (1 - r): less than the least tolerance
-    steps = Steps(first[:-1].reshape(k, k) / total, min(mu, within.min() / 2))
+    steps = Steps(first[:-1].reshape(k, k) / total, min(mu, within.min() / 2), anchor)
     still = 0
     for left in range(rounds, -1, -1):
 
@@ -246,12 +274,11 @@ def fit_rates(rows: DataFrame, shares: np.ndarray, mu: float = MU, rounds: int =
     return steps
 
 
-def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocabulary: str, anchor: str | None = None, snap: float = SNAP, most: int = SAMPLE) -> DataFrame:
-    """doc_id, row, tokens, domain (likeliest), posterior (its own), rate, copies: a row for each row of docs.
+def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocabulary: str, anchor: str | None = None, most: int = SAMPLE) -> DataFrame:
+    """doc_id, row, th, tokens, domain (likeliest), posterior (its own), rate, copies, p: a row for each row of docs.
 
-    The mix has as many tokens as docs. With an anchor that domain's total stays as it is, and the others are thinned
-    where they have more than their target in proportion to it; nothing is repeated to fill a target. ``snap`` holds
-    for documents of the anchored domain alone.
+    The mix has as many tokens as docs. With an anchor the anchored domain's documents are taken once, and the others
+    as often as their targets in proportion to that domain ask.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -262,13 +289,12 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocab
     if len(domains) >= 2:
         want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
         if want.sum() > 0:
-            want = want / want.sum()
-            if anchor in domains and want[domains.index(anchor)] > 0:
-                j = domains.index(anchor)
-                shares = rows.agg(*[(F.sum(F.col("tokens") * F.col("p")[k]) / F.sum("tokens")).alias(f"s{k}") for k in range(len(domains))]).first()
-                natural = np.array([v or 0.0 for v in shares])
-                want = np.minimum(want * natural[j] / want[j], natural)
-            steps = fit_rates(rows, want)
+            want, j = want / want.sum(), domains.index(anchor) if anchor in domains else None
+            cells = scratch.write(cells_of(rows), "cells")
+            if j is not None and want[j] > 0:
+                natural = cells.agg(F.sum(F.col("tokens") * F.col("p")[j]) / F.sum("tokens")).first()[0]
+                want = want * (natural or 0.0) / want[j]
+            steps = fit_rates(cells, want, anchor=j)
             if steps and steps.missed.any():
                 missed = ", ".join(f"{d} {w:.6f} by {m:+.6f}" for d, w, m in zip(domains, want, steps.missed, strict=True) if m)
                 warnings.warn(f"mixing: targets not met after {len(steps.residuals)} rounds: {missed}", RuntimeWarning, stacklevel=2)
@@ -278,26 +304,40 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocab
         r = steps.rates(p)[0] if steps else np.ones(len(p))
         best = p.argmax(1)
         names = [domains[k] if domains else None for k in best]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("tokens"), pa.array(names, pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(r)], names=["doc_id", "row", "tokens", "domain", "posterior", "rate"])
+        given = [b.column(c) for c in ("doc_id", "row", "th", "tokens", "p")]
+        return pa.RecordBatch.from_arrays([*given, pa.array(names, pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(r)], names=["doc_id", "row", "th", "tokens", "p", "domain", "posterior", "rate"])
 
-    out = map_arrow(rows, step, "doc_id long, row long, tokens long, domain string, posterior double, rate double")
+    out = map_arrow(rows, step, "doc_id long, row long, th long, tokens long, p array<double>, domain string, posterior double, rate double")
     whole = F.floor(F.col("rate"))
-    dice = F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
-    alone = (F.col("domain") == F.lit(anchor)) & (F.abs(F.col("rate") - 1) <= snap)  # NULL without an anchor
-    copies = F.when(alone, F.lit(1)).otherwise(whole + (dice < F.col("rate") - whole).cast("int"))
-    return out.withColumn("copies", copies.cast("int"))
+    dice = F.pmod(F.xxhash64(F.coalesce("doc_id", "th"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    out = out.withColumn("copies", (whole + (dice < F.col("rate") - whole).cast("int")).cast("int"))
+    out = scratch.write(out, "rated")
+    out.domains = domains
+    return out
+
+
+def achieved(rates: DataFrame, domains: list[str]) -> DataFrame:
+    """(domain, by_rates, by_copies, as_it_was): shares of tokens of a rated table, counted softly by posteriors."""
+    soft = rates.select("tokens", "rate", "copies", F.posexplode("p").alias("k", "q"))
+    sums = soft.groupBy("k").agg(*[F.sum(F.col("tokens") * F.col("q") * w).alias(c) for c, w in (("by_rates", F.col("rate")), ("by_copies", F.col("copies")), ("as_it_was", F.lit(1)))])
+    names = F.array(*[F.lit(d) for d in domains])
+    total = rates.agg(F.sum(F.col("tokens") * F.col("rate")).alias("r"), F.sum(F.col("tokens") * F.col("copies")).alias("c"), F.sum("tokens").alias("t")).first()
+    share = lambda c, n: (F.col(c) / F.lit(float(n or 1))).alias(c)
+    return sums.select(names[F.col("k")].alias("domain"), share("by_rates", total["r"]), share("by_copies", total["c"]), share("as_it_was", total["t"]))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], vocabulary: str, anchor: str | None = None) -> DataFrame:
     """docs with each row as many times as its rate gives; all columns as they came."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    rates = scratch.write(rated(docs, labelled, targets, vocabulary, anchor).select("doc_id", "copies"), "rates")
-    # rows that share an identifier share their text's posteriors or take the larger number of copies
-    other = rates.where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    other = scratch.write(other.withColumnRenamed("doc_id", "__id"), "other")
-    both = docs.withColumn("__id", F.col("doc_id").cast("long")).join(bounded(other, other.count()), "__id", "left")
-    times = F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1))))
-    return both.withColumn("__time", times).select(*docs.columns)
+    id_, th, copies, turn = free(docs, "id", "th", "copies", "turn")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    rates = rated(docs, labelled, targets, vocabulary, anchor)
+    # rows that share identifier and text share posteriors and dice, so their copies are equal
+    other = rates.where("copies <> 1").groupBy(key.alias(id_), F.col("th").alias(th)).agg(F.max("copies").alias(copies))
+    other = scratch.write(other, "other")
+    both = docs.withColumns({id_: key, th: text_hash("text")}).join(bounded(other, other.count()), [id_, th], "left")
+    times = F.explode(F.array_repeat(F.lit(1), F.coalesce(copies, F.lit(1))))
+    return both.select(*plain(docs), times.alias(turn)).drop(turn)
 
 
 def op4(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
