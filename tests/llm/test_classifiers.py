@@ -22,7 +22,7 @@ def test_forward_sums_all_segmentations():
         if not word:
             return 1.0
         total = lg.UNKNOWN * brute(word[1:], k)
-        for n in range(1, min(len(word), lg.PIECE) + 1):
+        for n in range(1, min(len(word), model.lattice.longest) + 1):
             if word[:n] in number:
                 total += model.p[number[word[:n]], k] * brute(word[n:], k)
         return total
@@ -30,16 +30,32 @@ def test_forward_sums_all_segmentations():
     for word in ("cat", "katze", "straße", "日本", "houses", "x" * 9):
         want = [np.log(brute(lg.MARK + word, k)) for k in range(3)]
         assert np.allclose(model.word_scores([word])[0], want, rtol=1e-10)
+        assert np.allclose(model.long_score(word), want, rtol=1e-10)
     assert np.allclose(model.p[:-1].sum(0), 1, atol=1e-3)
 
 
+def test_long_runs_are_scored_whole():
+    """Sums in logarithms over all segmentations, also those that a cut every 32 letters would leave out."""
+    model = lg.learn({k: Counter(lg.words_of(t)) for k, t in TEXTS.items()}, lg.vocabulary_pieces(PIECES))
+    number = {p: i for i, p in enumerate(model.lattice.pieces)}
+    assert model.lattice.longest == max(map(len, number))
+    for word in ("international" * 7, "日本語" * 40, "derhundunddiekatze" * 30):
+        text, want = lg.MARK + word, [np.zeros(3)]
+        for j in range(1, len(text) + 1):
+            terms = [want[j - 1] + np.log(lg.UNKNOWN)]
+            terms += [want[j - k] + np.log(model.p[number[text[j - k : j]]]) for k in range(1, j + 1) if text[j - k : j] in number]
+            want.append(np.logaddexp.reduce(terms))
+        assert np.allclose(model.word_scores([word])[0], want[-1], rtol=1e-10)
+    assert lg.words_of("½ ² ① Ⅷ a½b É_x") == ["a", "b", "é", "x"]
+
+
 def test_language_cases(spark):
     rows = [(i, t, k) for k, t in TEXTS.items() for i in range(0, 30)]
-    df = spark.createDataFrame([*rows, (100, None, "en"), (101, "123 !!", "en"), (102, "", None), (103, "the man with the dog", None), (104, "a" * 100_000, None), (None, "die katze", None), (103, "the man with the dog", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([*rows, (100, None, "en"), (101, "123 !!", "en"), (102, "", None), (103, "the man with the dog", None), (104, "a" * 100_000, None), (None, "die katze", None), (103, "the man with the dog", None), (105, "½ ²", "de")], "doc_id long, text string, lang string")
     got = lg.identify(df, lg.sample_counts(df), PIECES).collect()
     assert len(got) == df.count()
     by = {x.doc_id: x for x in got}
-    assert by[100].lang_pred == by[101].lang_pred == by[102].lang_pred == "und" and by[100].score == 0
+    assert by[100].lang_pred == by[101].lang_pred == by[102].lang_pred == by[105].lang_pred == "und" and by[100].score == by[105].score == 0
     assert by[103].lang_pred == "en" and by[None].lang_pred == "de" and by[104].lang_pred in TEXTS
     assert all(0 <= x.score <= 1 for x in got)
     nothing = lg.identify(df, {}, PIECES).collect()
@@ -99,3 +115,13 @@ def test_quality_cases(spark):
     assert all(0 <= x.q <= 1 for x in ql.score(odd, ql.fit(odd, one), "q").collect())
     out = ql.score(odd, trees, "q")
     assert out.columns == ["doc_id", "text", "score", "q"] and ql.score(odd.limit(0), trees, "q").count() == 0
+    from pyspark.sql import functions as F
+
+    dotted = odd.withColumns({"a.b": F.lit(1), "nested": F.struct(F.lit(1).alias("x.y"))})
+    assert ql.score(dotted, trees, "q").columns == ["doc_id", "text", "score", "a.b", "nested", "q"] and len(ql.score(dotted, trees, "q").collect()) == 5
+    try:
+        ql.score(odd, trees)
+    except ValueError as e:
+        assert "name another" in str(e)
+    else:
+        raise AssertionError("a column of the user's was replaced")

@@ -20,7 +20,7 @@ def brute(captures, events):
             host = rest.split("/")[0].split("?")[0].split("#")[0].split("@")[-1].split(":")[0].lower()
             path = "/".join(rest.split("?")[0].split("#")[0].split("/")[1:])
             labels, segs = host.split("."), [s for s in path.split("/") if s]
-            keys |= {("domain", ".".join(labels[k:])) for k in range(len(labels) - 1)} | {("host", host)}
+            keys |= {("domain", ".".join(labels[k:])) for k in range(len(labels))} | {("host", host)}
             keys |= {("prefix", host + "/" + "/".join(segs[:k])) for k in range(len(segs) + 1)}
         n = 0
         for k in keys:
@@ -36,8 +36,9 @@ def test_against_brute_force(spark):
         ("host", "a.b.c.d.e.f.org", "add", D(2023, 1, 1)), ("domain", "d.e.f.org", "add", D(2024, 3, 1)), ("prefix", "ok.net/x/y/z/w/v", "add", D(2024, 1, 1)),
         ("prefix", "ok.net/", "add", D(2024, 9, 1)), ("host", "ok.net", "add", D(2024, 5, 1)), ("host", "ok.net", "remove", D(2024, 5, 1)), ("host", None, "add", D(2024, 1, 1)),
         ("host", "m.bad.com", "add", D(2024, 1, 1)), ("host", "m.bad.com", "add", D(2024, 1, 9)), ("host", "m.bad.com", "remove", D(2024, 1, 20)), ("domain", "bad.com", "explode", D(2024, 7, 1)),
+        ("domain", "zip", "add", D(2024, 2, 1)), ("domain", "localhost", "add", D(2024, 1, 1)), ("host", "intranet", "add", D(2024, 1, 1)),
     ]
-    urls = ["http://bad.com/", "https://m.bad.com:8080/p?q#f", "http://user@M.BAD.com/x", "http://notbad.com", "http://a.b.c.d.e.f.org/1", "http://ok.net/x/y/z/w/v/u", "http://ok.net", "nonsense", None, ""]
+    urls = ["http://bad.com/", "https://m.bad.com:8080/p?q#f", "http://user@M.BAD.com/x", "http://notbad.com", "http://a.b.c.d.e.f.org/1", "http://ok.net/x/y/z/w/v/u", "http://ok.net", "nonsense", None, "", "http://x.y.zip/a", "http://localhost:80/", "http://intranet", "http://zip"]
     days = [D(2023, 12, 31), D(2024, 1, 5), D(2024, 1, 19, 23), D(2024, 1, 31, 23, 59), D(2024, 2, 1), D(2024, 5, 1), D(2024, 6, 1), D(2024, 12, 31), None]
     captures = [(i * 100 + j, u, t) for i, u in enumerate(urls) for j, t in enumerate(days)]
     df = spark.createDataFrame([(*c, "m") for c in [*captures, captures[3]]], "id long, url string, fetched_at timestamp_ntz, month string")
@@ -50,3 +51,17 @@ def test_empty(spark):
     caps = spark.createDataFrame([(1, "http://a.com", D(2024, 1, 1))], "id long, url string, fetched_at timestamp_ntz")
     assert [x.n_entries for x in uf.blocked(caps, events).collect()] == [None]
     assert uf.blocked(caps.limit(0), events).count() == 0
+
+
+def test_clashing_columns_and_very_long_urls(spark):
+    """Columns named like the answer's are replaced, all others kept; a url of 64 kB makes only keys that can match."""
+    long = "http://ok.net/" + "/".join("ab" for _ in range(30_000))
+    rows = [(1, long, D(2024, 3, 1), 7, 8, 9, 10), (2, "http://b.org", D(2024, 3, 1), 7, 8, 9, 10)]
+    caps = spark.createDataFrame(rows, "id long, url string, fetched_at timestamp_ntz, n_entries int, First_Entry int, `a.b` int, asked_url int")
+    events = spark.createDataFrame([("prefix", "ok.net/ab/ab/ab", "add", D(2024, 1, 1)), ("prefix", "ok.net/ab/x", "add", D(2024, 1, 1))], EVENTS)
+    out = uf.blocked(caps, events)
+    assert out.columns == ["id", "url", "fetched_at", "a.b", "asked_url", "n_entries", "first_entry", "listed_from"]
+    assert sorted((x.id, x["a.b"], x.asked_url, x.n_entries, x.first_entry) for x in out.collect()) == [(1, 9, 10, 1, "prefix:ok.net/ab/ab/ab"), (2, 9, 10, None, None)]
+    from pyspark.sql import functions as F
+
+    assert caps.select(F.size(uf.keys_of(F.col("url"), 2, 3)).alias("n")).collect()[0].n == 2 + 1 + 4

@@ -14,6 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: long texts make wide rows, and a Python worker holds a batch or two.
 BATCH_ROWS = 1000
@@ -116,9 +117,9 @@ def released() -> Iterator[None]:
             s.close()
 
 
-def plain(docs: DataFrame) -> list[Column]:
-    """All columns of docs as they came, whatever signs stand in their names."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+def plain(docs: DataFrame | list[str]) -> list[Column]:
+    """All columns of docs (or of these names) as they came, whatever signs stand in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (docs if isinstance(docs, list) else docs.columns)]
 
 
 def free(docs: DataFrame, *names: str) -> list[str]:
@@ -156,7 +157,7 @@ def by_bytes(b: pa.RecordBatch, most: int = 6_000_000) -> Iterator[pa.RecordBatc
         yield from by_bytes(part, most)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """fn applied to Arrow batches of bounded size; a function marked ``factory`` makes fn once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,41 +4,40 @@ A word's probability under a language is the sum, over all ways to cut it into v
 the pieces' probabilities: the forward algorithm. Words (runs of letters, lower-cased, with the piece vocabulary's
 word mark) are cut apart first and pieces never span words, so a text's log-probability is the sum over its words.
 Piece probabilities per language come from expectation-maximisation (forward and backward) over word counts of a
-bounded sample: at most ``DOCS`` texts a language, by hash of the identifier, and their ``WORDS`` most frequent words.
-Words are scored in numpy, all of one length together; a bounded table remembers scored words.
+bounded sample: at most ``DOCS`` texts a language, by hash of the identifier, and their ``WORDS`` most frequent words
+of up to ``LONGEST`` letters. Words are scored in numpy, all of one length together; a bounded table remembers scored
+words. Longer runs of letters (languages without spaces) are scored whole too, character by character with the sums
+rescaled, so that neither length nor underflow leaves a segmentation out.
+
+Letters are what Unicode calls letters (``str.isalpha``); fractions, superscripts and Roman numeral signs are not.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a letter outside the vocabulary costs a
-small constant in every language; words over ``LONGEST`` letters are cut every ``LONGEST`` letters; texts without a
-language teach nothing; if nothing teaches, every text is ``und``; ties go to the first language by name.
+small constant in every language; texts without a language teach nothing; of more than ``LANGUAGES`` languages the
+most frequent are learnt; if nothing teaches, every text is ``und``; ties go to the first language by name; very long
+texts are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import factory, map_arrow, prepare
+from tidemark.llm.common import Scratch, factory, held_out, map_arrow, prepare, small_batches
 
-DOCS, WORDS, LONGEST, PIECE = 800, 40_000, 32, 12
+DOCS, WORDS, LONGEST, LANGUAGES = 800, 40_000, 32, 1000
 ROUNDS, FLOOR, UNKNOWN = 4, 1e-8, 1e-9
 REMEMBERED = 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 MARK = "▁"
 
 
 def words_of(text: str | None) -> list[str]:
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
-        if len(w) <= LONGEST:
-            out.append(w)
-        else:
-            out.extend(w[i : i + LONGEST] for i in range(0, len(w), LONGEST))
-    return out
+    return LETTERS.findall((text or "").lower())
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -47,7 +46,7 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    fine = {p for p in pieces if 0 < len(p) <= PIECE and (p == MARK or p.removeprefix(MARK).isalpha()) and p == p.lower()}
+    fine = {p for p in pieces if p and (p == MARK or p.removeprefix(MARK).isalpha()) and p == p.lower()}
     return sorted(fine)
 
 
@@ -58,6 +57,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.pieces, self.unknown = pieces, len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.slots = np.full(1 << self._BITS, -1, np.int32)
         self.keys = np.zeros(len(pieces), np.uint64)
         self.next = np.full(len(pieces) + 1, -1, np.int32)  # pieces that share a slot
@@ -80,7 +80,7 @@ class Lattice:
         at: list[list[np.ndarray]] = [[] for _ in range(size)]
         for i in range(size):
             h = np.zeros(len(words), np.uint64)
-            for j in range(i, min(size, i + PIECE)):
+            for j in range(i, min(size, i + self.longest)):
                 h = self._push(h, codes[:, j])
                 found = self.slots[(h >> np.uint64(64 - self._BITS)).astype(np.int64)]
                 while True:  # down the chain where the slot holds another piece
@@ -112,6 +112,7 @@ class Unigrams:
     def __init__(self, languages: list[str], p: np.ndarray, lattice: Lattice):
         self.languages, self.p, self.lattice = languages, p, lattice
         self.known: dict[str, int] = {}
+        self.number: dict[str, int] | None = None
         self.scores = np.zeros((0, len(languages)))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -119,13 +120,34 @@ class Unigrams:
         out = np.zeros((len(words), len(self.languages)))
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_size.setdefault(len(w), []).append(i)
+            if len(w) > LONGEST:
+                out[i] = self.long_score(w)
+            else:
+                by_size.setdefault(len(w), []).append(i)
         for where in by_size.values():
             for cut in range(0, len(where), 4000):
                 part = where[cut : cut + 4000]
                 out[part] = np.log(np.maximum(forward(self.lattice.of([words[i] for i in part]), self.p)[-1], 1e-300))
         return out
 
+    def long_score(self, word: str) -> np.ndarray:
+        """Log-probabilities of a run of any length: a window of sums, rescaled at each character."""
+        if self.number is None:
+            self.number = {x: i for i, x in enumerate(self.lattice.pieces)}
+        get, longest, text = self.number.get, self.lattice.longest, MARK + word
+        sums, log = deque([np.ones(len(self.languages))], maxlen=longest), np.zeros(len(self.languages))
+        for j in range(1, len(text) + 1):
+            total = sums[-1] * UNKNOWN
+            for k in range(1, min(longest, j) + 1):
+                if (at := get(text[j - k : j])) is not None:
+                    total = total + sums[-k] * self.p[at]
+            sums.append(total)
+            if not j % 8:
+                log += np.log(total)
+                for i, x in enumerate(sums):
+                    sums[i] = x / total
+        return log + np.log(sums[-1])
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [words_of(t) for t in texts]
         if not self.languages:
@@ -155,7 +177,7 @@ def learn(counts: dict[str, Counter], pieces: list[str]) -> Unigrams:
     p = np.zeros((len(pieces) + 1, len(languages)))
     start = np.ones(len(pieces))
     for k, lang in enumerate(languages):
-        words = counts[lang].most_common(WORDS)
+        words = [(w, c) for w, c in counts[lang].most_common(WORDS) if len(w) <= LONGEST]
         by_size: dict[int, list[tuple[str, int]]] = {}
         for w, c in sorted(words):
             by_size.setdefault(len(w), []).append((w, c))
@@ -168,7 +190,7 @@ def learn(counts: dict[str, Counter], pieces: list[str]) -> Unigrams:
                 beta = [None] * len(at) + [np.ones_like(alpha[0])]
                 for i in range(len(at) - 1, -1, -1):
                     total = beta[i + 1] * UNKNOWN
-                    for j in range(i, min(len(at), i + PIECE)):
+                    for j in range(i, min(len(at), i + lattice.longest)):
                         total = total + beta[j + 1] * q[at[j][j - i]]
                     beta[i] = total
                 scale = (weight / np.maximum(alpha[-1][:, 0], 1e-300))[:, None]
@@ -182,27 +204,19 @@ def learn(counts: dict[str, Counter], pieces: list[str]) -> Unigrams:
     return Unigrams(languages, p, lattice)
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-
-
 def sample_counts(docs: DataFrame, most: int = DOCS) -> dict[str, Counter]:
     """Word counts of at most ``most`` texts a language that are not held out."""
     prepare(docs.sparkSession)
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # the first of each language by hash: a threshold from the counts first, so that no window sees all rows
-    n = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}
-    if not n:
-        return {}
-    near = F.lit(False)
-    for lang, total in n.items():
-        share = min(1.0, 1.5 * most / total)
-        near = near | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))))
-    from pyspark.sql import Window
-
+    share = F.least(F.lit(1.0), 1.5 * most / F.col("total"))
+    near = able.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).select("lang", (share * (1 << 30)).alias("under"))
+    able = able.join(F.broadcast(near), "lang")  # at most LANGUAGES rows
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = able.where(near).select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("doc_id")
-    picked = able.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")  # at most DOCS rows a language
+    ids = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("under")).select("lang", "doc_id").distinct()
+    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("lang", "doc_id")
+    # at most DOCS identifiers a language; of rows that share one, the least text teaches
+    picked = able.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
         got: dict[str, Counter] = {}
@@ -214,11 +228,12 @@ def sample_counts(docs: DataFrame, most: int = DOCS) -> dict[str, Counter]:
 
     counts = map_arrow(picked, step, "lang string, w string, c long").groupBy("lang", "w").agg(F.sum("c").alias("c"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))).where(F.col("r") <= WORDS)
-    out: dict[str, Counter] = {lang: Counter() for lang in n}
-    t = ranked.select("lang", "w", "c").toArrow()
+    out: dict[str, Counter] = {}
+    with small_batches(docs.sparkSession):
+        t = ranked.select("lang", "w", "c").toArrow()
     for lang, w, c in zip(t.column("lang").to_pylist(), t.column("w").to_pylist(), t.column("c").to_pylist(), strict=True):
-        out[lang][w] += c
-    return {lang: c for lang, c in out.items() if c}
+        out.setdefault(lang, Counter())[w] += c
+    return out
 
 
 def identify(docs: DataFrame, counts: dict[str, Counter], vocabulary: str) -> DataFrame:
@@ -239,7 +254,8 @@ def identify(docs: DataFrame, counts: dict[str, Counter], vocabulary: str) -> Da
         return step
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), start, f"doc_id {kind}, lang_pred string, score double")
+    found = map_arrow(docs.select("doc_id", "text"), start, f"doc_id {kind}, lang_pred string, score double")
+    return Scratch(docs.sparkSession, "language").write(found, "identified")
 
 
 def op5(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -3,11 +3,12 @@
 Pass 1 tokenizes each document once and writes its ids with the chunk (scan task) and the offset inside it. The
 totals of the chunks give, by a running sum, each chunk's global offset. Pass 2 adds the two and cuts the stream
 into windows of ``size`` tokens: a document yields one boundary record for each window it touches. Only chunk totals
-are ordered in one place (a row for each scan task); no ids are shuffled.
+are ordered in one place (a row of two longs for each scan task, broadcast up to ``CHUNKS`` of them, which is
+250 TB in splits of 128 MB); no ids are shuffled.
 
 Defined cases: a null text counts as empty and yields the end id alone; repeated rows are packed each by itself;
 a document longer than a window spans several; only the stream's last window is not full; an empty table gives no
-rows; other columns are ignored.
+rows; a very long text is one row of ids until it is cut; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
 
-SIZE, END = 2048, 1
+SIZE, END, CHUNKS = 2048, 1, 2_000_000
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,7 +54,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, id_
     totals = rows.groupBy("chunk").agg(F.sum("n").alias("total"))
     base = F.sum("total").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     bases = scratch.write(totals.select("chunk", F.coalesce(base, F.lit(0)).alias("base")).coalesce(1), "bases")
-    placed = rows.join(bounded(bases, bases.count()), "chunk").withColumn("g", F.col("base") + F.col("at"))
+    placed = rows.join(bounded(bases, bases.count(), CHUNKS), "chunk").withColumn("g", F.col("base") + F.col("at"))
     w = F.lit(size).cast("long")
 
     def piece(s):

@@ -6,17 +6,19 @@ trees in heap order, which a batch walks level by level for all rows and trees a
 
 Defined cases: a null text counts as empty and is scored as such; unlabelled rows, and labels other than 0 and 1,
 teach nothing; of several labels of one identifier the smallest counts; without labels of both kinds every score is
-the share of label 1 (0.5 without any); an empty table gives no rows; repeated rows are scored alike.
+the share of label 1 (0.5 without any); an empty table gives no rows; repeated rows are scored alike; very long texts
+are read whole, in a batch of their own; other columns, whatever their names, come as they were.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import factory, map_arrow, prepare
+from tidemark.llm.common import Scratch, factory, held_out, map_arrow, plain, prepare, small_batches
 
 #: Labelled rows that a fit takes at most.
 SAMPLE = 20_000
@@ -120,16 +122,12 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + self.leaf[each, node].sum(1))))
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most ``most`` labelled rows that are not held out: the first by hash of the identifier."""
+    """(id, y, text) of at most ``most`` labelled rows that are not held out: the first by hash of the identifier."""
     y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(column).alias("y"))
-    ids = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").cast("long").alias("__id"), F.col("y").cast("int").alias("__y"))
-    got = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"))
-    return got.join(F.broadcast(ids), "__id").select("__id", F.col("__text").alias("text"), F.col("__y").alias("y"))  # at most SAMPLE ids
+    ids = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").cast("long").alias("id"), F.col("y").cast("int").alias("y"))
+    got = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids), "id")  # at most SAMPLE ids
+    return got.groupBy("id", "y").agg(F.min("text").alias("text"))  # of rows that share an identifier, one teaches
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **params) -> Trees:
@@ -139,17 +137,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **params) -> Tre
         x = stats_batch(b.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *(pa.array(c) for c in x.T)], names=["id", "y", *STATS])
 
-    rows = labelled_sample(docs, labels, most=most).select(F.col("__id").alias("id"), "text", "y")
-    got = map_arrow(rows, step, "id long, y int, " + ", ".join(f"{s} double" for s in STATS)).toArrow()
-    got = got.sort_by([("id", "ascending"), ("log_chars", "ascending")]).slice(0, 2 * most)
+    rows = labelled_sample(docs, labels, most=most).select("id", "text", "y")
+    with small_batches(docs.sparkSession):
+        got = map_arrow(rows, step, "id long, y int, " + ", ".join(f"{s} double" for s in STATS)).toArrow()
+    got = got.sort_by("id")
     x = np.stack([got.column(s).to_numpy() for s in STATS], 1) if got.num_rows else np.zeros((0, len(STATS)))
     return Trees.fit(x, got.column("y").to_numpy().astype(np.float64), **params)
 
 
-def score(docs: DataFrame, trees: Trees, out: str = "score") -> DataFrame:
-    """docs with a column of scores; every other column as it came."""
+def score(docs: DataFrame, trees: Trees, out: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs (or the columns to keep of it: a text that is not kept does not go back through Arrow) with a column of
+    scores at the end. A column of that name must not be there already."""
+    fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
+    if out in [f.name for f in fields]:
+        raise ValueError(f"docs has a column {out}: name another")
     prepare(docs.sparkSession)
-    parts = (trees.base, trees.feature, trees.threshold, trees.leaf)
+    parts, n = (trees.base, trees.feature, trees.threshold, trees.leaf), len(fields)
+    names = [f"c{i}" for i in range(n)]  # the map takes no names with dots
 
     @factory
     def start():
@@ -157,31 +161,18 @@ def score(docs: DataFrame, trees: Trees, out: str = "score") -> DataFrame:
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             p = model.predict(stats_batch(b.column("text").to_pylist()))
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, out])
+            return pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(p)], names=[*names, "score"])
 
         return step
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out)
-    return map_arrow(docs.drop(out), start, f"{fields}, `{out}` double")
+    own = [c.alias(name) for c, name in zip(plain([f.name for f in fields]), names, strict=True)]
+    kinds = T.StructType([*(T.StructField(name, f.dataType) for name, f in zip(names, fields, strict=True)), T.StructField("score", T.DoubleType())])
+    return map_arrow(docs.select(*own, F.col("text").alias("text")), start, kinds).toDF(*(f.name for f in fields), out)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     trees = fit(docs, labels)
-    # only the identifier leaves the stage with the score, so that no text goes back through Arrow
-    prepare(spark)
-    parts = (trees.base, trees.feature, trees.threshold, trees.leaf)
-
-    @factory
-    def start():
-        model = Trees(*parts)
-
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            p = model.predict(stats_batch(b.column("text").to_pylist()))
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
-
-        return step
-
-    scored = map_arrow(docs, start, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = Scratch(spark, "quality").write(score(docs, trees, keep=["doc_id"]), "scored")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -6,15 +6,17 @@ several events of one entry at one time the removal counts. Consecutive events o
 ``prefix`` (host and leading path). A capture (url, fetched_at) is blocked if an entry of its host, of a domain above
 it or of a prefix of its path is valid at fetched_at.
 
-A capture has a key for its host, for each domain above it and for each leading path (their number is bounded by the
-url's own length), and each key meets at most the intervals that touch the capture's month: intervals are repeated
-for each month they touch, up to the last month that any capture has, so the join is on (key, month) with a range
+A capture has a key for its host, for each domain above it (from one label on) and for each leading path, but no
+deeper than the deepest entry of the list, so that a very long url makes no more keys than an entry could match.
+Each key meets at most the intervals that touch the capture's month: intervals are repeated for each month they touch, up to the last month that any capture has, so the join is on (key, month) with a range
 check inside. The list side is broadcast if counted small; else keys are shuffled by (key, month), where a hot host
 spreads over months and skewed partitions are split.
 
 Defined cases: urls are parsed as scheme://[user@]host[:port][/path][?query][#fragment], hosts and schemes
 lower-cased; a null or unparsable url has no keys and is not blocked; a null fetch time is not blocked; list events
-with nulls are ignored; repeated captures are answered each; an empty list blocks nothing.
+with nulls are ignored; repeated captures are answered each; an empty list blocks nothing; captures keep their other
+columns, whatever their names, but for columns named like the answer's (n_entries, first_entry, listed_from), which
+the answer replaces.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bounded
+from tidemark.llm.common import Scratch, bounded, free, plain
 
 _URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)"
 
@@ -41,26 +43,46 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(url, _URL, 1)), F.regexp_extract(url, _URL, 2)
 
 
-def keys_of(url: Column) -> Column:
-    """Array of keys 'kind:pattern' that an entry may have to block the url."""
+def depth_of(kind: Column, pattern: Column) -> Column:
+    """Labels of a domain entry, path segments of a prefix entry: how deep a url's keys have to go."""
+    segments = F.size(F.filter(F.split(pattern, "/"), lambda x: x != "")) - 1
+    return F.when(kind == "domain", F.size(F.split(pattern, r"\."))).when(kind == "prefix", segments).otherwise(0)
+
+
+def keys_of(url: Column, labels_most: int, segments_most: int) -> Column:
+    """Array of keys 'kind:pattern' that an entry of at most these depths may have to block the url."""
     host, path = url_parts(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.when(n >= 2, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))).otherwise(F.array().cast("array<string>"))
-    segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda k: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")))
+    none = F.array().cast("array<string>")
+
+    def domain(k):
+        return F.concat(F.lit("domain:"), F.array_join(F.slice(labels, n - k + 1, k), "."))
+
+    def prefix(k):
+        return F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))
+
+    segments = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, max(1, segments_most))
+    domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(labels_most))), domain) if labels_most > 0 else none
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(segments_most))), prefix) if segments_most >= 0 else none
     keys = F.concat(domains, F.array(F.concat(F.lit("host:"), host)), prefixes)
-    return F.when(url.isNotNull() & (host != ""), F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
+    return F.when(url.isNotNull() & (host != ""), F.array_distinct(keys)).otherwise(none)
 
 
 def _month(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts)
 
 
+ANSWER = ("n_entries", "first_entry", "listed_from")
+
+
 def blocked(captures: DataFrame, events: DataFrame) -> DataFrame:
     """captures (id, url, fetched_at) with n_entries, first_entry (least key), listed_from of the valid entries."""
     scratch = Scratch(captures.sparkSession, "url-filters")
+    captures = captures.select(*plain([c for c in captures.columns if c.lower() not in ANSWER]))
     spans = scratch.write(intervals(events).withColumn("key", F.concat_ws(":", "kind", "pattern")), "intervals")
+    depth = depth_of(F.col("kind"), F.col("pattern"))
+    deep = spans.agg(*[F.max(F.when(F.col("kind") == k, depth)).alias(k) for k in ("domain", "prefix")]).first()
     bounds = captures.agg(F.min("fetched_at").alias("lo"), F.max("fetched_at").alias("hi")).first()
     if bounds["lo"] is None:
         spans = spans.where("false")
@@ -71,10 +93,13 @@ def blocked(captures: DataFrame, events: DataFrame) -> DataFrame:
     months = spans.where(begin <= end).select("key", "valid_from", "valid_to", F.explode(F.sequence(begin, end)).alias("month"))
     months = scratch.write(months, "months")
     asked = captures.select("url", "fetched_at").where("url is not null and fetched_at is not null").distinct()
-    asked = asked.select("url", "fetched_at", _month(F.col("fetched_at")).alias("month"), F.explode(keys_of(F.col("url"))).alias("key"))
+    asked = asked.select("url", "fetched_at", _month(F.col("fetched_at")).alias("month"), F.explode(keys_of(F.col("url"), deep["domain"] or 0, -1 if deep["prefix"] is None else deep["prefix"])).alias("key"))
     met = asked.join(bounded(months, months.count()), ["key", "month"]).where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     found = met.groupBy("url", "fetched_at").agg(F.count("*").alias("n_entries"), F.min("key").alias("first_entry"), F.max("valid_from").alias("listed_from"))
-    return captures.join(found, ["url", "fetched_at"], "left")
+    url, at = free(captures, "asked_url", "asked_at")
+    found = found.withColumnsRenamed({"url": url, "fetched_at": at})
+    both = captures.join(found, (F.col("url") == F.col(url)) & (F.col("fetched_at") == F.col(at)), "left")
+    return both.select(*plain(captures), *ANSWER)
 
 
 #: The first day of the capture calendar, and the length of its cycle in days.
@@ -150,9 +175,7 @@ iv AS (
 keys AS (
   SELECT page_id, fetched_at, unnest(list_distinct(
     list_concat(
-      CASE WHEN len(string_split(host, '.')) >= 2 THEN
-        list_transform(generate_series(2, len(string_split(host, '.'))), lambda k: 'domain:' || array_to_string(string_split(host, '.')[len(string_split(host, '.')) - k + 1:], '.'))
-        ELSE [] END,
+      list_transform(generate_series(1, len(string_split(host, '.'))), lambda k: 'domain:' || array_to_string(string_split(host, '.')[len(string_split(host, '.')) - k + 1:], '.')),
       ['host:' || host],
       list_transform(generate_series(0, len(segs)), lambda k: 'prefix:' || host || '/' || array_to_string(segs[1:k], '/'))))) AS key
   FROM cap WHERE url IS NOT NULL AND host <> ''),
