@@ -45,7 +45,7 @@ def test_edits_against_recounting():
     parts = ["a", "b ", "  ", "\n", "'s", "12", " the", "É", "!!", "  x", "\n\n", "\t", "don't"]
     for _ in range(600):
         text = "".join(r.choice(parts) for _ in range(r.choice([0, 1, 5, 30, 400])))
-        tree, now = token_counts.CountTree(text, COUNTER), text
+        tree, now = token_counts.CountTree.of_text(text, COUNTER), text
         for _ in range(r.randint(1, 4)):
             n = len(now)
             s = r.randint(0, n)
@@ -54,11 +54,49 @@ def test_edits_against_recounting():
             tree.edit(s, e, new)
             now = now[:s] + new + now[e:]
             assert tree.text() == now and tree.count() == COUNTER.count(now)
+            if r.random() < 0.3:  # kept and read again
+                tree = token_counts.CountTree.stored(*tree.row()[:4], COUNTER)
+
+
+def test_leaves_stay_in_size_and_sums_with_them():
+    """Many edits at one place: no leaf holds the document, and the tree stays that of its leaves."""
+    r = random.Random(2)
+    tree, now = token_counts.CountTree.of_text("some words of a text " * 40, COUNTER), "some words of a text " * 40
+    for k in range(400):
+        at = r.randint(90, 110) if k < 300 else 50
+        cut = 0 if k < 300 else 40
+        new = " and more of it," if k < 300 else ""
+        tree.edit(at, at + cut, new)
+        now = now[:at] + new + now[at + cut :]
+        assert max(map(len, tree.cuts)) <= 2 * token_counts.RUN
+    fresh = token_counts.CountTree(COUNTER, now, np.concatenate(tree.cuts), np.array([len(x) for x in tree.cuts]), tree.tokens[tree.wide : tree.wide + len(tree.leaves)])
+    assert tree.text() == now and tree.count() == COUNTER.count(now) and (fresh.tokens == tree.tokens).all() and (fresh.chars == tree.chars).all()
+    assert 0 < tree.rebuilt < 60
+
+
+def test_a_second_batch_of_edits_reads_stored_trees(spark, tmp_path):
+    """The trees are a table; a batch of edits re-encodes what it touches, and gives a table of trees again."""
+    texts = {1: "word " * 5000, 2: "a short one", 3: None, None: "no name"}
+    docs = spark.createDataFrame([*texts.items(), (2, "a short one")], "doc_id long, text string")
+    token_counts.built(docs, BYTES, public.PATTERN).write.parquet(str(tmp_path / "0"))
+    now = [(d, t or "") for d, t in [*texts.items(), (2, "a short one")]]
+    batches = [[(1, 0, 10_000, 10_004, "thing"), (1, 1, 30, 40, ""), (2, 0, 0, 1, "One"), (9, 0, 0, 0, "x"), (None, 0, 0, 0, "x"), (2, 1, None, 0, "x")], [(1, 0, 24_000, 99_000, " end"), (3, 5, 7, 3, "new text"), (2, 0, 3, 3, "!")]]
+    for k, batch in enumerate(batches):
+        edits = spark.createDataFrame(batch, "doc_id long, seq int, start int, end int, new string")
+        trees = spark.read.parquet(str(tmp_path / str(k)))
+        token_counts.edited(trees, edits, BYTES, public.PATTERN).write.parquet(str(tmp_path / str(k + 1)))
+        for d, _, s, e, new in batch:
+            if None not in (d, s):
+                now = [(i, t[: min(s, len(t))] + new + t[max(min(s, len(t)), min(e, len(t))) :] if i == d else t) for i, t in now]
+        got = spark.read.parquet(str(tmp_path / str(k + 1))).collect()
+        assert sorted(((x.doc_id, x.text, x.n_tokens) for x in got), key=str) == sorted(((d, t, COUNTER.count(t)) for d, t in now), key=str)
+        assert max(x.recoded_chars for x in got) < 700
+    assert sorted(trees.columns) == sorted(x for x in spark.read.parquet(str(tmp_path / "1")).columns)
 
 
 def test_an_edit_recodes_little():
     text = " ".join(f"word{i}" for i in range(20_000))
-    tree = token_counts.CountTree(text, COUNTER)
+    tree = token_counts.CountTree.of_text(text, COUNTER)
     tree.edit(70_000, 70_005, " changed")
     assert tree.encoded < 200 and tree.count() == COUNTER.count(text[:70_000] + " changed" + text[70_005:])
 
