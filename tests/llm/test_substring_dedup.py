@@ -43,12 +43,12 @@ def corpus(seed, window):
 
 
 def test_levels():
-    assert levels_of(50) == [25, 50]
-    assert levels_of(50, 10) == [7, 13, 25, 50]
+    assert levels_of(50) == levels_of(50, 10) == [7, 13, 25, 50]
+    assert levels_of(50, 25) == levels_of(50, 50) == [25, 50] and levels_of(1) == [1] and levels_of(7) == [4, 7]
 
 
 def test_against_brute_force(spark):
-    for seed, window, first in ((1, 12, None), (2, 12, 4), (3, 9, 2), (4, 16, 5)):
+    for seed, window, first in ((1, 12, 7), (2, 12, 4), (3, 9, 2), (4, 16, 2)):
         rows = corpus(seed, window)
         df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, pos string")
         got = substring_dedup(df, window, first)
@@ -65,3 +65,21 @@ def test_kept_texts(spark):
 
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_candidates_shrink_level_by_level(spark):
+    """Passages of 20, 40 and 60 shared words: the short ones drop out before the last length."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    shared = {n: [[word() for _ in range(n)] for _ in range(12)] for n in (10, 20, 40, 60)}
+    rows = []
+    for d in range(200):
+        w = [word() for _ in range(30)]
+        for n in shared:
+            w += r.choice(shared[n]) + [word() for _ in range(5)]
+        rows.append((d, " ".join(w)))
+    seen = {}
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), seen=seen).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, 50)
+    assert list(seen) == [13, 25, 50] and seen[13] > 1.5 * seen[25] > 2 * seen[50] > 0
+    assert substring_dedup(spark.createDataFrame(rows[:1], "doc_id long, text string"), seen=(alone := {})).collect()[0].n_removed == 0 and alone == {}

@@ -1,19 +1,21 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Level 0 looks at windows of half the first level's length (25 words for 50), and of these only at minimizers: in each
-window of the next length the smallest hash of the shorter ones. Equal long windows hold equal minimizers, so a long
-window without a repeated minimizer repeats nowhere. Windows that stand over a repeated one are extended to twice the
-length and counted again, whole; from there on a window goes on only if both its halves repeat. It ends when the
-asked length is reached or no candidate survives. A window repeats if its words stand in two documents; its first
-document is a minimum, aggregated on the map side, so a passage that a third of all documents share costs a task one
-row. Copies of a whole document are told by a digest of their words first and take no part in the levels: whatever
-stands in them stands in the first of them.
-
-Window keys are 128 bits at the counted levels. Words are as the contract has them: ``[^\\x20\\x09-\\x0D]+``.
+Lengths go from about ``FIRST`` words to the window by doubling (7, 13, 25, 50). Level 0 looks at windows of the least
+length, and of these only at minimizers: in each window of the next length the smallest hash of the shorter ones.
+Equal long windows hold equal minimizers, so a long window without a repeated minimizer repeats nowhere. Windows that
+stand over a repeated one are extended to the next length and counted again, whole; from there on a window goes on only
+if both its halves repeat. It ends when the asked length is reached or no candidate survives. A window repeats if its
+words stand in two documents; its first document is a minimum, aggregated on the map side, so a passage that a third
+of all documents share costs a task one row. Copies of a whole document are told by a digest of their words first and
+take no part in the levels: whatever stands in them stands in the first of them.
+
+Window keys are 128 bits at the last level, and 64 bits before it, where a wrong hit costs a candidate and nothing else.
+Words are as the contract has them: ``[^\\x20\\x09-\\x0D]+``. A level's tables are deleted when the next one stands.
 
 Defined cases: a null text has no words; texts shorter than the window lose nothing; a row without an identifier
-loses nothing and takes nothing from others; rows that repeat an identifier take nothing from each other; an empty
-table gives no rows; other columns are ignored.
+loses nothing and takes nothing from others; rows that repeat an identifier take nothing from each other; a very long
+text is one row whose windows go out in one Arrow batch; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
 
-WINDOW = 50
-#: Words whose hashes a worker remembers; positions (8 bytes each) that a broadcast may hold.
-REMEMBERED, BROADCAST_LONGS = 400_000, 4_000_000
+WINDOW, FIRST = 50, 7
+#: Words whose hashes a worker remembers; longs that a broadcast may hold, and bytes where rows hold texts.
+REMEMBERED, BROADCAST_LONGS, BROADCAST_BYTES = 400_000, 4_000_000, 32_000_000
 
 
-def levels_of(window: int, first: int | None = None) -> list[int]:
-    """Lengths from about ``first`` on, each at most twice the one before, up to the window."""
+def levels_of(window: int, first: int = FIRST) -> list[int]:
+    """Lengths from about ``first`` on, each at most twice the one before, up to the window; two at least."""
     out = [window]
-    while out[0] > (first or (window + 1) // 2) and out[0] > 1:
+    while (out[0] > first or len(out) == 1) and out[0] > 1:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
@@ -148,8 +150,8 @@ def described(docs: DataFrame, short: int, long: int) -> DataFrame:
     return map_arrow(docs, start, "doc_id long, th long, digest binary, n_words long, sha string, anchors array<long>")
 
 
-def extended(docs: DataFrame, short: int, long: int, over_anchors: bool) -> DataFrame:
-    """(doc_id, th, pos, h1, h2) of candidate windows of the longer length. docs: doc_id, th, text, hits.
+def extended(docs: DataFrame, short: int, long: int, over_anchors: bool, last: bool) -> DataFrame:
+    """(doc_id, th, pos, h1; h2 at the last level) of candidate windows of the longer length. docs: doc_id, th, text, hits.
 
     hits are hashes of repeated minimizers, or positions of repeated windows of the shorter length.
     """
@@ -185,14 +187,14 @@ def extended(docs: DataFrame, short: int, long: int, over_anchors: bool) -> Data
             at = np.flatnonzero(able & (t.left >= long))
             if not len(at):
                 return None
-            h1, h2 = window_hashes(t.low, long, 1)[at], window_hashes(t.high, long, 77)[at]
+            keys = [window_hashes(t.low, long, 1)[at]] + ([window_hashes(t.high, long, 77)[at]] if last else [])
             d = t.doc[at]
             ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(th[d]), pa.array((at - t.starts[d]).astype(np.int32)), _signed(h1), _signed(h2)], names=["doc_id", "th", "pos", "h1", "h2"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(th[d]), pa.array((at - t.starts[d]).astype(np.int32)), *map(_signed, keys)], names=["doc_id", "th", "pos", "h1", "h2"][: 3 + len(keys)])
 
         return step
 
-    return map_arrow(docs.select("doc_id", "th", "text", "hits"), start, "doc_id long, th long, pos int, h1 long, h2 long")
+    return map_arrow(docs.select("doc_id", "th", "text", "hits"), start, "doc_id long, th long, pos int, h1 long" + (", h2 long" if last else ""))
 
 
 def without(docs: DataFrame) -> DataFrame:
@@ -216,8 +218,13 @@ def without(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "th", "text", "starts", "ends"), step, "doc_id long, th long, n_removed long, sha string, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int | None = None, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and with ``texts`` kept_text (null where nothing was removed)."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", seen: dict[int, int] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, and with ``texts`` kept_text (null where nothing was removed).
+
+    ``seen`` is filled with the number of candidate windows of each length.
+    """
+    if window < 2:
+        raise ValueError("window: two words at least")
     spark = docs.sparkSession
     prepare(spark)
     scratch, lengths = Scratch(spark, "substrings"), levels_of(window, first)
@@ -229,9 +236,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int | None = N
     copies = all_.where(f"n_words >= {window} and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.write(copies.select("digest", "first_id"), "copies")
     copies = bounded(copies, copies.count())
-    marked = all_.join(copies, "digest", "left")
+    marked = all_.select("doc_id", "th", "digest", "n_words", "sha").join(copies, "digest", "left")
     whole = (F.col("n_words") >= window) & (F.col("doc_id") > F.col("first_id"))
-    takes_part = marked.where(F.coalesce(~whole, F.lit(True)) & F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    takes_part = all_.join(copies, "digest", "left").where(F.coalesce(~whole, F.lit(True)) & F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
 
     # level 0: minimizers that stand in two documents, and the documents that hold them
     anchors = takes_part.select("doc_id", "th", F.explode(F.array_distinct("anchors")).alias("a"))
@@ -239,41 +246,47 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int | None = N
     repeated = scratch.write(repeated, "repeated")
     hits = anchors.join(repeated, "a", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("a").alias("hits"))
     hits = scratch.write(hits, "hits")
+    scratch.drop(repeated)
     keyed = ["doc_id", "th"]
-    dups = None
+    ranges = None
     for k in range(1, len(lengths)):
         n, longs = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()
         if not n:
             break
+        last = k == len(lengths) - 1
         chosen = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(hits) if longs + n <= BROADCAST_LONGS else hits, keyed)
-        rows = scratch.write(extended(chosen, lengths[k - 1], lengths[k], over_anchors=k == 1), f"windows{lengths[k]}")
-        firsts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        if k == len(lengths) - 1:
-            firsts = scratch.write(firsts.select("h1", "h2", "lo"), "firsts")
-            dups = rows.join(firsts, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "th", "pos")
+        rows = scratch.write(extended(chosen, lengths[k - 1], lengths[k], k == 1, last), f"windows{lengths[k]}")
+        if seen is not None:
+            seen[lengths[k]] = rows.count()
+        keys = ["h1", "h2"] if last else ["h1"]
+        firsts = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        firsts = scratch.write(firsts.select(*keys, "lo") if last else firsts.select(*keys), "firsts")
+        before = hits
+        if last:
+            dups = rows.join(firsts, keys).where("doc_id > lo").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+            ranges = dups.select(
+                "doc_id", "th",
+                F.expr(f"filter(ps, (p, i) -> i = 0 or p > ps[greatest(i - 1, 0)] + {window})").alias("starts"),
+                F.expr(f"transform(filter(ps, (p, i) -> i = size(ps) - 1 or ps[least(i + 1, size(ps) - 1)] > p + {window}), p -> p + {window})").alias("ends"),
+            )
+            ranges = scratch.write(ranges, "ranges")
         else:
-            firsts = scratch.write(firsts.select("h1", "h2"), "firsts")
-            hits = rows.join(firsts, ["h1", "h2"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.col("pos").cast("long")).alias("hits"))
+            hits = rows.join(firsts, keys, "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.col("pos").cast("long")).alias("hits"))
             hits = scratch.write(hits, "hits")
+        scratch.drop(rows, firsts, before)
     base = marked.select("doc_id", "th", "n_words", "sha", whole.alias("whole"))
     empty_sha = hashlib.sha256(b"").hexdigest()
-    if dups is None:
+    if ranges is None:
         out = base.withColumns({"n_removed": F.lit(None).cast("long"), "kept": F.lit(None).cast("string"), "kept_text": F.lit(None).cast("string")})
     else:
-        ps = dups.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
-        ranges = ps.select(
-            "doc_id", "th",
-            F.expr(f"filter(ps, (p, i) -> i = 0 or p > ps[greatest(i - 1, 0)] + {window})").alias("starts"),
-            F.expr(f"transform(filter(ps, (p, i) -> i = size(ps) - 1 or ps[least(i + 1, size(ps) - 1)] > p + {window}), p -> p + {window})").alias("ends"),
-        )
-        ranges = scratch.write(ranges, "ranges")
         n, longs = ranges.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
         small = n + longs <= BROADCAST_LONGS
         chosen = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ranges) if small else ranges, keyed)
         cut = without(chosen).withColumnRenamed("sha", "kept")
         cut = scratch.write(cut if texts else cut.drop("kept_text"), "cut")
+        size = cut.agg(F.sum(F.octet_length("kept_text") + 100)).first()[0] if texts else 100 * n
         cut = cut.dropDuplicates(keyed)
-        out = base.join(bounded(cut, n), keyed, "left")
+        out = base.join(bounded(cut, size or 0, BROADCAST_BYTES), keyed, "left")
         if not texts:
             out = out.withColumn("kept_text", F.lit(None).cast("string"))
     gone = F.coalesce("whole", F.lit(False))
