@@ -81,6 +81,68 @@ def test_large_buckets_and_blocks(spark):
     check(spark, corpus(2, 4, 45, 120), recall=0.99999, small=8, block=16)
 
 
+def test_families_are_peeled(spark, monkeypatch):
+    """Tight and wide families around their pivots: counts by distance, open pairs by comparison."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    rows, d = [], 0
+    for size, edits in ((70, 1), (70, 4), (60, 9)):
+        base = [word() for _ in range(110)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randint(0, edits)):
+                w[r.randrange(len(w))] = word()
+            rows.append((d, " ".join(w)))
+            d += 1
+        rows += [(d + k, rows[-1 - k][1]) for k in range(3)]
+        d += 3
+    # a chain: each text half of the allowed distance from the one before
+    chain = [word() for _ in range(100)]
+    for k in range(40):
+        chain[(3 * k) % 100] = word()
+        rows.append((d, " ".join(chain)))
+        d += 1
+    opened = []
+    real = cp.peeled
+
+    def watched(scratch, rows, threshold):
+        sure, open_, rest = real(scratch, rows, threshold)
+        opened.append((rows.count(), open_.count(), rest.count()))
+        return sure, open_, rest
+
+    monkeypatch.setattr(cp, "peeled", watched)
+    check(spark, rows, recall=0.99999, block=12)
+    assert len(opened) >= 2 and opened[0][2] < 0.8 * opened[0][0]
+    opened.clear()
+    check(spark, rows[:73], recall=0.99999, block=12)  # all near one page: nothing is compared
+    assert opened[0][1] == opened[0][2] == 0
+
+
+def test_recall_with_default_settings(spark):
+    """Links of the rows whose identifier is divisible by 20, against all rows."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    got = {x.doc_id: x.n_links for x in cp.similar_texts(docs).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.execute(r"""
+      WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+      pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0 GROUP BY 1, 2)
+      SELECT x, count(*) AS k FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c * 9 >= 4 * (p.n + q.n) GROUP BY 1""").fetchall()
+    assert len(want) > 50 and sum(got[x] for x, _ in want) >= 0.999 * sum(k for _, k in want)
+    assert all(got[x] <= k for x, k in want)
+
+
+def test_clashing_and_dotted_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h", 1, 2, 3), (2, "a b c d e f g h", 4, 5, 6), (None, None, 7, 8, 9)], "doc_id long, text string, kid int, th int, `a.b` int")
+    out = cp.keep_one(df)
+    assert out.columns == df.columns and sorted(x["a.b"] for x in out.collect()) == [3, 9]
+
+
 def test_runs():
     assert cp.runs_for(0.999, 1) == 7 and cp.runs_for(0.999, 3) == 15
 

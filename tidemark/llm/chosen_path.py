@@ -8,17 +8,24 @@ the same token fall into a bucket. Buckets over ``SMALL`` members are split agai
 blocks. Runs are repeated until a pair at the threshold is met with the target recall, with the branching
 process's survival at full depth as the chance of one run.
 
-Small buckets are compared by brute force on sketches, which only nominates: nominated texts form families, and
-each family's shingle sets are then compared exactly, all pairs of it, in blocks. No stage emits pairs: buckets give
-each member's root, blocks give where components meet, each member's root and its number of links. A family's comparison needs the square of
-its distinct texts, in matrix products, spread over tasks by blocks.
+Small buckets are compared by brute force on sketches, which only nominates: nominated texts form families, whose
+shingle sets are then compared exactly. A family of up to ``BLOCK`` texts is compared pair by pair in one place. A
+larger one is peeled: every text is measured against a pivot (the text with most copies), and as the Jaccard distance
+is a metric, two texts within half the allowed distance of the pivot are linked for sure, and a text near the pivot
+and one far from it are sure to be linked or not by the sum and the difference of their distances. Sure links are
+counted without a comparison; only pairs that the triangle inequality leaves open are compared, in blocks, and what
+lies outside the pivot's ball is peeled again around a pivot of its own, ``PEELS`` times, before its blocks are
+compared with each other. So a family of near copies of one page costs a comparison a text, not one a pair, and the
+links stay exact. No stage emits pairs: buckets give each member's root, blocks give where components meet, each
+member's root and its number of links. Blocks are bounded by rows and by bytes of their sets.
 
 Result per row: class_id (smallest doc_id of its class, linked directly or in a chain), n_links (rows whose
 similarity to this one reaches the threshold, copies included), kept (one row of each class).
 
 Defined cases: a null text counts as empty; all texts without words are one class (equal, nothing else links to
 them); a row without identifier takes part, but gives a class its name only if no other row does (class_id is then
-null); rows that repeat an identifier are rows like others; an empty table gives no rows; other columns are ignored.
+null); rows that repeat an identifier are rows like others; a very long text is one set in a block of few; an empty table
+gives no rows; other columns, whatever their names, are ignored here and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -28,14 +35,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bounded, components, factory, map_arrow, prepare, whole_groups
+from tidemark.llm.common import Scratch, bounded, components, factory, free, map_arrow, plain, prepare, whole_groups
 from tidemark.llm.substring_dedup import Texts, _signed, _Words, join_hashes, window_hashes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-SMALL, DEPTH, BLOCK, BINS = 256, 3, 512, 256
+SMALL, DEPTH, BLOCK, BINS, PEELS = 256, 3, 512, 256, 6
+#: Bytes of the sets of a block, and of a table of sets that is broadcast.
+BLOCK_BYTES, BROADCAST_BYTES = 16_000_000, 32_000_000
 _TOP = 1 << 62  # nodes from here on stand for rows without an identifier of their own
 
 
@@ -252,7 +261,7 @@ def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
 
 
 def shingled(docs: DataFrame, words: int) -> DataFrame:
-    """node, family, blocks, block, copies with the text's shingle set as bytes."""
+    """node, family, blocks, copies and the text's shingle set. docs: these and text."""
 
     @factory
     def start():
@@ -260,12 +269,13 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(Texts(b.column("text").to_pylist(), table), words)
-            keep = [b.column(c) for c in ("node", "family", "blocks", "block", "copies")]
-            return pa.RecordBatch.from_arrays([*keep, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "family", "blocks", "block", "copies", "set"])
+            cuts = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            keep = [b.column(c) for c in ("node", "family", "blocks", "copies")]
+            return pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(cuts), _signed(np.concatenate(sets)))], names=["node", "family", "blocks", "copies", "set"])
 
         return step
 
-    return map_arrow(docs.select("node", "family", "blocks", "block", "copies", "text"), start, "node long, family long, blocks int, block int, copies long, set binary")
+    return map_arrow(docs.select("node", "family", "blocks", "copies", "text"), start, "node long, family long, blocks int, copies long, set array<long>")
 
 
 def verified(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
@@ -274,7 +284,8 @@ def verified(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
     def run(batches):
         for t in whole_groups(batches, "group", rows=256):
             group, node, block, copies = (t.column(c).to_numpy() for c in ("group", "node", "block", "copies"))
-            raw = t.column("set")
+            raw = t.column("set").combine_chunks()
+            ends, flat = raw.offsets.to_numpy(), raw.values.to_numpy().view(np.uint64)
             cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
             out = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -282,7 +293,7 @@ def verified(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
                 at = a + first
                 if len(at) < 2:
                     continue
-                sets = [np.frombuffer(raw[int(k)].as_py(), np.uint64) for k in at]
+                sets = [flat[ends[k] : ends[k + 1]] for k in at]
                 which = block[at]
                 one, two = which.min(), which.max()
                 left = np.flatnonzero(which == one)
@@ -311,6 +322,90 @@ def verified(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
     return sorted_.mapInArrow(run, "node long, label long, links long")
 
 
+def blocks_for(rows: str, longs: str, block: int) -> Column:
+    """Into how many blocks sets go: of ``block`` rows and BLOCK_BYTES bytes on average."""
+    return F.greatest(F.ceil(F.col(rows) / block), F.ceil(8 * F.col(longs) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def with_blocks(rows: DataFrame, block: int) -> DataFrame:
+    size = rows.groupBy("family").agg(F.count("*").alias("size"), F.sum(F.size("set")).alias("longs"))
+    return rows.drop("blocks").join(size.select("family", blocks_for("size", "longs", block).alias("blocks")), "family")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(group, node, block, copies, cross, set): every pair of blocks of a family's rows meets in a group."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.select(group.alias("group"), "node", "block", "copies", (F.col("block") != F.col("other")).alias("cross"), "set")
+
+
+def in_crossed_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """The same for pairs of a row of side 0 and one of side 1; pairs of one side do not meet."""
+    size = rows.groupBy("family", "side").agg(F.count("*").alias("size"), F.sum(F.size("set")).alias("longs"))
+    own = size.select("family", "side", blocks_for("size", "longs", block).alias("own"))
+    rows = rows.join(own, ["family", "side"]).join(own.select("family", (1 - F.col("side")).alias("side"), F.col("own").alias("others")), ["family", "side"])
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("own")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    group = F.xxhash64("family", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine")), F.lit("crossed"))
+    return rows.select(group.alias("group"), "node", F.col("side").alias("block"), "copies", F.lit(True).alias("cross"), "set")
+
+
+def peeled(scratch: Scratch, rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pivot for each family. rows: node, family, copies, set.
+
+    Gives (node, label, links) of the links that are sure, rows with a side whose crossed pairs are open (side 1 lies
+    in the ball, side 0 outside but within reach), and the rows outside the ball, whose own pairs are open.
+    """
+    far, eps = 1 - threshold, 1e-9
+    pivot = rows.groupBy("family").agg(F.max(F.struct("copies", (-F.col("node")).alias("m"))).alias("k")).select("family", (-F.col("k.m")).alias("pivot"))
+    pivots = rows.withColumn("pivot", F.col("node")).join(pivot, ["family", "pivot"]).select("family", "pivot", F.col("set").alias("around"))
+    pivots = scratch.write(pivots, "pivots")
+    size = 8 * (pivots.agg(F.sum(F.size("around"))).first()[0] or 0)
+    both, all_ = F.size(F.array_intersect("set", "around")), F.size("set") + F.size("around")
+    at = rows.join(bounded(pivots, size, BROADCAST_BYTES), "family").select(
+        "node", "family", "pivot", "copies", (1 - both / (all_ - both)).alias("d"), (both * (1 + threshold) >= threshold * all_ - 1e-6).alias("near"),
+    )
+    at = scratch.write(at, "distances")
+    ball, d = F.col("d") <= far / 2 - eps, F.col("d")
+    within = ~ball & (d <= 1.5 * far + eps)  # outside, but some text of the ball may be linked to it
+    reach = at.groupBy("family").agg(F.max(F.when(within, d)).alias("most"), F.sum(F.when(ball, F.col("copies"))).alias("in_ball"), F.sum(F.when(within, F.col("copies"))).alias("within"))
+    core = ball & (F.col("most").isNull() | (d <= far - F.col("most") - eps))  # linked to all within reach
+    kind = F.when(core, 0).when(ball, 1).when(within, 2).otherwise(3)
+    at = at.join(bounded(reach, reach.count()), "family").withColumn("kind", kind)
+    at = scratch.write(at, "kinds")
+    inner = at.where("kind = 0").groupBy("family").agg(F.sum("copies").alias("in_core"))
+    known = at.join(bounded(inner, inner.count()), "family", "left")
+    links = F.when(F.col("kind") == 0, F.col("in_ball") - F.col("copies") + F.coalesce("within", F.lit(0))).when(F.col("kind") == 1, F.col("in_ball") - F.col("copies")).when(F.col("kind") == 2, F.coalesce("in_core", F.lit(0))).otherwise(0)
+    sure = known.select("node", F.when(F.col("near"), F.col("pivot")).otherwise(F.col("node")).alias("label"), links.alias("links"))
+    open_ = rows.join(at.where("kind in (1, 2)").select("node", (2 - F.col("kind")).alias("side")), "node")
+    return sure, open_, rows.join(at.where("kind >= 2").select("node"), "node", "left_semi")
+
+
+def linked(scratch: Scratch, small: DataFrame, large: DataFrame | None, threshold: float, parts: int, block: int) -> DataFrame:
+    """(node, label, links) of all links inside the families of rows (node, family, blocks, copies, set).
+
+    Small families are compared pair by pair, large ones are peeled first until they are small.
+    """
+    out, todo = [], small
+    for k in range(PEELS + 1 if large is not None else 0):
+        rows = large = scratch.write(with_blocks(large, block), f"family-sets{k}")
+        still = scratch.write(rows.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > block).select("family"), "large")
+        n = still.count()
+        if k == PEELS or not n:
+            todo = todo.unionByName(rows)
+            break
+        todo = todo.unionByName(rows.join(bounded(still, n), "family", "left_anti"))
+        sure, open_, large = peeled(scratch, rows.join(bounded(still, n), "family", "left_semi").drop("blocks"), threshold)
+        out.append(scratch.write(sure, f"sure{k}"))
+        open_ = scratch.write(open_, f"open{k}")
+        if not open_.isEmpty():
+            out.append(scratch.write(verified(in_crossed_blocks(open_, block), threshold, parts), f"crossed{k}"))
+        scratch.drop(open_)
+    links = scratch.write(verified(in_blocks(todo), threshold, parts), "compared")
+    for more in out:
+        links = links.unionByName(more)
+    return links
+
+
 def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, kept, th (xxhash64 of the text)."""
     spark = docs.sparkSession
@@ -365,23 +460,26 @@ def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESH
 
     family = components(scratch, found)
     family = scratch.write(family.select("node", F.col("label").alias("family")), "families")
-    size = scratch.write(family.groupBy("family").agg((F.count("*")).alias("size")), "sizes")
     # the root itself is no row of components(): count it in
-    family = family.unionByName(size.select(F.col("family").alias("node"), "family")).distinct()
-    blocks = F.ceil((F.col("size") + 1) / block).cast("int")
-    who = family.join(size, "family").join(sets.select("node", "kid", "th", "copies"), "node")
-    who = who.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    who = scratch.write(who.select("node", "kid", "th", "copies", "family", "blocks", "block"), "members")
-    n = who.count()
-    if n:
-        texts = docs.join(bounded(who, n), ["kid", "th"]).select("node", "family", "blocks", "block", "copies", "text")
-        pairs = shingled(texts, words).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = pairs.withColumns({"group": F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")), "cross": F.col("block") != F.col("other")})
-        links = scratch.write(verified(pairs.select("group", "node", "block", "copies", "cross", "set"), threshold, parts), "links")
+    family = family.unionByName(family.select(F.col("family").alias("node"), "family").distinct())
+    who = scratch.write(family.join(sets.select("node", "kid", "th", "copies", "n"), "node"), "members")
+    size = scratch.write(who.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("longs")), "sizes")
+    n_sizes = size.count()
+    if n_sizes:
+        size = size.select("family", "size", blocks_for("size", "longs", block).alias("blocks"))
+        who = scratch.write(who.join(bounded(size, n_sizes), "family").select("node", "kid", "th", "copies", "family", "size", "blocks"), "placed")
+        n = who.count()
+
+        def own(of: DataFrame) -> DataFrame:
+            return shingled(docs.join(bounded(of, n), ["kid", "th"]).select("node", "family", "blocks", "copies", "text"), words)
+
+        few, many = who.where(F.col("size") <= block), who.where(F.col("size") > block)
+        # a row that repeats identifier and text comes twice: groups see to that themselves, peeling needs each node once
+        links = linked(scratch, own(few), None if many.isEmpty() else own(many).dropDuplicates(["node"]), threshold, parts, block)
         degree = links.groupBy("node").agg(F.sum("links").alias("links"))
         label = components(scratch, links.select(F.col("node").alias("a"), F.col("label").alias("b")))
         label = scratch.write(degree.join(label, "node", "left").select("node", "links", F.coalesce("label", "node").alias("label")), "labels")
-        placed = nodes.join(bounded(label, n), "node", "left")
+        placed = nodes.join(bounded(label, label.count()), "node", "left")
     else:
         placed = nodes.withColumns({"links": F.lit(0).cast("long"), "label": F.col("node")})
     placed = placed.select("digest", "first_row", "node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
@@ -396,19 +494,19 @@ def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESH
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """One row of each class of near duplicates; all columns as they came. Rows of equal class_id 'kept' decide."""
     scratch = Scratch(docs.sparkSession, "near-keep-one")
-    found = scratch.write(similar_texts(docs, **params).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__kid"), F.col("th").alias("__th"), "kept"), "found")
+    kid, th = keys = free(docs, "kid", "th")
+    found = scratch.write(similar_texts(docs, **params).select(F.coalesce("doc_id", F.lit(-(2**63))).alias(kid), F.col("th").alias(th), "kept"), "found")
     # a row is known by its identifier and its text; rows alike in both are one text, of which one stays
-    rows = found.groupBy("__kid", "__th").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("stays"))
+    rows = found.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("stays"))
     rows = scratch.write(rows.where("stays = 0 or n > 1"), "changed")
-    gone, twice = rows.where("stays = 0").select("__kid", "__th"), rows.where("stays = 1").select("__kid", "__th")
-    own = docs.columns
-    marked = docs.withColumns({"__kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__th": F.coalesce(F.xxhash64("text"), F.lit(0))})
-    left = marked.join(bounded(gone, gone.count()), ["__kid", "__th"], "left_anti")
+    gone, twice = rows.where("stays = 0").select(*keys), rows.where("stays = 1").select(*keys)
+    marked = docs.withColumns({kid: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), th: F.coalesce(F.xxhash64("text"), F.lit(0))})
+    left = marked.join(bounded(gone, gone.count()), keys, "left_anti")
     n = twice.count()
     if not n:
-        return left.select(*own)
-    once = left.join(bounded(twice, n), ["__kid", "__th"], "left_anti").select(*own)
-    return once.unionByName(left.join(bounded(twice, n), ["__kid", "__th"], "left_semi").dropDuplicates(["__kid", "__th"]).select(*own))
+        return left.select(*plain(docs))
+    once = left.join(bounded(twice, n), keys, "left_anti").select(*plain(docs))
+    return once.unionByName(left.join(bounded(twice, n), keys, "left_semi").dropDuplicates(keys).select(*plain(docs)))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
