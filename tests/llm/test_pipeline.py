@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_chosen_path import shingles
 
 FOLDER = "/root/testdata/sf0.001"
@@ -67,11 +68,21 @@ def test_near_stage(stages):
 
 
 def test_mix_stage(spark, stages):
+    """Documents of the anchored domain once; the others as often as their copies say, and nothing else."""
+    from collections import Counter
+
+    from tidemark.llm import mixing
+
     labels = {x.doc_id: (x.quality, x.toxic) for x in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
-    before, after = [x.doc_id for x in stages[3].collect()], [x.doc_id for x in stages[4].collect()]
+    before, after = [x.doc_id for x in stages[3].collect()], Counter(x.doc_id for x in stages[4].collect())
     clean = [d for d in before if labels.get(d) == (1, 0)]
-    assert all(d in after for d in clean)
-    assert len(after) <= len(before)
+    assert sum(after[d] == 1 for d in clean) > 0.99 * len(clean)
+    domain = mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")
+    labelled = spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", domain)
+    rates = mixing.rated(stages[3], labelled, corpus_pipeline.TARGETS, corpus_pipeline._vocabulary(), anchor="good")
+    assert {x.doc_id: x.copies for x in rates.collect() if x.copies} == dict(after)
+    for x in mixing.achieved(rates, rates.domains).collect():
+        assert abs(x.by_rates - corpus_pipeline.TARGETS.get(x.domain, 0.0)) < 0.01
 
 
 def test_pack_stage(stages):
@@ -90,12 +101,25 @@ def test_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
     odd = spark.createDataFrame([(None, text, None, None, None), (900, text, None, None, None), (900, text, None, None, None), (901, None, "en", None, 0), (902, "", None, "s", None), (903, text * 300, "en", None, None), (None, None, None, None, None)], docs.schema)
     docs = docs.unionByName(odd)
-    from pyspark.sql import functions as F
-
-    docs = docs.withColumn("row", F.lit("clash"))
+    clashing = {c: F.lit(c) for c in ("row", "a.b", "score", "_score", "id", "kid", "th", "copies", "digest", "c0", "month")}
+    docs = docs.withColumns(clashing)
     for k, (_, f) in enumerate(corpus_pipeline.STAGES):
         f(spark, docs, FOLDER).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         if k < 4:
-            assert "row" in docs.columns
+            assert all([x[c] for x in docs.collect()] == [c] * docs.count() for c in clashing)
     assert docs.count() > 0
+
+
+def test_run_leaves_its_result_alone(spark):
+    """run() deletes what its stages wrote on the way, and its result can be read."""
+    import os
+
+    from tidemark.llm.common import Scratch, shared_dir
+
+    for s in list(Scratch._all):
+        s.close()
+    out = corpus_pipeline.run(spark, FOLDER)
+    assert out.count() > 0 and len(Scratch._all) == 1
+    left = [f for f in os.listdir(Scratch._all[0].base.removeprefix("file://"))]
+    assert len(left) == 1 and os.path.isdir(shared_dir(spark).removeprefix("file://"))
