@@ -1,10 +1,11 @@
 """The training-corpus pipeline: quality classifier, exact dedup, near-duplicate join, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them to the documents table, with each
-stage's result written and read again. All stages but the last return the columns of documents.
+stage's result written and read again, and a stage's scratch tables deleted when its result is written. All stages but
+the last return the columns of documents.
 
 Defined cases are those of the operators: rows with null texts count as empty; rows without an identifier are kept
-unless their text is rejected or a copy; other columns pass through; empty tables give no rows.
+unless their text is rejected or a copy; other columns, whatever their names, pass through; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chosen_path, exact_dedup, mixing, packing, quality
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, free, plain, released
 
-#: Shares of tokens after mixing; "good" keeps its tokens, the others are thinned to these proportions of it.
-TARGETS = {"good": 0.97, "poor": 0.01, "toxic": 0.02}
+#: Shares of tokens after mixing. "good" is the anchor: its documents are taken once, and the others as often as these
+#: proportions of it ask, up or down. "poor" has no share: the first stage rejects it, and what it missed is weighted out.
+TARGETS = {"good": 0.98, "toxic": 0.02}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier, learnt from the labels of this corpus, does not reject."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     trees = quality.fit(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
-    return quality.score(docs, trees, "__score").where("__score >= 0.5").select(*docs.columns)
+    (score,) = free(docs, "score")
+    return quality.score(docs, trees, score).where(f"{score} >= 0.5").select(*plain(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix asks for; those of the anchored domain once."""
+    """Documents as often as the mix asks for; those whose likeliest domain is the anchor once."""
     labels = _table(spark, sf_dir, "labels")
     labelled = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
     return mixing.mixed(docs, labelled, TARGETS, _vocabulary(), anchor="good")
@@ -75,5 +78,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        with released():
+            out = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(docs)
+        docs = out
     return docs
