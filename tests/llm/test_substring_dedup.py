@@ -43,7 +43,7 @@ def corpus(seed, window):
 
 
 def test_levels():
-    assert levels_of(50) == levels_of(50, 10) == [7, 13, 25, 50]
+    assert levels_of(50) == [13, 25, 50] and levels_of(50, 10) == [7, 13, 25, 50]
     assert levels_of(50, 25) == levels_of(50, 50) == [25, 50] and levels_of(1) == [1] and levels_of(7) == [4, 7]
 
 
@@ -79,7 +79,7 @@ def test_candidates_shrink_level_by_level(spark):
             w += r.choice(shared[n]) + [word() for _ in range(5)]
         rows.append((d, " ".join(w)))
     seen = {}
-    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), seen=seen).collect()
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), first=7, seen=seen).collect()
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, 50)
     assert list(seen) == [13, 25, 50] and seen[13] > 1.5 * seen[25] > 2 * seen[50] > 0
     assert substring_dedup(spark.createDataFrame(rows[:1], "doc_id long, text string"), seen=(alone := {})).collect()[0].n_removed == 0 and alone == {}

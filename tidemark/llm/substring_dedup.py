@@ -1,6 +1,6 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Lengths go from about ``FIRST`` words to the window by doubling (7, 13, 25, 50). Level 0 looks at windows of the least
+Lengths go from about ``FIRST`` words to the window by doubling (13, 25, 50). Level 0 looks at windows of the least
 length, and of these only at minimizers: in each window of the next length the smallest hash of the shorter ones.
 Equal long windows hold equal minimizers, so a long window without a repeated minimizer repeats nowhere. Windows that
 stand over a repeated one are extended to the next length and counted again, whole; from there on a window goes on only
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
 
-WINDOW, FIRST = 50, 7
+WINDOW, FIRST = 50, 13
 #: Words whose hashes a worker remembers; longs that a broadcast may hold, and bytes where rows hold texts.
 REMEMBERED, BROADCAST_LONGS, BROADCAST_BYTES = 400_000, 4_000_000, 32_000_000
 
