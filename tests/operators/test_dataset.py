@@ -66,8 +66,11 @@ def test_save_and_find(spark, table, tmp_path):
         ds.save_dataset(table, str(tmp_path / day), ["feat_a"], by_year=day == "20240301")
     found = ds.dated_folders(spark, str(tmp_path), "dataset.parquet")
     assert [f[-8:] for f in found] == ["20240301", "20240101"]
-    meta = json.loads(spark.read.text(f"{found[0]}/metadata.json").first()[0])
-    assert meta["features"] == ["feat_a"] and meta["n_rows"] == 3 and meta["n_events"] == 1
+    ds.write_json(spark, f"{found[0]}/metadata.json", ds.read_json(spark, f"{found[0]}/metadata.json") | {"source": "bars"})
+    ds.save_dataset(table, found[0], ["feat_a"])
+    whole = ds.read_json(spark, f"{found[0]}/metadata.json")
+    meta = whole["features"]
+    assert whole["source"] == "bars" and meta["features"] == ["feat_a"] and meta["n_rows"] == 3 and meta["n_events"] == 1
     narrow = dict(ds.optimize_types(table.withColumn("flag", F.lit(1.0)), ["open", "high", "low", "close", "volume"]).dtypes)
     assert narrow["flag"] == "tinyint" and narrow["feat_a"] == "float" and narrow["close"] == "double"
 
@@ -109,3 +112,38 @@ def test_stratified_by_volume_without_caps(spark):
     df = spark.createDataFrame(rows, "ticker string, market_cap double, country string, avg_volume double, is_failed boolean")
     got = un.stratified(df, 40)
     assert got.where("is_failed").count() == 4 and {r["count"] for r in got.where("not is_failed").groupBy("bucket").count().collect()} == {9}
+
+
+def test_bars_with_their_files(spark, table, tmp_path):
+    ds.save_ohlcv(table, str(tmp_path / "o"), {"kept": 1})
+    assert ds.read_json(spark, str(tmp_path / "o" / "all_tickers.json")) == sorted({r.stock_id for r in table.collect()})
+    assert ds.read_json(spark, str(tmp_path / "o" / "selection_stats.json")) == {"kept": 1} and ds.read_json(spark, str(tmp_path / "none.json")) == {}
+
+
+def test_landed_listings_and_dated_lists(spark, tmp_path):
+    from tidemark.operators import universe as un
+
+    (tmp_path / "listed.txt").write_text("Symbol|Security Name|Test Issue\nABC|A b c|N\nBRK.B|\"Quoted|N\n XYZ |x|Y\nFile Creation Time: 0101202400:00||\n")
+    got = un.listed_symbols(spark, str(tmp_path / "listed.txt"))
+    assert [r.ticker for r in got.collect()] == ["ABC", "BRK-B", "XYZ"]
+    un.write_tickers(got.unionByName(got), str(tmp_path / "list.json"))
+    assert [(r.ticker, r.pos) for r in un.read_tickers(spark, str(tmp_path / "list.json")).collect()] == [("ABC", 0), ("BRK-B", 1), ("XYZ", 2)]
+    names = ["tickers_20240101.json", "tickers_20240301.json", "tickers_filtered_20250101.json", "notes.txt"]
+    assert un.latest_dated(names, "tickers_", ("tickers_filtered_", "tickers_validated_")) == "tickers_20240301.json"
+    assert un.latest_dated(names, "tickers_filtered_") == "tickers_filtered_20250101.json" and un.latest_dated([], "x") is None
+
+
+def test_quantiles_and_running_sums(spark):
+    import numpy as np
+
+    from tidemark.operators.order import quantiles, running
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(size=700), np.zeros(300)])
+    df = spark.createDataFrame([(float(v), None if i % 3 else float(v) * 2, None) for i, v in enumerate(x)], "a double, b double, c double")
+    got = quantiles(df, {"p1": ("a", 0.01), "p50": ("a", 0.5), "b90": ("b", 0.9), "b100": ("b", 1.0), "none": ("c", 0.5)}).first()
+    want = [np.quantile(x, 0.01), np.quantile(x, 0.5), np.quantile(x[::3] * 2, 0.9), (x[::3] * 2).max()]
+    assert np.allclose(got[:4], want) and got[4] is None
+    per = df.groupBy("a").agg(F.count("*").alias("n"))
+    rows = sorted(((v.a, v.upto) for v in running(per, "a", {"upto": "n"}).collect()))
+    assert all(u == (x >= a).sum() for a, u in rows) and len(rows) == len(set(x))

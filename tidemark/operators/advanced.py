@@ -9,9 +9,10 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import patterns as pat
 from tidemark.operators.rolling import Series, flag
 
+# Fixed names, in the fixed order of the feature table.
 ADVANCED = (
     "multi_divergence_score", "volume_exhaustion", "exhaustion_strength", "panic_selling", "panic_severity", "support_test_count",
-    "consecutive_down_days", "selling_acceleration", "exhaustion_signal", "hidden_bullish_divergence", "price_zscore", "statistical_bottom",
+    "consecutive_down_days", "exhaustion_signal", "selling_acceleration", "hidden_bullish_divergence", "price_zscore", "statistical_bottom",
     "at_zscore_extreme", "bb_squeeze", "below_lower_band", "squeeze_breakdown", "day_of_week", "is_monday", "is_friday",
     "days_since_last_low", "is_month_end", "is_quarter_end",
 )

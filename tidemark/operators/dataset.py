@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.rolling import Series
 from tidemark.sources.bars import PRICES, clean_nan
 
 # Fixed thresholds of the quality gate.
@@ -39,6 +40,64 @@ def clean_dataset(df: DataFrame, features: Iterable[str]) -> DataFrame:
     return clean_nan(df, tuple(features)).dropna(subset=features)
 
 
+def projected(df: DataFrame, columns: Iterable[str], stocks: Iterable[str] | None = None, since=None) -> DataFrame:
+    """Some columns of some series from a day on: what a scan can skip."""
+    if stocks is not None:
+        df = df.where(F.col("stock_id").isin(list(stocks)))
+    if since is not None:
+        df = df.where(F.col("date") >= F.lit(since))
+    return df.select(*columns)
+
+
+def adr_filter(df: DataFrame, s: Series, least: float, n: int = 20, seen: int = 10) -> DataFrame:
+    """Series whose last average daily range (percent, unrounded, over n bars of which ``seen`` are there) reaches ``least``."""
+    frame = s.last(n)
+    wide = F.when(F.count("close").over(frame) >= seen, 100 * (F.avg(F.try_divide("high", "low")).over(frame) - 1))
+    last = df.withColumn("__adr", wide).where("__adr is not null").groupBy(s.key).agg(F.max_by("__adr", s.order).alias("__last"))
+    return df.join(last.where(F.col("__last") >= least).select(s.key), s.key, "left_semi")
+
+
+def key_sets(old: DataFrame, new: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Distinct keys with the side they stand on: both, old or new."""
+    keys = list(keys)
+    marks = old.select(*keys, F.lit(1).alias("__s")).unionByName(new.select(*keys, F.lit(2).alias("__s")))
+    side = F.when(F.bit_or("__s") == 3, "both").when(F.bit_or("__s") == 1, "old").otherwise("new")
+    return marks.groupBy(*keys).agg(side.alias("side"))
+
+
+def column_sets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(column, side): columns of both tables, of the old one or of the new one alone."""
+    rows = [(c, "both" if c in new.columns else "old") for c in old.columns] + [(c, "new") for c in new.columns if c not in old.columns]
+    return old.sparkSession.createDataFrame(rows, "column string, side string")
+
+
+def incremental_verdict(old: DataFrame, new: DataFrame, most_lost: int = 50, most_rows: float = 5.0) -> DataFrame:
+    """One row on a rebuilt dataset: does it extend the old one, keep its columns and its series; and does it pass.
+
+    row_change is the change of rows in the overlap in percent; over ``most_rows`` is a warning and no failure.
+    """
+    span = old.agg(F.min("date").alias("old_first"), F.max("date").alias("old_last"), F.count_distinct("stock_id").alias("old_stocks")).crossJoin(
+        F.broadcast(new.agg(F.min("date").alias("new_first"), F.max("date").alias("new_last")))  # one row
+    )
+    begin = F.greatest("old_first", "new_first")
+    mine = old.select("date").crossJoin(F.broadcast(span)).agg(F.sum(((F.col("date") >= begin) & (F.col("date") <= F.col("old_last"))).cast("long")).alias("old_rows"))
+    late = F.col("date") > F.col("old_last")
+    theirs = new.select("stock_id", "date").crossJoin(F.broadcast(span)).agg(
+        F.sum(((F.col("date") >= begin) & ~late).cast("long")).alias("kept_rows"), F.sum(late.cast("long")).alias("new_rows"),
+        F.count_distinct(F.when(late, F.col("date"))).alias("new_dates"), F.count_distinct(F.when(late, F.col("stock_id"))).alias("new_stocks"),
+    )
+    lost = lost_keys(old, new).agg(F.count("*").alias("lost_stocks"))
+    gained = lost_keys(new, old).agg(F.count("*").alias("gained_stocks"))
+    out = span
+    for one in (mine, theirs, lost, gained):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    missing, extra = len(set(old.columns) - set(new.columns)), len(set(new.columns) - set(old.columns))
+    out = out.withColumns({"missing_columns": F.lit(missing), "extra_columns": F.lit(extra), "extends": F.col("new_last") > F.col("old_last")})
+    change = F.coalesce(F.try_divide(F.col("kept_rows") - F.col("old_rows"), F.col("old_rows")) * 100, F.lit(0.0))
+    out = out.withColumns({"row_change": change, "rows_warned": F.abs(change) > most_rows})
+    return out.withColumn("passed", F.col("extends") & (F.col("new_rows") > 0) & (F.col("missing_columns") == 0) & (F.col("lost_stocks") < most_lost))
+
+
 def load_dataset(spark: SparkSession, path: str, stocks: Iterable[str] | None = None, features: Iterable[str] | None = None, meta: tuple[str, ...] = ("date", "stock_id", "open", "high", "low", "close", "volume"), labels: tuple[str, ...] = ("PivotLow", "PivotLow_base", "PivotLow_event_id", "PivotLow_event_offset")) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
     """(rows without missing features, feature names, unknown names asked for). Projection and series filter reach the scan."""
     df = spark.read.parquet(path)
@@ -206,17 +265,50 @@ def optimize_types(df: DataFrame, keep: Iterable[str]) -> DataFrame:
     return df.select(*[narrow.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A JSON file by Hadoop's file systems; {} if it is not there."""
+    p, fs = _file(spark, path)
+    return json.loads("\n".join(r.value for r in spark.read.text(path).collect())) if fs.exists(p) else {}  # one small file
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    p, fs = _file(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, default=str).encode()))
+    finally:
+        out.close()
+
+
 def save_dataset(df: DataFrame, path: str, features: Iterable[str], by_year: bool = False) -> dict:
-    """Parquet (optionally by year, so that date filters prune folders) and metadata.json beside it."""
-    out = df.withColumn("year", F.year("date")) if by_year else df
+    """Parquet (optionally by year, so that date filters prune folders), and its facts merged into metadata.json.
+
+    What other steps wrote into metadata.json stays; the part "features" is replaced.
+    """
+    spark, out = df.sparkSession, df.withColumn("year", F.year("date")) if by_year else df
     writer = out.write.mode("overwrite")
     (writer.partitionBy("year") if by_year else writer).parquet(f"{path}/dataset.parquet")
     row = summary(df).first().asDict()
     meta = {k: (str(v) if k.endswith("date") else v) for k, v in row.items()} | {"features": list(features)}
-    df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata.json")
+    write_json(spark, f"{path}/metadata.json", read_json(spark, f"{path}/metadata.json") | {"features": meta})
     return meta
 
 
+def save_ohlcv(df: DataFrame, path: str, stats: dict, key: str = "stock_id") -> None:
+    """Bars with the files that stand beside them: metadata.json, selection_stats.json and all_tickers.json."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/ohlcv.parquet")
+    tickers = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]  # a universe of symbols
+    write_json(spark, f"{path}/selection_stats.json", stats)
+    write_json(spark, f"{path}/all_tickers.json", tickers)
+    write_json(spark, f"{path}/metadata.json", read_json(spark, f"{path}/metadata.json") | {"selection_stats": stats, "total_stocks": len(tickers)})
+
+
 def dated_folders(spark: SparkSession, root: str, holding: str) -> list[str]:
     """Folders named YYYYMMDD under root that hold a file or folder of the name, the newest first."""
     jvm = spark.sparkContext._jvm

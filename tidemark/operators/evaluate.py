@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import patterns as pat
+from tidemark.operators.order import quantiles, running
 from tidemark.operators.rolling import Series, flag
 
 # Fixed evaluation grid and weights.
@@ -23,8 +24,8 @@ def wide_panel(df: DataFrame, horizons: Iterable[int]) -> DataFrame:
     """Rows with entry (next open) and for each horizon h exit_h, ret_h, mae_h, market_h, valid_h and best_h.
 
     The market is the date's mean raw return; only then are returns clipped to their 1 % and 99 % quantiles and worst
-    lows to their 1 % quantile. All horizons share one pass by series, one by date and one by event; the quantiles
-    come from one aggregate and reach the rows as a one-row broadcast.
+    lows to their 1 % quantile. All horizons share one pass by series, one by date and one by event; the quantiles of
+    all horizons are taken together, in a job of their own.
     """
     s, horizons = Series(), list(horizons)
     df = pat.ensure_events(df, s)
@@ -36,12 +37,12 @@ def wide_panel(df: DataFrame, horizons: Iterable[int]) -> DataFrame:
     df = df.withColumns({f"__{n}_{h}": F.try_divide(F.col(c), F.col("entry")) - 1 for h in horizons for n, c in (("raw", f"exit_{h}"), ("mae", f"__low_{h}"))})
     day = Window.partitionBy("date")
     df = df.withColumns({f"market_{h}": F.avg(f"__raw_{h}").over(day) for h in horizons})
-    cuts = [F.percentile(f"__{n}_{h}", F.lit(q)).alias(f"__{k}_{h}") for h in horizons for k, n, q in (("lo", "raw", WINSOR), ("hi", "raw", 1 - WINSOR), ("mlo", "mae", WINSOR))]
-    df = df.crossJoin(F.broadcast(df.agg(*cuts)))  # one row
+    cuts = {f"__{k}_{h}": (f"__{n}_{h}", q) for h in horizons for k, n, q in (("lo", "raw", WINSOR), ("hi", "raw", 1 - WINSOR), ("mlo", "mae", WINSOR))}
+    at = {k: F.lit(v) for k, v in quantiles(df.select(*{c for c, _ in cuts.values()}), cuts).first().asDict().items()}  # three numbers a horizon
     clipped = {}
     for h in horizons:
-        clipped[f"ret_{h}"] = F.when(F.col(f"__raw_{h}").isNotNull(), F.least(F.greatest(f"__raw_{h}", f"__lo_{h}"), F.col(f"__hi_{h}")))
-        clipped[f"mae_{h}"] = F.when(F.col(f"__mae_{h}").isNotNull(), F.greatest(f"__mae_{h}", f"__mlo_{h}"))
+        clipped[f"ret_{h}"] = F.when(F.col(f"__raw_{h}").isNotNull(), F.least(F.greatest(F.col(f"__raw_{h}"), at[f"__lo_{h}"]), at[f"__hi_{h}"]))
+        clipped[f"mae_{h}"] = F.when(F.col(f"__mae_{h}").isNotNull(), F.greatest(F.col(f"__mae_{h}"), at[f"__mlo_{h}"]))
     df = df.withColumns(clipped)
     df = df.withColumns({f"valid_{h}": F.col(f"ret_{h}").isNotNull() & F.col(f"mae_{h}").isNotNull() & F.col(f"market_{h}").isNotNull() for h in horizons})
     zone = Window.partitionBy("stock_id", pat.EVENT, F.when(F.col(pat.EVENT) == 0, F.col("date")))  # rows off events stay apart
@@ -59,17 +60,13 @@ def panel(df: DataFrame, horizon: int) -> DataFrame:
 def top_weights(df: DataFrame, score: str, budgets: Iterable[float] = BUDGETS) -> DataFrame:
     """Rows with weight > 0 for each budget: 1 over the cutoff, an even share of what is left at the cutoff.
 
-    The cutoff is the k-th largest score, found by counting distinct scores from the top, not by sorting rows in one task.
+    The cutoff is the k-th largest score, found by running counts of distinct scores from the top.
     """
     n = df.agg(F.count("*").alias("n"), F.count(score).alias("scored")).first()
     grid = [(float(b), max(1, int(n["n"] * b))) for b in budgets] if n["n"] else []
-    spark = df.sparkSession
-    most = max((k for _, k in grid), default=0)
-    top = df.where(F.col(score).isNotNull()).select(score).orderBy(F.desc(score)).limit(most)
-    counts = top.groupBy(score).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto)  # at most k rows, the largest budget's size
-    ks = spark.createDataFrame(grid, "budget double, k long")
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("c"))
+    ranked = running(counts, score, {"upto": "c"})
+    ks = df.sparkSession.createDataFrame(grid, "budget double, k long")
     cut = ranked.join(F.broadcast(ks), F.col("upto") >= F.col("k")).groupBy("budget", "k").agg(F.max(score).alias("cutoff"))
     tied = df.join(F.broadcast(cut), F.col(score) >= F.col("cutoff"))  # a row a budget
     per = tied.groupBy("budget").agg(F.sum((F.col(score) > F.col("cutoff")).cast("long")).alias("above"), F.sum((F.col(score) == F.col("cutoff")).cast("long")).alias("ties"))
@@ -230,8 +227,7 @@ def classification(df: DataFrame, label: str, predicted: str | None = None, scor
         out = out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
     if score is not None:
         per = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-        down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-        per = per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+        per = running(per.where(F.col(score).isNotNull()), score, {"tp": "p", "fp": "n"})
         sums = per.agg(F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("wins"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("gain"))
         rank = sums.select(F.when(F.col("nn") > 0, F.try_divide(F.col("wins"), F.col("np") * F.col("nn"))).alias("roc_auc"), F.when(F.col("nn") > 0, F.try_divide(F.col("gain"), F.col("np"))).alias("avg_precision"))
         out = rank if out is None else out.crossJoin(F.broadcast(rank))  # one row
@@ -242,45 +238,124 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def _trades(df: DataFrame, entries: DataFrame, hold: int) -> DataFrame:
+    """Entries (stock_id, date, stop and others) with the trade that follows each.
+
+    Entry at the next open; a trailing stop under the highest high so far, its width halved every five bars; the first
+    bar whose low reaches the stop ends the trade there, else the last close does. Only the bars behind entries are
+    gathered: an entry asks for its bars by (series, number).
+    """
+    s = Series()
+    bars = df.select("stock_id", "date", s.number().alias("__no"), "open", "high", "low", "close")
+    asked = entries.join(bars.select("stock_id", "date", F.col("__no").alias("__entry")), ["stock_id", "date"])
+    asked = asked.select("*", F.posexplode(F.sequence(F.col("__entry") + 1, F.col("__entry") + hold + 1)).alias("i", "__no"))
+    bars = bars.withColumnsRenamed({"date": "at"})
+    path = Window.partitionBy("stock_id", "date").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.join(bars, ["stock_id", "__no"])
+    rows = rows.withColumns({"entry_price": F.first("open").over(path), "__peak": F.max("high").over(path)})
+    level = F.greatest("entry_price", "__peak") * (1 - F.col("stop") / F.pow(F.lit(2.0), F.floor(F.col("i") / 5)))
+    rows = rows.withColumn("__level", level)
+    hit = F.struct("i", F.col("at").alias("date"), F.col("__level").alias("price"))
+    kept = [c for c in entries.columns if c not in ("stock_id", "date")]
+    out = rows.groupBy("stock_id", "date").agg(
+        *[F.first(c).alias(c) for c in kept], F.min("at").alias("entry_date"), F.first("entry_price").alias("entry_price"), F.count("*").alias("__n"),
+        F.min(F.when(F.col("low") <= F.col("__level"), hit)).alias("__hit"), F.max(F.struct("i", F.col("at").alias("date"), F.col("close").alias("price"))).alias("__end"),
+    )
+    out = out.withColumns({
+        "exit_date": F.coalesce("__hit.date", "__end.date"), "exit_price": F.coalesce("__hit.price", "__end.price"),
+        "code": F.when(F.col("__hit").isNotNull(), "S").when(F.col("__n") > hold, "H").otherwise("E"),
+    })
+    return out.withColumn("return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price")).drop("__hit", "__end", "__n")
+
+
 def backtest(df: DataFrame, signal: str = "prediction", stop: float = 0.07, hold: int = 30) -> DataFrame:
-    """Trades of collapsed signals: entry at the next open; a trailing stop under the highest high so far, its width
-    halved every five bars; the first bar whose low reaches the stop ends the trade there, else the last close does."""
+    """Trades of collapsed signals that have a next bar; exit_reason is stop, or hold/end."""
     s = Series()
     df = pat.ensure_events(df, s)
-    bars = F.collect_list(F.struct("high", "low", "close", "date")).over(s.w.rowsBetween(1, hold + 1))
-    rows = df.withColumns({"entry_date": s.lead("date"), "entry_price": s.lead("open"), "path": bars}).where((F.col(signal) == 1) & F.col("entry_date").isNotNull()).withColumn("weight", F.lit(1.0))
-    rows = collapse(rows)
-    peak = lambda i: F.greatest(F.col("entry_price"), F.array_max(F.transform(F.slice("path", 1, i + 1), lambda b: b["high"])))
-    level = F.transform("path", lambda b, i: F.struct(b["low"].alias("low"), b["date"].alias("date"), (peak(i) * (1 - F.lit(stop) / F.pow(F.lit(2.0), F.floor(i / 5)))).alias("stop")))
-    rows = rows.withColumn("hit", F.get(F.filter(level, lambda x: x["low"] <= x["stop"]), F.lit(0)))
-    end = F.element_at("path", -1)
-    out = rows.select(
-        "stock_id", "entry_date", F.coalesce("hit.date", end["date"]).alias("exit_date"), "entry_price", F.coalesce("hit.stop", end["close"]).alias("exit_price"),
-        F.when(F.col("hit").isNotNull(), "stop").otherwise("hold/end").alias("exit_reason"),
-    )
-    return out.withColumn("return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price"))
+    rows = df.withColumn("__next", s.lead("date")).where((F.col(signal) == 1) & F.col("__next").isNotNull()).withColumn("weight", F.lit(1.0))
+    entries = collapse(rows).select("stock_id", "date", F.lit(stop).alias("stop"))
+    out = _trades(df, entries, hold)
+    return out.select("stock_id", "entry_date", "exit_date", "entry_price", "exit_price", F.when(F.col("code") == "S", "stop").otherwise("hold/end").alias("exit_reason"), "return_pct")
+
+
+def sized_trades(df: DataFrame, signal: str = "prediction", score: str = "score", hold: int = 30) -> DataFrame:
+    """A trade for each signal row: 1 to 5 units and a stop of 5 to 10 % by its score among the signals' scores.
+
+    code: S stopped, H held to the end, E the series ended. invested and result are in units.
+    """
+    chosen = df.where(F.col(signal) == 1)
+    span = chosen.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    rows = chosen.select("stock_id", "date", F.col(score).alias("score")).crossJoin(F.broadcast(span))  # one row
+    rank = (F.col("score") - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0)
+    entries = rows.select("stock_id", "date", "score", (1 + 4 * rank).alias("units"), (0.05 + 0.05 * rank).alias("stop"))
+    out = _trades(df, entries, hold)
+    return out.withColumns({"invested": F.col("units"), "result": F.col("units") * (1 + F.col("return_pct"))})
+
+
+def top_stocks(trades: DataFrame, n: int = 16, by: str = "roi") -> DataFrame:
+    """The n series with the best return on what was invested (roi), or with most signals (n_signals)."""
+    per = trades.groupBy("stock_id").agg(F.count("*").alias("n_signals"), F.sum("invested").alias("invested"), F.sum("result").alias("result"))
+    return per.withColumn("roi", (F.col("result") - F.col("invested")) / F.col("invested")).orderBy(F.desc(by), "stock_id").limit(n)
 
 
 def backtest_summary(trades: DataFrame) -> DataFrame:
     r = F.col("return_pct")
-    return trades.agg(
-        F.count("*").alias("n_trades"), F.avg(flag(r > 0)).alias("win_rate"), F.avg(r).alias("mean_return"), F.percentile(r, F.lit(0.5)).alias("median_return"),
+    out = trades.agg(
+        F.count("*").alias("n_trades"), F.avg(flag(r > 0)).alias("win_rate"), F.avg(r).alias("mean_return"),
         F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)).alias("avg_positive"), F.coalesce(F.avg(F.when(r <= 0, r)), F.lit(0.0)).alias("avg_negative"), F.sum(flag(r > 0)).alias("n_positive"),
     )
+    return out.crossJoin(F.broadcast(quantiles(trades, {"median_return": ("return_pct", 0.5)})))  # one row
+
+
+def ranking(df: DataFrame, score: str = "score", least: float = 0.05) -> DataFrame:
+    """One row, tier 1: average precision and AUC for labels and for base pivots, and whether the first passes."""
+    df = pat.ensure_events(df, Series())
+    label, base = (classification(df, c, score=score) for c in (pat.LABEL, pat.BASE))
+    base = base.withColumnsRenamed({"roc_auc": "base_roc_auc", "avg_precision": "base_avg_precision"})
+    return label.crossJoin(F.broadcast(base)).withColumn("passes", F.coalesce(F.col("avg_precision") >= least, F.lit(False)))  # one row
+
+
+def tiered_eval(df: DataFrame, score: str = "score", least: float = 0.05, budgets: Iterable[float] = BUDGETS, horizons: Iterable[int] = HORIZONS) -> DataFrame:
+    """One row: tier 1, and where its gate is passed the composite over budgets and horizons (else NULL, not passed)."""
+    one = ranking(df, score, least)
+    if not one.first()["passes"]:
+        return one.withColumns({"composite": F.lit(None).cast("double"), "valid_cells": F.lit(0).cast("long"), "passed": F.lit(False)})
+    both = one.crossJoin(F.broadcast(multi_budget(df, score, budgets, horizons)))  # one row
+    return both.withColumn("passed", F.col("composite") > float("-inf"))
+
+
+def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """(class, precision, recall, f1, support) of each class that is actual or predicted."""
+    per = confusion(df, label, predicted)
+    actual = per.groupBy(F.col("actual").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))).alias("hits"))
+    said = per.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("said"))
+    out = actual.join(said, "class", "full").fillna(0, ["support", "hits", "said"])
+    out = out.withColumns({"precision": F.coalesce(F.try_divide("hits", "said"), F.lit(0.0)), "recall": F.coalesce(F.try_divide("hits", "support"), F.lit(0.0))})
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return out.withColumn("f1", f1).select("class", "precision", "recall", "f1", "support")
+
+
+def eval_detail(cells: DataFrame) -> DataFrame:
+    """(fold, budget, horizon, measures of cell_scores) to one row a budget and horizon, averaged over folds."""
+    names = ("score", "effective_n", "excess", "win_rate", "worst_decile", "knife_rate", "tail_mae", "entry_slippage")
+    return cells.groupBy("budget", "horizon").agg(*[F.avg(n).alias(n) for n in names])
 
 
 def random_entries(df: DataFrame, signal: str = "prediction", horizon: int = 10, simulations: int = 500, seed: int = 42) -> DataFrame:
     """One row: mean return of the collapsed signals against that of random bars of the same series.
 
     Each signal draws one bar a simulation, uniform over the bars that leave a full window; draws meet bars by
-    (series, number), so no series is ever gathered.
+    (series, number), so no series is ever gathered. A draw is a hash of the signal, the simulation and the seed, so a
+    task that runs again draws the same.
     """
     s = Series()
     bars = df.select("stock_id", "date", (s.number() - 1).alias("i"), (F.try_divide(s.lead("open", horizon + 1), s.lead("open")) - 1).alias("ret"), F.count("*").over(Window.partitionBy("stock_id")).alias("n"))
     flat = collapse(pat.ensure_events(df, s).where(F.col(signal) == 1).withColumn("weight", F.lit(1.0)))
     mine = flat.select("stock_id", "date").join(bars, ["stock_id", "date"]).where(F.col("ret").isNotNull() & (F.col("n") > horizon + 2))
-    draws = mine.select("stock_id", (F.col("n") - horizon - 2).alias("m"), F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim"))
-    draws = draws.withColumn("i", F.floor(F.rand(seed) * F.col("m")).cast("int"))
+    draws = mine.select("stock_id", "date", (F.col("n") - horizon - 2).alias("m"), F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim"))
+    key = F.concat_ws("|", "stock_id", F.date_format("date", "yyyy-MM-dd"), F.col("sim").cast("string"), F.lit(str(seed)))
+    number = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+    draws = draws.withColumn("i", F.pmod(number, F.col("m")).cast("int"))
     sims = draws.join(bars.select("stock_id", "i", "ret"), ["stock_id", "i"]).groupBy("sim").agg(F.avg("ret").alias("mean"))
     one = sims.agg(F.avg("mean").alias("random_mean"), F.stddev_pop("mean").alias("random_std"), F.count("*").alias("n_simulations"))
     own = mine.agg(F.avg("ret").alias("signal_mean"), F.count("*").alias("n_signals"))

@@ -71,3 +71,17 @@ def pivot_divergence(df: DataFrame, s: Series, rsi: str = "rsi_14", left: int =
     was = F.last(F.when(F.col("pivot_low") == 1, F.struct(F.col("close").alias("p"), F.col(rsi).alias("r"))), True).over(s.before)
     df = df.withColumn("__was", was)
     return df.withColumn("RSI_Divergence", flag((F.col("pivot_low") == 1) & (F.col("close") < F.col("__was.p")) & (F.col(rsi) > F.col("__was.r")))).drop("__was")
+
+
+def weighted_bands(s: Series, c: str = "close", n: int = 20, width: float = 2.0) -> tuple:
+    """(upper, middle, lower) around a linearly weighted mean, by the population deviation."""
+    middle = ind.wma(s, c, n)
+    spread = F.when(F.count(c).over(s.last(n)) >= n, F.stddev_pop(c).over(s.last(n))) * width
+    return middle + spread, middle, middle - spread
+
+
+def lagged_returns(df: DataFrame, s: Series, most: int = 8) -> DataFrame:
+    """r, its lags 1 to most, and the running sum of return times volume."""
+    df = df.withColumn("r", s.pct("close", 1))
+    trend = F.sum(F.col("r") * F.col("volume")).over(s.so_far)
+    return df.withColumns({**{f"r_lag{k}": s.lag("r", k) for k in range(1, most + 1)}, "price_volume_trend": trend})

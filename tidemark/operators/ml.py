@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import dataset as ds
@@ -48,6 +56,16 @@ class Baseline:
         made = self.model.transform(assembled(df, self.features))
         return made.withColumn(out, probability()).drop("features", "rawPrediction", "probability", "prediction")
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/gbt")
+        ds.write_json(SparkSession.active(), f"{path}/features.json", self.features)
+
+    @classmethod
+    def load(cls, path: str) -> Baseline:
+        out = cls()
+        out.model, out.features = GBTClassificationModel.load(f"{path}/gbt"), ds.read_json(SparkSession.active(), f"{path}/features.json")
+        return out
+
     def importances(self) -> list[tuple[str, str, float]]:
         return [("gbt", f, float(v)) for f, v in zip(self.features, self.model.featureImportances.toArray(), strict=True)]
 
@@ -92,6 +110,18 @@ class Stack:
         made = self.meta.transform(self._meta(assembled(df, self.features)))
         return made.withColumn(out, probability()).drop("features", "meta", "rawPrediction", "probability", "prediction")
 
+    def save(self, path: str) -> None:
+        for n, m in [*self.models, ("meta", self.meta)]:
+            m.write().overwrite().save(f"{path}/{n}")
+        ds.write_json(SparkSession.active(), f"{path}/features.json", self.features)
+
+    @classmethod
+    def load(cls, path: str) -> Stack:
+        out, kinds = cls(), (("gbt", GBTClassificationModel), ("forest", RandomForestClassificationModel), ("linear", LogisticRegressionModel))
+        out.models = [(n, kind.load(f"{path}/{n}")) for n, kind in kinds]
+        out.meta, out.features = LogisticRegressionModel.load(f"{path}/meta"), ds.read_json(SparkSession.active(), f"{path}/features.json")
+        return out
+
     def importances(self) -> list[tuple[str, str, float]]:
         out = []
         for n, m in self.models:

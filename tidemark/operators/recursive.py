@@ -1,14 +1,16 @@
 """Recurrences over a series: exponential and Wilder averages, RSI, ATR, ADX, parabolic stop, Hilbert transform.
 
 Catalyst windows cannot refer to their own earlier results, so every recurrence asked for is computed in one grouped
-map per key (``recursive``): one exchange, one Arrow round trip, only the needed columns. ``ewm_fold`` is the same
+map per key (``recursive``): one exchange, one Arrow round trip. ``ewm_fold`` is the same
 exponential average as an ordered array fold without Python, for single use and as a cross-check.
+The map sends and returns all columns of the frame: give it the frame before other columns are added.
 A key's series must fit a task's memory (a bar table has one row a day).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,7 @@ def smoothed(x: np.ndarray, weight: float, at: int, seed: float) -> np.ndarray:
     """y[at] = seed, then y moves by ``weight`` of the way to each next x; NaN before."""
     y = np.full(len(x), NAN)
     if 0 <= at < len(x):
-        y[at] = level = seed
-        for i, v in enumerate(x[at + 1 :].tolist(), at + 1):
-            level += weight * (v - level)
-            y[i] = level
+        y[at:] = list(accumulate(x[at + 1 :].tolist(), lambda level, v: level + weight * (v - level), initial=seed))
     return y
 
 
@@ -37,6 +36,10 @@ def ema(x: np.ndarray, n: int) -> np.ndarray:
 def ewm(x: np.ndarray, span: float) -> np.ndarray:
     """Seeded with the first value; a gap keeps the average and lets the next value weigh more."""
     alpha = 2 / (span + 1)
+    there = np.flatnonzero(~np.isnan(x))
+    if len(there) and there[-1] - there[0] + 1 == len(there):  # no gap
+        y = smoothed(x[: there[-1] + 1], alpha, int(there[0]), float(x[there[0]]))
+        return np.concatenate([y, np.full(len(x) - len(y), y[-1])])
     y, level, age = np.full(len(x), NAN), NAN, 1.0
     for i, v in enumerate(x.tolist()):
         if v == v:
@@ -115,24 +118,28 @@ def parabolic_stop(high: np.ndarray, low: np.ndarray, step: float = 0.02, most:
     return out
 
 
+# Fixed coefficients of the transform: filter taps, gain by bar, in-phase gain and damping, smoothing.
+TAPS, GAIN, IN_PHASE, SOFT = (0.0962, 0.5769), (0.075, 0.54), (1.25, 0.33), 0.33
+
+
 def hilbert(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smoothed in-phase and quadrature components, and phase; zero over the first seven bars."""
     n = len(x)
     i = np.arange(n)
     lagged = lambda v, k: np.concatenate([np.zeros(min(k, n)), v[: max(0, n - k)]])
-    trend = np.where(i >= 7, (0.0962 * (x - lagged(x, 6)) + 0.5769 * (lagged(x, 2) - lagged(x, 4))) * (0.075 * (i - 6) + 0.54), 0.0)
-    phase_in = np.where(i >= 7, 1.25 * (lagged(trend, 4) - 0.33 * lagged(trend, 6)), 0.0)
+    trend = np.where(i >= 7, (TAPS[0] * (x - lagged(x, 6)) + TAPS[1] * (lagged(x, 2) - lagged(x, 4))) * (GAIN[0] * (i - 6) + GAIN[1]), 0.0)
+    phase_in = np.where(i >= 7, IN_PHASE[0] * (lagged(trend, 4) - IN_PHASE[1] * lagged(trend, 6)), 0.0)
     quad = np.where(i >= 7, lagged(trend, 2), 0.0)
     soft = []
     for v in (phase_in, quad):
-        y, level = np.zeros(n), 0.0
-        for k, a in enumerate(v.tolist()):
-            y[k] = level = 0.33 * a + 0.67 * level if k >= 7 else a
+        y = v.copy()
+        if n > 7:  # the average starts from what stands at the seventh bar
+            y[6:] = smoothed(v[6:], SOFT, 0, float(v[6]))
         soft.append(y)
-    phase = np.zeros(n)
-    for k in range(7, n):
-        phase[k] = np.arctan(soft[1][k] / soft[0][k]) if soft[0][k] != 0 else phase[k - 1]
-    return soft[0], soft[1], phase
+    known = (i >= 7) & (soft[0] != 0)
+    angle = np.arctan(np.divide(soft[1], soft[0], out=np.zeros(n), where=known))
+    last = np.maximum.accumulate(np.where(known, i, -1))  # where the in-phase part is zero the phase stays
+    return soft[0], soft[1], np.where(last >= 0, angle[np.maximum(last, 0)], 0.0)
 
 
 def ht_sine(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +178,34 @@ def apz(high, low, close, n: int = 21, width: float = 2.0) -> tuple[np.ndarray,
     return middle + width * spread, middle - width * spread
 
 
+def late_atr(high, low, close, n: int = 14) -> np.ndarray:
+    """The older average true range: the first bar has no range, so the seed stands at bar n."""
+    return wilder(true_range(high, low, close), n, n, n)
+
+
+def late_macd(high, low, close, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The older line: averages seeded with means, in percent of the older range; the signal is seeded likewise."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        line = (ema(close, fast) - ema(close, slow)) / late_atr(high, low, close, slow) * 100
+    start = min(slow, len(line))
+    soft = np.concatenate([np.full(start, NAN), ema(line[start:], signal)])
+    return line, soft, line - soft
+
+
+def late_rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
+    """The older index: 0 where nothing moved."""
+    move = np.diff(close, prepend=close[:1])
+    up, down = (wilder(np.maximum(sign * move, 0.0), n, n, n) for sign in (1, -1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(up + down == 0, 0.0, 100 * up / (up + down))
+
+
 #: name -> (columns it reads, function of their arrays and parameters). Functions may give several arrays.
 RECURSIONS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "ema": (("close",), ema), "ewm": (("close",), ewm), "rsi": (("close",), rsi), "atr": (("high", "low", "close"), atr),
     "adx": (("high", "low", "close"), adx), "sar": (("high", "low"), parabolic_stop), "macd_v": (("high", "low", "close"), macd_v),
     "apz": (("high", "low", "close"), apz), "ht_sine": (("close",), ht_sine), "ht_trendmode": (("close",), ht_trendmode),
+    "late_atr": (("high", "low", "close"), late_atr), "late_macd": (("high", "low", "close"), late_macd), "late_rsi": (("close",), late_rsi),
 }
 
 
@@ -208,10 +238,18 @@ def recursive(df: DataFrame, wanted: dict[str | tuple[str, ...], tuple], key: st
     return df.groupBy(key).applyInPandas(run, ", ".join(fields + [f"`{c}` double" for c in outs]))
 
 
+#: Bars of a block of the fold.
+FOLD = 64
+
+
 def ewm_fold(df: DataFrame, c: str, span: float, out: str, key: str = "stock_id", order: str = "date") -> DataFrame:
     """(key, order, out): the exponential average as a fold over each key's ordered array, in the JVM."""
     alpha = 2 / (span + 1)
     rows = df.where(F.col(c).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).cast("double").alias("x")))).alias("s"))
-    fold = F.expr(f"aggregate(s, cast(array() as array<double>), (y, p) -> concat(y, array(if(size(y) = 0, p.x, {alpha}D * p.x + (1 - {alpha}D) * element_at(y, -1)))))")
+    # blocks of the array: the fold gives each block's last state, and appends to short arrays only
+    step = f"{alpha}D * p.x + (1 - {alpha}D) * element_at(y, -1)"
+    inside = f"slice(aggregate(b, array(y0), (y, p) -> concat(y, array(if(y0 is null and size(y) = 1, p.x, {step})))), 2, size(b))"
+    blocks = f"transform(sequence(0, cast((size(s) - 1) / {FOLD} as int)), k -> slice(s, k * {FOLD} + 1, {FOLD}))"
+    fold = F.expr(f"aggregate({blocks}, named_struct('y0', cast(null as double), 'parts', cast(array() as array<array<double>>)), (a, b) -> transform(array(transform(array(a.y0), y0 -> {inside})[0]), part -> named_struct('y0', element_at(part, -1), 'parts', concat(a.parts, array(part))))[0], a -> flatten(a.parts))")
     pairs = F.inline(F.arrays_zip(F.col("s.o").alias("o"), fold.alias("y")))
     return rows.select(key, pairs).select(key, F.col("o").alias(order), F.col("y").alias(out))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import quantiles
+
 # Exchange suffixes, suffixes of preferred shares, letters of preferred series, starts of fund symbols.
 EXCHANGES = (".ST", ".TO", ".L", ".AX", ".HK", ".T")
 PREFERRED = ("P", "PR", "PRA", "PRB", "PRC", "PRD", "PRE", "PRF", "PRG", "PRH", "PRI")
@@ -113,7 +117,8 @@ def stratified(df: DataFrame, total: int, seed: int = 42, failed_share: float =
         quotas = {b: int(total * q) for b, q in QUOTAS.items()}
         top_up = int(total * 0.9)
     else:
-        cuts = df.where(~F.col("is_failed")).agg(F.percentile("avg_volume", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or [0, 0, 0]
+        asked = {f"q{k}": ("avg_volume", k / 4) for k in (1, 2, 3)}
+        cuts = [x or 0 for x in quantiles(df.where(~F.col("is_failed")), asked).first()]
         v = F.col("avg_volume")
         bucket = F.when(v <= cuts[0], "low").when(v <= cuts[1], "medium").when(v <= cuts[2], "high").otherwise("very_high")
         quotas, top_up = dict.fromkeys(("low", "medium", "high", "very_high"), int(total * 0.9 / 4)), 0
@@ -127,3 +132,30 @@ def stratified(df: DataFrame, total: int, seed: int = 42, failed_share: float =
     rest = df.where(~F.col("is_failed") & ~F.col("__in")).orderBy("__d", "ticker").limit(max(0, top_up - n_in))
     failed = df.where("is_failed").orderBy("__d", "ticker").limit(int(total * failed_share))
     return df.where("__in").unionByName(rest).unionByName(failed).drop("__d", "__in")
+
+
+def listed_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """Symbols of landed pipe-delimited listings: the first field of each line but the header and the closing line."""
+    rows = spark.read.option("sep", "|").option("header", True).option("quote", "").csv(path)
+    first = F.trim(F.col("`" + rows.columns[0] + "`"))
+    rows = rows.select(first.alias("listed")).where("listed is not null and listed <> ''").where(~F.col("listed").startswith("File Creation Time"))
+    return rows.select(normalised(F.col("listed")).alias("ticker"))
+
+
+def read_tickers(spark: SparkSession, path: str, column: str = "ticker") -> DataFrame:
+    """(ticker, pos) of a JSON list of symbols."""
+    text = F.from_json(F.col("value"), "array<string>")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(text).alias("pos", column)).select(column, "pos")
+
+
+def write_tickers(df: DataFrame, path: str, column: str = "ticker") -> None:
+    """The distinct symbols in order as one JSON list; a universe of symbols is small enough for one line."""
+    one = df.select(column).distinct().agg(F.to_json(F.sort_array(F.collect_list(column))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def latest_dated(names: list[str], start: str, without: tuple[str, ...] = ()) -> str | None:
+    """Of names like tickers_20240131.json that begin with ``start``, the one with the latest date of eight digits."""
+    able = [n for n in names if n.startswith(start) and not n.startswith(without or ("\0",))]
+    dated = [(int(m.group(1)) if (m := re.search(r"(\d{8})", n)) else 0, n) for n in able]
+    return max(dated)[1] if dated else None

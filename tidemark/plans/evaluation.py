@@ -183,9 +183,64 @@ FINAL
 SELECT count(*) AS n_trades, avg((return_pct > 0)::INTEGER) AS win_rate, avg(return_pct) AS mean_return, quantile_cont(return_pct, 0.5) AS median_return,
   coalesce(avg(CASE WHEN return_pct > 0 THEN return_pct END), 0) AS avg_positive, coalesce(avg(CASE WHEN return_pct <= 0 THEN return_pct END), 0) AS avg_negative, sum((return_pct > 0)::INTEGER)::BIGINT AS n_positive FROM tt""",
          {"n_trades": None, "win_rate": 7, "mean_return": 6, "median_return": 6, "avg_positive": 6, "avg_negative": 6, "n_positive": None}, ())
-register("random_entry_benchmark", lambda spark, d: ev.random_entries(scored(spark, d)), None, {"signal_mean": 6, "n_signals": None, "random_mean": 6, "random_std": 6, "n_simulations": None, "z": 6, "p_value": 6}, ())
-register("tiered_gate", lambda spark, d: ev.classification(scored(spark, d), "PivotLow", score="score").withColumn("passes", F.col("avg_precision") >= 0.05), f"""{SCORED},
-t AS (SELECT score, sum(("PivotLow" = 1)::INTEGER) AS p, sum(("PivotLow" <> 1)::INTEGER) AS n FROM sd GROUP BY 1),
-u AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM t)
+RANDOM = f"""{SCORED},
+nb AS (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date) - 1 AS i, {lead('open', 11)} / nullif({lead('open')}, 0) - 1 AS ret, count(*) OVER (PARTITION BY stock_id) AS n FROM sd),
+sel AS (SELECT * REPLACE (1::DOUBLE AS weight) FROM nb WHERE prediction = 1),
+{collapse_sql('sel', '', 'cl')},
+mi AS (SELECT stock_id, date, n - 12 AS m, ret FROM cl WHERE ret IS NOT NULL AND n > 12),
+dr AS (SELECT stock_id, sim, ('0x' || substr(md5(stock_id || '|' || strftime(date, '%Y-%m-%d') || '|' || sim || '|42'), 1, 8))::BIGINT % m AS i FROM mi, (SELECT unnest(generate_series(1, 500)) AS sim)),
+si AS (SELECT sim, avg(ret) AS mean FROM dr JOIN nb USING (stock_id, i) GROUP BY 1),
+o1 AS (SELECT avg(mean) AS random_mean, stddev_pop(mean) AS random_std, count(*) AS n_simulations FROM si),
+o2 AS (SELECT *, (signal_mean - random_mean) / nullif(random_std, 0) AS z FROM o1, (SELECT avg(ret) AS signal_mean, count(*) AS n_signals FROM mi)),
+o3 AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2)) AS t FROM o2),
+o4 AS (SELECT *, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2) / 2 AS tail FROM o3)
+FINAL
+SELECT *, CASE WHEN z >= 0 THEN tail ELSE 1 - tail END AS p_value FROM o4"""
+register("random_entry_benchmark", lambda spark, d: ev.random_entries(scored(spark, d)), RANDOM, {"signal_mean": 6, "n_signals": None, "random_mean": 6, "random_std": 6, "n_simulations": None, "z": 5, "p_value": 5}, ())
+
+
+def ranks_sql(label: str, out: str) -> str:
+    """Tables that end in ``out``: one row of AUC and average precision."""
+    return f"""{out}t AS (SELECT score, sum(("{label}" = 1)::INTEGER) AS p, sum(("{label}" <> 1)::INTEGER) AS n FROM sd GROUP BY 1),
+{out}u AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM {out}t),
+{out} AS (SELECT sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS auc, sum(p * tp / (tp + fp)) / sum(p) AS ap FROM {out}u)"""
+
+
+TIER = {"avg_precision": 8, "roc_auc": 8, "base_avg_precision": 8, "base_roc_auc": 8}
+register("tiered_gate", lambda spark, d: ev.ranking(scored(spark, d)), f"""{SCORED},
+{ranks_sql('PivotLow', 'rl')},
+{ranks_sql('PivotLow_base', 'rb')}
+FINAL
+SELECT rl.ap AS avg_precision, rl.auc AS roc_auc, rb.ap AS base_avg_precision, rb.auc AS base_roc_auc, rl.ap >= 0.05::DOUBLE AS passes FROM rl, rb""", {**TIER, "passes": None}, ())
+register("tiered_eval", lambda spark, d: ev.tiered_eval(scored(spark, d).drop("weight"), least=0.01), f"""{CELLS},
+{ranks_sql('PivotLow', 'rl')},
+{ranks_sql('PivotLow_base', 'rb')},
+cm AS (SELECT avg(damping * raw_score) AS composite, count(*) AS valid_cells FROM cs)
+FINAL
+SELECT rl.ap AS avg_precision, rl.auc AS roc_auc, rb.ap AS base_avg_precision, rb.auc AS base_roc_auc, rl.ap >= 0.01::DOUBLE AS passes, composite, valid_cells, TRUE AS passed FROM rl, rb, cm""",
+         {**TIER, "passes": None, "composite": 4, "valid_cells": None, "passed": None}, ())
+register("class_report", lambda spark, d: ev.class_report(scored(spark, d).withColumn("y", F.col("PivotLow").cast("int")), "y", "prediction"), f"""{SCORED},
+cc AS (SELECT "PivotLow"::INTEGER AS a, prediction AS p, count(*) AS n FROM sd GROUP BY ALL),
+kk AS (SELECT unnest([0, 1]) AS class),
+pp AS (SELECT class, coalesce((SELECT sum(n) FROM cc WHERE a = class AND p = class), 0) AS hits, coalesce((SELECT sum(n) FROM cc WHERE p = class), 0) AS said, coalesce((SELECT sum(n) FROM cc WHERE a = class), 0)::BIGINT AS support FROM kk),
+qq AS (SELECT *, coalesce(hits / nullif(said, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall FROM pp)
+FINAL
+SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM qq""", {"precision": 8, "recall": 8, "f1": 8, "support": None}, ("class",))
+SIZED = f"""{SCORED},
+nb AS (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY date) AS rn FROM sd),
+sg AS (SELECT *, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS r FROM nb WHERE prediction = 1),
+sz AS (SELECT stock_id, date, rn, score, 1 + 4 * r AS units, 0.05::DOUBLE + 0.05::DOUBLE * r AS stop FROM sg),
+pa AS (SELECT z.stock_id, z.date AS sd_, z.units, z.stop, b.date, b.rn - z.rn - 1 AS i, b.low, b.close, first_value(b.open) OVER w AS entry_price, max(b.high) OVER w AS hi
+  FROM sz z JOIN nb b ON b.stock_id = z.stock_id AND b.rn BETWEEN z.rn + 1 AND z.rn + 31 WINDOW w AS (PARTITION BY z.stock_id, z.date ORDER BY b.rn)),
+sp AS (SELECT *, greatest(entry_price, hi) * (1 - stop / pow(2, i // 5)) AS level FROM pa),
+tr AS (SELECT stock_id, sd_ AS date, any_value(units) AS units, any_value(stop) AS stop, any_value(entry_price) AS entry_price, min(CASE WHEN low <= level THEN i END) AS hit, count(*) AS n, max(date) AS last_date, arg_max(close, i) AS last_close FROM sp GROUP BY 1, 2),
+td AS (SELECT tr.*, coalesce(sp.date, last_date) AS exit_date, coalesce(sp.level, last_close) AS exit_price, CASE WHEN hit IS NOT NULL THEN 'S' WHEN n > 30 THEN 'H' ELSE 'E' END AS code
+  FROM tr LEFT JOIN sp ON sp.stock_id = tr.stock_id AND sp.sd_ = tr.date AND sp.i = tr.hit),
+tt AS (SELECT *, (exit_price - entry_price) / entry_price AS return_pct, units * (1 + (exit_price - entry_price) / entry_price) AS result FROM td)"""
+register("sized_trades", lambda spark, d: ev.sized_trades(scored(spark, d)), f"{SIZED}\nFINAL\nSELECT * FROM tt", {"units": 6, "stop": 8, "entry_price": 6, "exit_date": None, "exit_price": 6, "code": None, "return_pct": 7, "result": 6})
+register("top_returners", lambda spark, d: ev.top_stocks(ev.sized_trades(scored(spark, d)), 4), f"""{SIZED}
 FINAL
-SELECT sum(p * tp / (tp + fp)) / sum(p) AS avg_precision, sum(p * tp / (tp + fp)) / sum(p) >= 0.05::DOUBLE AS passes FROM u""", {"avg_precision": 8, "passes": None}, ())
+SELECT stock_id, count(*) AS n_signals, sum(units) AS invested, sum(result) AS result, (sum(result) - sum(units)) / sum(units) AS roi FROM tt GROUP BY 1 ORDER BY roi DESC, stock_id LIMIT 4""",
+         {"n_signals": None, "invested": 5, "result": 5, "roi": 7}, ("stock_id",))
+register("eval_detail", lambda spark, d: (lambda x: ev.eval_detail(ev.cell_scores(x, ev.top_weights(x.drop("weight"), "score", (0.01, 0.02)), (5,)).withColumn("fold", F.lit(1))))(scored(spark, d)), f"{CELLS}\nFINAL\nSELECT *, damping * raw_score AS score FROM cs WHERE budget >= 0.01 AND horizon = 5",
+         {"score": 4, "effective_n": 5, "excess": 6, "win_rate": 6, "worst_decile": 6, "knife_rate": 6, "tail_mae": 6, "entry_slippage": 6}, ("budget", "horizon"))

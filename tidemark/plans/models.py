@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import calculator as calc
 from tidemark.operators import features as feat
 from tidemark.operators import legacy
 from tidemark.operators import patterns as pat
@@ -19,8 +18,6 @@ from tidemark.plans.relational import FOLDS
 from tidemark.sources.bars import lineitem_bars
 
 S = Series()
-SHOWN = ("SMA_5", "EMA_21", "VWAP", "RSI_14", "MACD_12_26", "ADX_14", "ROC_10", "MOM_10", "STOCH_K_14", "BBands_upper_20", "ATR_14", "ADR_20", "APZ_upper_21", "SAR", "OBV", "OBV_EMA_55", "ADOSC_3_10", "PivotHigh", "PivotLow", "Hammer", "HT_SINE", "HT_TRENDMODE")
-on_bars("calculate_all", calc.calculate_all, None, **dict.fromkeys(SHOWN))
 on_bars("strength_index", lambda b: legacy.strength_index(b, S), None, strength=6)
 MID = f"count(*) {over(back=-8, ahead=8)} = 17"
 on_bars("legacy_pivot_divergence", lambda b: legacy.pivot_divergence(recursive(b, {"rsi_14": ("rsi", 14)}), S), f""", {RSI_SQL},

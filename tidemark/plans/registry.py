@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Name -> (SQL of keys and columns before rounding, columns).
+RAW: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 BARS_SQL = """bars AS (
   SELECT l_returnflag || '-' || l_linestatus AS stock_id, l_shipdate AS date, arg_min(px, k) AS open, max(px) AS high, min(px) AS low,
@@ -59,6 +61,7 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
     if sql is not None:
         ctes, final = sql.rsplit("\nFINAL\n", 1) if "\nFINAL\n" in sql else ("", sql)
         outs = ", ".join([*keys, *[f"round({c}, {d}) + 0.0 AS {c}" if d is not None else c for c, d in columns.items()]])
+        RAW[name] = ((f"WITH RECURSIVE {ctes}\n" if ctes else "") + f"SELECT {', '.join([*keys, *columns])} FROM ({final}) AS final_", tuple(columns))
         ORACLES[name] = (f"WITH RECURSIVE {ctes}\n" if ctes else "") + f"SELECT {outs} FROM ({final}) AS final_"
 
 
@@ -71,4 +74,4 @@ def on_bars(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None, *
     register(name, lambda spark, d: run(lineitem_bars(spark, d)), sql, columns)
 
 
-from tidemark.plans import evaluation, models, patterns, recurrences, relational, windows  # noqa: E402, F401
+from tidemark.plans import evaluation, models, patterns, recurrences, relational, wholes, windows  # noqa: E402, F401

@@ -7,10 +7,12 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import calculator as calc
 from tidemark.operators import dataset as ds
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as feat
 from tidemark.operators import indicators as ind
+from tidemark.operators import legacy
 from tidemark.operators import universe as un
 from tidemark.operators.rolling import Series
 from tidemark.plans.registry import BARS_SQL, lag, moving, on_bars, over, pct, register
@@ -39,7 +41,7 @@ on_bars("clean_ohlcv", lambda b: ds.clean_ohlcv(_dirty(b)), f", {DIRTY}\nFINAL\n
 on_bars("penny_anti_join", lambda b: ds.clean_ohlcv(b, penny=23.0), "\nFINAL\nSELECT * FROM bars WHERE volume > 0 AND stock_id NOT IN (SELECT stock_id FROM bars WHERE close < 23)", **OHLCV)
 on_bars("min_history_filter", lambda b: feat.min_history(b, 2450), "\nFINAL\nSELECT * FROM bars WHERE stock_id IN (SELECT stock_id FROM bars GROUP BY 1 HAVING count(*) >= 2450)", **OHLCV)
 on_bars("missing_purge", lambda b: ds.clean_dataset(_dirty(b).withColumn("ret", F.when(F.dayofmonth("date") == 9, float("inf")).otherwise(F.col("close"))), ["ret"]), f", {DIRTY}\nFINAL\nSELECT *, close AS ret FROM db WHERE day(date) <> 9 AND close IS NOT NULL", ret=6, volume=3)
-on_bars("load_filtered_projection", lambda b: b.where(F.col("stock_id").isin("A-F", "N-O") & (F.col("date") >= F.lit(D(1996, 1, 1)))).select("stock_id", "date", "close"), "\nFINAL\nSELECT * FROM bars WHERE stock_id IN ('A-F', 'N-O') AND date >= TIMESTAMP '1996-01-01'", close=6)
+on_bars("load_filtered_projection", lambda b: ds.projected(b, ("stock_id", "date", "close"), ("A-F", "N-O"), D(1996, 1, 1)), "\nFINAL\nSELECT * FROM bars WHERE stock_id IN ('A-F', 'N-O') AND date >= TIMESTAMP '1996-01-01'", close=6)
 register("quality_gate", lambda spark, d: ds.quality_gate(src.nation_bars(spark, d).withColumn("volume", F.col("volume") * 20000), F.lit(D(1998, 11, 1))), """nb AS (
   SELECT 'N' || c_nationkey AS stock_id, o_orderdate AS date, arg_max(o_totalprice, row(o_orderkey, o_totalprice)) AS close, count(*)::DOUBLE * 20000 AS volume
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -169,10 +171,19 @@ ss AS (SELECT DISTINCT fold, date, CASE WHEN date <= te THEN 'train' ELSE 'val'
 rk AS (SELECT *, row_number() OVER (PARTITION BY fold, split ORDER BY date DESC) AS back FROM ss)
 FINAL
 SELECT fold, split, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM rk JOIN bars USING (date) WHERE back > 14 GROUP BY 1, 2""", {"n_rows": None, "first_date": None, "last_date": None}, ("fold", "split"))
-on_bars("adr_execution_filter", lambda b: b.join(b.withColumn("adr", F.when(F.count("close").over(S.last(20)) >= 10, 100 * (F.avg(F.col("high") / F.col("low")).over(S.last(20)) - 1))).where("adr is not null").groupBy("stock_id").agg(F.max_by("adr", "date").alias("last_adr")).where("last_adr >= 2100"), "stock_id", "left_semi"), f""", a AS (SELECT *, {moving('avg', 'high / low', 20, 10)} AS m FROM bars), l AS (SELECT stock_id, arg_max(100 * (m - 1), date) AS last_adr FROM a WHERE m IS NOT NULL GROUP BY 1)
+on_bars("adr_execution_filter", lambda b: ds.adr_filter(b, S, 2100), f""", a AS (SELECT *, {moving('avg', 'high / low', 20, 10)} AS m FROM bars), l AS (SELECT stock_id, arg_max(100 * (m - 1), date) AS last_adr FROM a WHERE m IS NOT NULL GROUP BY 1)
 FINAL
 SELECT * FROM bars WHERE stock_id IN (SELECT stock_id FROM l WHERE last_adr >= 2100)""", close=6)
-on_bars("fill_forward", lambda b: _dirty(b).withColumns({"filled": F.coalesce(F.last("close", True).over(S.so_far), F.first("close", True).over(S.w.rowsBetween(0, 1_000_000))), "zero": F.coalesce("close", F.lit(0.0))}), f""", {DIRTY}
+
+
+def _filled(b: DataFrame) -> DataFrame:
+    b = _dirty(b).withColumns({"filled": F.col("close"), "zero": F.col("close")})
+    for how, c in (("ffill", "filled"), ("bfill", "filled"), ("zero", "zero")):
+        b = calc.handle_missing(b, (c,), how, S)
+    return b
+
+
+on_bars("fill_forward", _filled, f""", {DIRTY}
 FINAL
 SELECT *, coalesce(last_value(close IGNORE NULLS) {over()}, first_value(close IGNORE NULLS) OVER (PARTITION BY stock_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled, coalesce(close, 0) AS zero FROM db""", filled=6, zero=6)
 EVENT_BARS = """w AS (
@@ -189,7 +200,14 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("stream_bars_tumbling", _stream, EVENT_BARS, {"open": 6, "high": 6, "low": 6, "close": 6, "volume": None})
-register("set_operations", lambda spark, d: (lambda a, b: a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("old"))).unionByName(b.subtract(a).withColumn("side", F.lit("new"))))(src.lineitem_bars(spark, d).where("close < 5000").select("date"), src.lineitem_bars(spark, d).where("close > 20000").select("date")), f"""{BARS_SQL}, a AS (SELECT DISTINCT date FROM bars WHERE close < 5000), b AS (SELECT DISTINCT date FROM bars WHERE close > 20000)
+
+
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    bars = src.lineitem_bars(spark, d)
+    return ds.key_sets(bars.where("close < 5000"), bars.where("close > 20000"), ("date",))
+
+
+register("set_operations", _sides, f"""{BARS_SQL}, a AS (SELECT DISTINCT date FROM bars WHERE close < 5000), b AS (SELECT DISTINCT date FROM bars WHERE close > 20000)
 FINAL
 SELECT date, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT date, 'old' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT date, 'new' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""", {"side": None}, ("date",))
 register("importance_aggregation", lambda spark, d: ev.importances(spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("f"), F.pmod("s_suppkey", F.lit(7)).cast("string")).alias("feature"), F.pmod("s_suppkey", F.lit(4)).alias("fold"), F.abs("s_acctbal").alias("value"))), """i AS (
@@ -204,8 +222,7 @@ register("progress_running_best", lambda spark, d: ev.progress(spark.read.parque
   SELECT s_suppkey AS iter, s_acctbal AS score, CASE WHEN s_suppkey % 5 = 0 THEN 'crash' WHEN s_suppkey % 3 = 0 THEN 'keep' ELSE 'discard' END AS status FROM supplier)
 FINAL
 SELECT *, max(CASE WHEN status = 'keep' THEN score END) OVER (ORDER BY iter ROWS UNBOUNDED PRECEDING) AS best FROM r WHERE status <> 'crash'""", {"score": 2, "status": None, "best": 2}, ("iter",))
-on_bars("legacy_lags", lambda b: b.withColumn("r", S.pct("close", 1)).withColumns({f"r_lag{k}": S.lag("r", k) for k in range(1, 9)}).withColumn("price_volume_trend", F.sum(F.col("r") * F.col("volume")).over(S.so_far)), f""", r AS (SELECT *, {pct('close', 1)} AS r FROM bars)
+on_bars("legacy_lags", lambda b: legacy.lagged_returns(b, S), f""", r AS (SELECT *, {pct('close', 1)} AS r FROM bars)
 FINAL
 SELECT *, {', '.join(f"{lag('r', k)} AS r_lag{k}" for k in range(1, 9))}, sum(r * volume) {over()} AS price_volume_trend FROM r""", **{f"r_lag{k}": 8 for k in range(1, 9)}, price_volume_trend=3)
-register("build_features", lambda spark, d: feat.build_features(src.lineitem_bars(spark, d)), None, {c: None for c in ("close", *feat.list_features(), *feat.LABELS)})
 _register_labels()
