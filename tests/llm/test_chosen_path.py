@@ -105,16 +105,16 @@ def test_families_are_peeled(spark, monkeypatch):
     opened = []
     real = cp.peeled
 
-    def watched(scratch, rows, threshold):
-        sure, open_, rest = real(scratch, rows, threshold)
-        opened.append((rows.count(), open_.count(), rest.count()))
-        return sure, open_, rest
+    def watched(scratch, rows, threshold, block):
+        sure, open_, places, families = real(scratch, rows, threshold, block)
+        opened.append((rows.count(), open_.count(), places.where("kind >= 2").count()))
+        return sure, open_, places, families
 
     monkeypatch.setattr(cp, "peeled", watched)
-    check(spark, rows, recall=0.99999, block=12)
-    assert len(opened) >= 2 and opened[0][2] < 0.8 * opened[0][0]
+    check(spark, rows, recall=0.99999, block=12, peel=1)
+    assert len(opened) == cp.PEELS and opened[0][2] < 0.8 * opened[0][0]
     opened.clear()
-    check(spark, rows[:73], recall=0.99999, block=12)  # all near one page: nothing is compared
+    check(spark, rows[:73], recall=0.99999, block=12, peel=1)  # all near one page: nothing is compared
     assert opened[0][1] == opened[0][2] == 0
 
 

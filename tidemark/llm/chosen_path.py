@@ -9,8 +9,8 @@ blocks. Runs are repeated until a pair at the threshold is met with the target r
 process's survival at full depth as the chance of one run.
 
 Small buckets are compared by brute force on sketches, which only nominates: nominated texts form families, whose
-shingle sets are then compared exactly. A family of up to ``BLOCK`` texts is compared pair by pair in one place. A
-larger one is peeled: every text is measured against a pivot (the text with most copies), and as the Jaccard distance
+shingle sets are then compared exactly. A family of up to ``PEEL_FROM`` blocks of ``BLOCK`` texts is compared pair by
+pair, block by block (the few thousand products of a text cost less than peeling's jobs). A larger one is peeled: every text is measured against a pivot (the text with most copies), and as the Jaccard distance
 is a metric, two texts within half the allowed distance of the pivot are linked for sure, and a text near the pivot
 and one far from it are sure to be linked or not by the sum and the difference of their distances. Sure links are
 counted without a comparison; only pairs that the triangle inequality leaves open are compared, in blocks, and what
@@ -42,7 +42,7 @@ from tidemark.llm.common import Scratch, bounded, components, factory, free, map
 from tidemark.llm.substring_dedup import Texts, _signed, _Words, join_hashes, window_hashes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-SMALL, DEPTH, BLOCK, BINS, PEELS = 256, 3, 512, 256, 6
+SMALL, DEPTH, BLOCK, BINS, PEELS, PEEL_FROM = 256, 3, 512, 256, 2, 16
 #: Bytes of the sets of a block, and of a table of sets that is broadcast.
 BLOCK_BYTES, BROADCAST_BYTES = 16_000_000, 32_000_000
 _TOP = 1 << 62  # nodes from here on stand for rows without an identifier of their own
@@ -184,6 +184,29 @@ def _alike(s: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold
     return out & (low >= threshold * high - 1e-9) & (low > 0)
 
 
+#: Sketches with so many filled bins tell a text near a pivot from one that is not: CORE is the estimate from which a
+#: text counts as near (4.5 standard deviations: its distance is under 0.15 then), and REACH is how far under the
+#: threshold the estimate of a text that links to such a near one may lie (0.15, and 4.5 deviations of its own).
+FILLED, CORE, REACH = 100, 0.95, 0.362
+
+
+def _around(s: np.ndarray, n: np.ndarray, live: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members nominated to the first one of ``live``, members as good as covered by it, and those left to compare.
+
+    Whatever links to a covered member is nominated to the pivot too, so covered members need no other comparison.
+    """
+    pivot, rest = live[0], live[1:]
+    a, b = s[pivot], s[rest]
+    union = np.maximum(BINS - ((a | b) == 0).sum(1), 1)
+    share = ((a == b) & (a > 0)).sum(1) / union
+    low, high = np.minimum(n[pivot], n[rest]), np.maximum(n[pivot], n[rest])
+    least = threshold - REACH
+    margin = 4.5 * np.sqrt(threshold * (1 - threshold) / union)
+    near = (low > 0) & (((share >= least) & (low >= least * high)) | ((share >= threshold - margin) & (low >= threshold * high - 1e-9)))
+    covered = near & (share >= CORE) & (union >= FILLED)
+    return rest[near], rest[covered], rest[~covered]
+
+
 def nominated(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
     """(a, b) edges of nominated texts in each bucket. rows: path, node, n, sketch, side.
 
@@ -209,10 +232,22 @@ def nominated(rows: DataFrame, threshold: float, parts: int) -> DataFrame:
 
             i, j, held = [], [], 0
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                for x in range(a, b - 1):
-                    i.append(np.full(b - x - 1, x))
-                    j.append(np.arange(x + 1, b))
-                    held += b - x - 1
+                live = np.arange(a, b)
+                while len(live) > 32:  # many near one another: a comparison each, not one a pair
+                    pivot, before = int(live[0]), len(live)
+                    near, covered, left = _around(s, n, live, threshold)
+                    if 20 * len(covered) < before:
+                        break
+                    for k in near.tolist():
+                        if side[k] == side[pivot]:
+                            inside.join(pivot, k)
+                        else:
+                            across.append((pivot, k))
+                    live = left
+                for x in range(len(live) - 1):
+                    i.append(np.full(len(live) - x - 1, live[x]))
+                    j.append(live[x + 1 :])
+                    held += len(live) - x - 1
                     if held > 200_000:
                         settle(i, j)
                         i, j, held = [], [], 0
@@ -327,11 +362,6 @@ def blocks_for(rows: str, longs: str, block: int) -> Column:
     return F.greatest(F.ceil(F.col(rows) / block), F.ceil(8 * F.col(longs) / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
-def with_blocks(rows: DataFrame, block: int) -> DataFrame:
-    size = rows.groupBy("family").agg(F.count("*").alias("size"), F.sum(F.size("set")).alias("longs"))
-    return rows.drop("blocks").join(size.select("family", blocks_for("size", "longs", block).alias("blocks")), "family")
-
-
 def in_blocks(rows: DataFrame) -> DataFrame:
     """(group, node, block, copies, cross, set): every pair of blocks of a family's rows meets in a group."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -339,74 +369,77 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.select(group.alias("group"), "node", "block", "copies", (F.col("block") != F.col("other")).alias("cross"), "set")
 
 
-def in_crossed_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """The same for pairs of a row of side 0 and one of side 1; pairs of one side do not meet."""
-    size = rows.groupBy("family", "side").agg(F.count("*").alias("size"), F.sum(F.size("set")).alias("longs"))
+def in_crossed_blocks(rows: DataFrame, size: DataFrame, families: int, block: int) -> DataFrame:
+    """The same for pairs of a row of side 0 and one of side 1; pairs of one side do not meet. size: family, side, size, longs."""
     own = size.select("family", "side", blocks_for("size", "longs", block).alias("own"))
-    rows = rows.join(own, ["family", "side"]).join(own.select("family", (1 - F.col("side")).alias("side"), F.col("own").alias("others")), ["family", "side"])
+    other = own.select("family", (1 - F.col("side")).alias("side"), F.col("own").alias("others"))
+    rows = rows.join(bounded(own.join(other, ["family", "side"]), 2 * families), ["family", "side"])
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("own")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    group = F.xxhash64("family", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine")), F.lit("crossed"))
-    return rows.select(group.alias("group"), "node", F.col("side").alias("block"), "copies", F.lit(True).alias("cross"), "set")
+    first, second = (F.when(F.col("side") == k, F.col("mine")).otherwise(F.col("other")) for k in (0, 1))
+    return rows.select(F.xxhash64("family", first, second, F.lit("crossed")).alias("group"), "node", F.col("side").alias("block"), "copies", F.lit(True).alias("cross"), "set")
 
 
-def peeled(scratch: Scratch, rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def peeled(scratch: Scratch, rows: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """One pivot for each family. rows: node, family, copies, set.
 
-    Gives (node, label, links) of the links that are sure, rows with a side whose crossed pairs are open (side 1 lies
-    in the ball, side 0 outside but within reach), and the rows outside the ball, whose own pairs are open.
+    Gives (node, label, links) of the links that are sure; blocks of the pairs that are open between the ball and what
+    is outside but within reach of it; every node's place (node, family, n, kind: from 2 on outside the ball, where
+    their own pairs are open); and the number of families.
     """
     far, eps = 1 - threshold, 1e-9
     pivot = rows.groupBy("family").agg(F.max(F.struct("copies", (-F.col("node")).alias("m"))).alias("k")).select("family", (-F.col("k.m")).alias("pivot"))
     pivots = rows.withColumn("pivot", F.col("node")).join(pivot, ["family", "pivot"]).select("family", "pivot", F.col("set").alias("around"))
     pivots = scratch.write(pivots, "pivots")
-    size = 8 * (pivots.agg(F.sum(F.size("around"))).first()[0] or 0)
+    families, longs = pivots.agg(F.count("*"), F.coalesce(F.sum(F.size("around")), F.lit(0))).first()
     both, all_ = F.size(F.array_intersect("set", "around")), F.size("set") + F.size("around")
-    at = rows.join(bounded(pivots, size, BROADCAST_BYTES), "family").select(
-        "node", "family", "pivot", "copies", (1 - both / (all_ - both)).alias("d"), (both * (1 + threshold) >= threshold * all_ - 1e-6).alias("near"),
+    at = rows.join(bounded(pivots, 8 * longs, BROADCAST_BYTES), "family").select(
+        "node", "family", "pivot", "copies", F.size("set").alias("n"), (1 - both / (all_ - both)).alias("d"), (both * (1 + threshold) >= threshold * all_ - 1e-6).alias("near"),
     )
     at = scratch.write(at, "distances")
     ball, d = F.col("d") <= far / 2 - eps, F.col("d")
     within = ~ball & (d <= 1.5 * far + eps)  # outside, but some text of the ball may be linked to it
     reach = at.groupBy("family").agg(F.max(F.when(within, d)).alias("most"), F.sum(F.when(ball, F.col("copies"))).alias("in_ball"), F.sum(F.when(within, F.col("copies"))).alias("within"))
     core = ball & (F.col("most").isNull() | (d <= far - F.col("most") - eps))  # linked to all within reach
-    kind = F.when(core, 0).when(ball, 1).when(within, 2).otherwise(3)
-    at = at.join(bounded(reach, reach.count()), "family").withColumn("kind", kind)
+    at = at.join(bounded(reach, families), "family").withColumn("kind", F.when(core, 0).when(ball, 1).when(within, 2).otherwise(3))
     at = scratch.write(at, "kinds")
     inner = at.where("kind = 0").groupBy("family").agg(F.sum("copies").alias("in_core"))
-    known = at.join(bounded(inner, inner.count()), "family", "left")
+    known = at.join(bounded(inner, families), "family", "left")
     links = F.when(F.col("kind") == 0, F.col("in_ball") - F.col("copies") + F.coalesce("within", F.lit(0))).when(F.col("kind") == 1, F.col("in_ball") - F.col("copies")).when(F.col("kind") == 2, F.coalesce("in_core", F.lit(0))).otherwise(0)
     sure = known.select("node", F.when(F.col("near"), F.col("pivot")).otherwise(F.col("node")).alias("label"), links.alias("links"))
-    open_ = rows.join(at.where("kind in (1, 2)").select("node", (2 - F.col("kind")).alias("side")), "node")
-    return sure, open_, rows.join(at.where("kind >= 2").select("node"), "node", "left_semi")
+    sides = at.where("kind in (1, 2)").select("node", "family", "n", (2 - F.col("kind")).alias("side"))
+    size = sides.groupBy("family", "side").agg(F.count("*").alias("size"), F.sum("n").alias("longs"))
+    open_ = in_crossed_blocks(rows.drop("family").join(sides.select("node", "family", "side"), "node"), size, families, block)
+    return sure, open_, at.select("node", "family", "n", "kind"), families
 
 
-def linked(scratch: Scratch, small: DataFrame, large: DataFrame | None, threshold: float, parts: int, block: int) -> DataFrame:
+def linked(scratch: Scratch, small: DataFrame, large: DataFrame | None, threshold: float, parts: int, block: int, peel: int) -> DataFrame:
     """(node, label, links) of all links inside the families of rows (node, family, blocks, copies, set).
 
     Small families are compared pair by pair, large ones are peeled first until they are small.
     """
     out, todo = [], small
-    for k in range(PEELS + 1 if large is not None else 0):
-        rows = large = scratch.write(with_blocks(large, block), f"family-sets{k}")
-        still = scratch.write(rows.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > block).select("family"), "large")
-        n = still.count()
-        if k == PEELS or not n:
-            todo = todo.unionByName(rows)
-            break
-        todo = todo.unionByName(rows.join(bounded(still, n), "family", "left_anti"))
-        sure, open_, large = peeled(scratch, rows.join(bounded(still, n), "family", "left_semi").drop("blocks"), threshold)
+    for k in range(PEELS if large is not None else 0):
+        rows = scratch.write(large, f"family-sets{k}")
+        sure, open_, places, families = peeled(scratch, rows.drop("blocks"), threshold, block)
         out.append(scratch.write(sure, f"sure{k}"))
-        open_ = scratch.write(open_, f"open{k}")
-        if not open_.isEmpty():
-            out.append(scratch.write(verified(in_crossed_blocks(open_, block), threshold, parts), f"crossed{k}"))
-        scratch.drop(open_)
+        out.append(scratch.write(verified(open_, threshold, parts), f"crossed{k}"))
+        outside = places.where("kind >= 2")
+        size = outside.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("longs"))
+        size = size.select("family", "size", blocks_for("size", "longs", block).alias("blocks"))
+        rest = rows.drop("blocks").join(outside.select("node"), "node", "left_semi").join(bounded(size, families), "family")
+        again = k < PEELS - 1 and not size.where(F.col("size") > block * peel).isEmpty()
+        names = ["node", "family", "blocks", "copies", "set"]
+        todo = todo.unionByName(rest.where(F.col("size") <= block * peel).select(*names) if again else rest.select(*names))
+        if not again:
+            break
+        large = rest.where(F.col("size") > block * peel).select(*names)
     links = scratch.write(verified(in_blocks(todo), threshold, parts), "compared")
     for more in out:
         links = links.unionByName(more)
     return links
 
 
-def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK, peel: int = PEEL_FROM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, kept, th (xxhash64 of the text)."""
     spark = docs.sparkSession
     prepare(spark)
@@ -473,9 +506,9 @@ def similar_texts(docs: DataFrame, words: int = WORDS, threshold: float = THRESH
         def own(of: DataFrame) -> DataFrame:
             return shingled(docs.join(bounded(of, n), ["kid", "th"]).select("node", "family", "blocks", "copies", "text"), words)
 
-        few, many = who.where(F.col("size") <= block), who.where(F.col("size") > block)
+        few, many = who.where(F.col("size") <= block * peel), who.where(F.col("size") > block * peel)
         # a row that repeats identifier and text comes twice: groups see to that themselves, peeling needs each node once
-        links = linked(scratch, own(few), None if many.isEmpty() else own(many).dropDuplicates(["node"]), threshold, parts, block)
+        links = linked(scratch, own(few), None if many.isEmpty() else own(many).dropDuplicates(["node"]), threshold, parts, block, peel)
         degree = links.groupBy("node").agg(F.sum("links").alias("links"))
         label = components(scratch, links.select(F.col("node").alias("a"), F.col("label").alias("b")))
         label = scratch.write(degree.join(label, "node", "left").select("node", "links", F.coalesce("label", "node").alias("label")), "labels")
