@@ -123,11 +123,10 @@ class Trees:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> DataFrame:
-    """(id, y, text) of at most ``most`` labelled rows that are not held out: the first by hash of the identifier."""
+    """(id, y, text) of at most ``most`` labelled identifiers that are not held out: the first by hash."""
     y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(column).alias("y"))
     ids = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").cast("long").alias("id"), F.col("y").cast("int").alias("y"))
-    got = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids), "id")  # at most SAMPLE ids
-    return got.groupBy("id", "y").agg(F.min("text").alias("text"))  # of rows that share an identifier, one teaches
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids), "id")  # at most SAMPLE ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **params) -> Trees:
@@ -138,8 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **params) -> Tre
         return pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *(pa.array(c) for c in x.T)], names=["id", "y", *STATS])
 
     rows = labelled_sample(docs, labels, most=most).select("id", "text", "y")
+    # statistics before the exchange: no texts are sent; of rows that share an identifier, one teaches
+    one = map_arrow(rows, step, "id long, y int, " + ", ".join(f"{s} double" for s in STATS)).groupBy("id", "y").agg(F.min(F.struct(*STATS)).alias("x"))
     with small_batches(docs.sparkSession):
-        got = map_arrow(rows, step, "id long, y int, " + ", ".join(f"{s} double" for s in STATS)).toArrow()
+        got = one.select("id", "y", "x.*").toArrow()
     got = got.sort_by("id")
     x = np.stack([got.column(s).to_numpy() for s in STATS], 1) if got.num_rows else np.zeros((0, len(STATS)))
     return Trees.fit(x, got.column("y").to_numpy().astype(np.float64), **params)
