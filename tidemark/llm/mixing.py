@@ -155,9 +155,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, vocabulary: str, most: int
 
         return step
 
-    one = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # of rows that share an identifier, one teaches
+    # bucket numbers before the exchange: no texts are sent; of rows that share an identifier, one teaches
+    one = map_arrow(rows, start, "id long, y string, buckets array<int>").groupBy("id", "y").agg(F.min("buckets").alias("buckets"))
     with small_batches(docs.sparkSession):
-        got = map_arrow(one, start, "id long, y string, buckets array<int>").toArrow().sort_by("id")
+        got = one.toArrow().sort_by("id")
     return Softmax.fit([np.array(x, np.int64) for x in got.column("buckets").to_numpy()], got.column("y").to_pylist())
 
 
