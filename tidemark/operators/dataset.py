@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import re
-from collections.abc import Callable, Iterable
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,6 +134,41 @@ def summary(df: DataFrame, label: str = "PivotLow") -> DataFrame:
     )
 
 
+def _shared_dir(spark: SparkSession) -> str | None:
+    """A folder that driver and executors share: under spark.checkpoint.dir, or one of our own in local mode; else none."""
+    sc = spark.sparkContext
+    if given := sc.getConf().get("spark.checkpoint.dir", None):
+        return f"{given.rstrip('/')}/tidemark-{sc.applicationId}"
+    if not sc.master.startswith("local[") and sc.master != "local":
+        return None
+    own = tempfile.mkdtemp(prefix="tidemark-settled-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
+
+
+@contextlib.contextmanager
+def settled(df: DataFrame) -> Iterator[DataFrame]:
+    """df written and read again inside the block: neither plans nor tasks built on it carry what made it.
+
+    Where driver and executors share no folder, df is cached instead. It is cached while it is written, which keeps the
+    partitions of its last exchange: a feature table is much wider than the bars by whose size they would be merged.
+    """
+    spark, before = df.sparkSession, df.storageLevel
+    kept, folder = df if before.useMemory or before.useDisk else df.persist(), _shared_dir(spark)
+    if folder is None:
+        yield kept
+        return
+    path = f"{folder}/settled-{uuid.uuid4().hex[:12]}"
+    try:
+        kept.write.parquet(path)
+        if not (before.useMemory or before.useDisk):
+            kept.unpersist()
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def validate_final(df: DataFrame, features: Iterable[str], labels: tuple[str, ...] = ("PivotLow", "PivotLow_base", "PivotLow_event_id", "PivotLow_event_offset")) -> list[str]:
     """What is wrong with a finished dataset; one pass over the data."""
     features = list(features)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -23,6 +25,9 @@ from tidemark.operators import dataset as ds
 from tidemark.operators.rolling import Series
 
 
+FOLDS_AT_ONCE = 4
+
+
 def assembled(df: DataFrame, features: Iterable[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
 
@@ -158,18 +163,25 @@ def correlated(df: DataFrame, features: list[str], most: float = 0.95) -> list[s
 def run_folds(df: DataFrame, features: list[str], label: str, folds: Iterable[tuple[str, object, object]], model=Baseline, embargo: int = 14) -> tuple[DataFrame, list[tuple]]:
     """(validation rows of all folds with fold and score, importances by fold). Scaling is fitted on each fold's train.
 
-    A fold without train or validation rows gives none.
+    A fold without train or validation rows gives none. FOLDS_AT_ONCE folds run side by side: most jobs of a tree are
+    too small to fill a cluster.
     """
-    out, found = None, []
-    for name, train_end, val_end in folds:
+
+    def run(fold: tuple[str, object, object]) -> tuple[DataFrame, list[tuple]] | None:
+        name, train_end, val_end = fold
         split = ds.temporal_split(df, train_end, val_end, embargo, include_test=False)
         if split.select("split").distinct().count() < 2:
-            continue
+            return None
         split = ds.scale(split, features)
         fitted = model().fit(split.where("split = 'train'"), features, label)
-        found += [(name, m, f, v) for m, f, v in fitted.importances()]
-        one = fitted.predict(split.where("split = 'val'")).withColumn("fold", F.lit(name))
+        return fitted.predict(split.where("split = 'val'")).withColumn("fold", F.lit(name)), [(name, m, f, v) for m, f, v in fitted.importances()]
+
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        runs = [pool.submit(inheritable_thread_target(df.sparkSession)(run), fold) for fold in folds]
+    out, found = None, []
+    for one, values in (r.result() for r in runs if r.result() is not None):
         out = one if out is None else out.unionByName(one)
+        found += values
     if out is None:
         out = df.where(F.lit(False)).withColumns({"split": F.lit(""), "score": F.lit(0.0), "fold": F.lit("")})
     return out, found

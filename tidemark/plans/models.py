@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as feat
 from tidemark.operators import legacy
 from tidemark.operators import patterns as pat
-from tidemark.operators.dataset import clean_dataset
+from tidemark.operators.dataset import clean_dataset, settled
 from tidemark.operators.recursive import recursive
 from tidemark.operators.rolling import Series
 from tidemark.plans.patterns import PAST, prev
@@ -44,14 +46,12 @@ def _walk_forward(spark, d: str) -> DataFrame:
     from tidemark.operators.ml import Baseline, run_folds
 
     features = feat.list_features()
-    rows = clean_dataset(feat.build_features(lineitem_bars(spark, d)), features).select("stock_id", "date", "PivotLow", *features).persist()
-    out, _ = run_folds(rows, features, "PivotLow", FOLDS, Baseline)
-    out = out.select("fold", "PivotLow", "score").persist()
-    per = None
-    for name, _, _ in FOLDS:
-        one = classification(out.where(F.col("fold") == name), "PivotLow", score="score").withColumn("fold", F.lit(name))
-        per = one if per is None else per.unionByName(one)
-    return per
+    with settled(clean_dataset(feat.build_features(lineitem_bars(spark, d)), features).select("stock_id", "date", "PivotLow", *features)) as rows:
+        out, _ = run_folds(rows, features, "PivotLow", FOLDS, Baseline)
+        with settled(out.select("fold", "PivotLow", "score")) as scores:
+            parts = [classification(scores.where(F.col("fold") == name), "PivotLow", score="score").withColumn("fold", F.lit(name)) for name, _, _ in FOLDS]
+            per = reduce(DataFrame.unionByName, parts).collect()  # a row a fold
+    return spark.createDataFrame(per, parts[0].schema).coalesce(1)
 
 
 register("walk_forward_gbt", _walk_forward, None, {"roc_auc": 6, "avg_precision": 6}, ("fold",))
