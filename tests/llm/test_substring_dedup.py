@@ -1,7 +1,13 @@
+import contextlib
 import hashlib
 import random
 import re
+import time
 
+from pyspark.sql import functions as F
+
+from tidemark.llm import common
+from tidemark.llm import substring_dedup as module
 from tidemark.llm.substring_dedup import levels_of, substring_dedup
 
 
@@ -83,3 +89,56 @@ def test_candidates_shrink_level_by_level(spark):
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, 50)
     assert list(seen) == [13, 25, 50] and seen[13] > 1.5 * seen[25] > 2 * seen[50] > 0
     assert substring_dedup(spark.createDataFrame(rows[:1], "doc_id long, text string"), seen=(alone := {})).collect()[0].n_removed == 0 and alone == {}
+
+
+def test_a_long_passage_is_one_run_at_each_level(spark, monkeypatch):
+    """Positions one by one soon passed what may be broadcast, and all texts were sent instead."""
+    r, sent, extended = random.Random(5), {}, module.extended
+    passage = [r.choice("abcdefghij") * r.randint(1, 9) + str(i) for i in range(3000)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["x", *passage[:2000], "y", *passage[2000:]])), (3, " ".join(passage[100:160]))]
+
+    def seen(docs, short, long, over_anchors, last):
+        sent[long] = docs.agg(F.sum(F.size("hits"))).first()[0]
+        return extended(docs, short, long, over_anchors, last)
+
+    monkeypatch.setattr(module, "extended", seen)
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, 50)
+    assert sent[50] == 5
+
+
+def test_shuffles_go_with_their_step(spark, monkeypatch):
+    """Each table that the operator writes is written leanly, and a lean write leaves no shuffle files."""
+    written, freed, write = [], [], common.Scratch.write
+
+    def seen(self, df, name, **options):
+        written.append(name)
+        return write(self, df, name, **options)
+
+    @contextlib.contextmanager
+    def noted(session, inner=common.freed_shuffles):
+        with inner(session):
+            freed.append(session.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+            yield
+
+    def left() -> int:
+        n, at = 0, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        while at.hasNext():
+            f = at.next()
+            n += f.length() if f.getName().startswith("shuffle_") else 0
+        return n
+
+    monkeypatch.setattr(common.Scratch, "write", seen)
+    monkeypatch.setattr(common, "freed_shuffles", noted)
+    passage = " ".join(f"w{i}" for i in range(60))
+    substring_dedup(spark.createDataFrame([(1, passage), (2, f"x {passage}")], "doc_id long, text string"))
+    assert {"repeated", "windows25", "windows50", "ranges"} <= set(written) and freed == ["true"] * len(written)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    before, scratch = left(), common.Scratch(spark, "lean", lean=True)
+    assert scratch.write(spark.range(200_000).groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("n")), "t").count() == 200_000
+    for _ in range(50):
+        if (more := left() - before) < 20_000:
+            break
+        time.sleep(0.1)
+    scratch.close()
+    assert more < 20_000

@@ -51,6 +51,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files when they end, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
     sc = spark.sparkContext
@@ -68,14 +80,15 @@ class Scratch:
     """Written tables of one operator call. A table cuts lineage: a lost executor costs no recomputation.
 
     Tables that a result still reads live until ``close``, until the ``released`` block around the call ends, or until
-    the application does; what nothing reads any more is dropped on the way.
+    the application does; what nothing reads any more is dropped on the way. With ``lean`` the shuffle files behind a
+    table go as soon as it stands.
     """
 
     _all: list[Scratch] = []
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lean: bool = False):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.made = 0
+        self.made, self.lean = 0, lean
         Scratch._all.append(self)
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -84,7 +97,7 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         for k, v in options.items():
             writer = writer.option(k, v)
-        with small_batches(self.spark):
+        with small_batches(self.spark), freed_shuffles(self.spark) if self.lean else contextlib.nullcontext():
             writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path

@@ -25,7 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
@@ -153,7 +153,7 @@ def described(docs: DataFrame, short: int, long: int) -> DataFrame:
 def extended(docs: DataFrame, short: int, long: int, over_anchors: bool, last: bool) -> DataFrame:
     """(doc_id, th, pos, h1; h2 at the last level) of candidate windows of the longer length. docs: doc_id, th, text, hits.
 
-    hits are hashes of repeated minimizers, or positions of repeated windows of the shorter length.
+    hits are hashes of repeated minimizers, or runs of positions of repeated windows of the shorter length (``runs``).
     """
 
     @factory
@@ -178,8 +178,10 @@ def extended(docs: DataFrame, short: int, long: int, over_anchors: bool, last: b
                 np.add.at(edge, end[fine] + 1, -1)
                 able = np.cumsum(edge[:-1]) > 0
             else:
-                seen = np.zeros(len(t.low), bool)
-                seen[flat + np.repeat(t.starts, count)] = True
+                base, edge = np.repeat(t.starts, count), np.zeros(len(t.low) + 1, np.int64)
+                np.add.at(edge, base + (flat >> 32), 1)
+                np.add.at(edge, base + (flat & 0xFFFFFFFF), -1)
+                seen = np.cumsum(edge[:-1]) > 0
                 able = seen.copy()
                 step_ = long - short
                 able[: len(able) - step_] &= seen[step_:]
@@ -218,6 +220,13 @@ def without(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "th", "text", "starts", "ends"), step, "doc_id long, th long, n_removed long, sha string, kept_text string")
 
 
+def runs(ps: str, reach: int) -> tuple[Column, Column]:
+    """(starts, ends) of the ranges that a sorted array of positions covers, if each covers ``reach`` places."""
+    starts = F.expr(f"filter({ps}, (p, i) -> i = 0 or p > {ps}[greatest(i - 1, 0)] + {reach})")
+    ends = F.expr(f"transform(filter({ps}, (p, i) -> i = size({ps}) - 1 or {ps}[least(i + 1, size({ps}) - 1)] > p + {reach}), p -> p + {reach})")
+    return starts, ends
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", seen: dict[int, int] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with ``texts`` kept_text (null where nothing was removed).
 
@@ -227,7 +236,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
         raise ValueError("window: two words at least")
     spark = docs.sparkSession
     prepare(spark)
-    scratch, lengths = Scratch(spark, "substrings"), levels_of(window, first)
+    scratch, lengths = Scratch(spark, "substrings", lean=True), levels_of(window, first)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     all_ = scratch.write(described(docs, lengths[0], lengths[1]), "described")
@@ -264,15 +273,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
         before = hits
         if last:
             dups = rows.join(firsts, keys).where("doc_id > lo").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
-            ranges = dups.select(
-                "doc_id", "th",
-                F.expr(f"filter(ps, (p, i) -> i = 0 or p > ps[greatest(i - 1, 0)] + {window})").alias("starts"),
-                F.expr(f"transform(filter(ps, (p, i) -> i = size(ps) - 1 or ps[least(i + 1, size(ps) - 1)] > p + {window}), p -> p + {window})").alias("ends"),
-            )
-            ranges = scratch.write(ranges, "ranges")
+            starts, ends = runs("ps", window)
+            ranges = scratch.write(dups.select("doc_id", "th", starts.alias("starts"), ends.alias("ends")), "ranges")
         else:
-            hits = rows.join(firsts, keys, "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.col("pos").cast("long")).alias("hits"))
-            hits = scratch.write(hits, "hits")
+            again = rows.join(firsts, keys, "left_semi").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+            starts, ends = runs("ps", 1)
+            packed = F.zip_with(starts, ends, lambda s, e: F.shiftleft(s.cast("long"), 32).bitwiseOR(e.cast("long")))
+            hits = scratch.write(again.select("doc_id", "th", packed.alias("hits")), "hits")
         scratch.drop(rows, firsts, before)
     base = marked.select("doc_id", "th", "n_words", "sha", whole.alias("whole"))
     empty_sha = hashlib.sha256(b"").hexdigest()
