@@ -72,5 +72,5 @@ def test_folds_run_side_by_side(spark):
             return super().fit(df, features, label)
 
     folds = [("one", dt.datetime(2020, 2, 1), dt.datetime(2020, 2, 20)), ("two", dt.datetime(2020, 2, 20), dt.datetime(2020, 3, 15))]
-    out, found = ml.run_folds(df, ["x"], "y", folds, lambda: Meeting(1, 1), embargo=1)
+    out, found = ml.run_folds(df, ["x"], "y", folds, lambda: Meeting(1, 1), embargo=1, at_once=2)
     assert {x.fold: x.n for x in out.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {"one": 18, "two": 23} and [f[0] for f in found] == ["one", "two"]

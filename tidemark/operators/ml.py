@@ -25,9 +25,6 @@ from tidemark.operators import dataset as ds
 from tidemark.operators.rolling import Series
 
 
-FOLDS_AT_ONCE = 4
-
-
 def assembled(df: DataFrame, features: Iterable[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
 
@@ -160,11 +157,11 @@ def correlated(df: DataFrame, features: list[str], most: float = 0.95) -> list[s
     return [f for j, f in enumerate(features) if any(abs(m[i, j]) > most for i in range(j))]
 
 
-def run_folds(df: DataFrame, features: list[str], label: str, folds: Iterable[tuple[str, object, object]], model=Baseline, embargo: int = 14) -> tuple[DataFrame, list[tuple]]:
+def run_folds(df: DataFrame, features: list[str], label: str, folds: Iterable[tuple[str, object, object]], model=Baseline, embargo: int = 14, at_once: int = 1) -> tuple[DataFrame, list[tuple]]:
     """(validation rows of all folds with fold and score, importances by fold). Scaling is fitted on each fold's train.
 
-    A fold without train or validation rows gives none. FOLDS_AT_ONCE folds run side by side: most jobs of a tree are
-    too small to fill a cluster.
+    A fold without train or validation rows gives none. ``at_once`` folds run side by side, which is faster (most jobs
+    of a tree are too small to fill a cluster) and takes more of the driver's memory.
     """
 
     def run(fold: tuple[str, object, object]) -> tuple[DataFrame, list[tuple]] | None:
@@ -176,7 +173,7 @@ def run_folds(df: DataFrame, features: list[str], label: str, folds: Iterable[tu
         fitted = model().fit(split.where("split = 'train'"), features, label)
         return fitted.predict(split.where("split = 'val'")).withColumn("fold", F.lit(name)), [(name, m, f, v) for m, f, v in fitted.importances()]
 
-    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         runs = [pool.submit(inheritable_thread_target(df.sparkSession)(run), fold) for fold in folds]
     out, found = None, []
     for one, values in (r.result() for r in runs if r.result() is not None):
