@@ -3,7 +3,9 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -142,3 +144,48 @@ def test_shuffles_go_with_their_step(spark, monkeypatch):
         time.sleep(0.1)
     scratch.close()
     assert more < 20_000
+
+
+def test_tables_start_no_processes(spark):
+    """A process that the JVM starts has the JVM's memory as its own for a moment: executors were stopped at twice their size."""
+
+    def reaped() -> int:
+        pid = spark._jvm.java.io.File("/proc/self").getCanonicalFile().getName()
+        return int(Path(f"/proc/{pid}/stat").read_text().rpartition(")")[2].split()[8])  # page faults of children that ended
+
+    scratch = common.Scratch(spark, "quiet", lean=True)
+    made = common.map_arrow(spark.range(2000), lambda b: b, "id long")
+    scratch.write(made, "warm")
+    before = reaped()
+    tables = [scratch.write(made, "made"), scratch.write(spark.range(2000).groupBy("id").count().select("id"), "grouped")]
+    started = reaped() - before
+    assert [sorted(x.id for x in t.collect()) for t in tables] == [list(range(2000))] * 2
+    scratch.close()
+    assert started == 0
+
+
+def test_tables_keep_their_rows(spark, monkeypatch):
+    """Written by the workers or by Spark: the same rows, types and names; tables without rows too."""
+    values = [(1, b"\x00\xff", "é\U0001f600", [1, None, -(2**63)], True, 0.5), (None, None, None, None, None, None), (2, b"", "", [], False, float("inf"))] * 700
+    df = spark.createDataFrame(values, "`a b` long, x binary, t string, l array<long>, f boolean, d double").repartition(5)
+    scratch = common.Scratch(spark, "rows", lean=True)
+    here = [scratch.write(df, "all"), scratch.write(df.where("d < 0"), "none")]
+    assert sorted(map(tuple, here[0].collect()), key=str) == sorted(values, key=str) and here[1].count() == 0
+    assert here[0].schema == here[1].schema == df.schema
+    monkeypatch.setattr(common.Scratch, "_local", lambda self, path: None)
+    assert sorted(map(tuple, scratch.write(df, "spark").collect()), key=str) == sorted(values, key=str)
+    scratch.close()
+
+
+def test_a_task_that_failed_leaves_no_rows(spark, tmp_path):
+    """Rows of an attempt that broke off are in no file that is read."""
+
+    def breaks(b):
+        if b.column("id")[0].as_py() >= 1500:
+            raise ValueError("broken")
+        return b
+
+    folder = str(tmp_path / "t")
+    with common.small_batches(spark), pytest.raises(Exception, match="broken"):
+        common.stored(common.map_arrow(spark.range(0, 3000, 1, 1), breaks, "id long"), folder, most=1)
+    assert [x.name for x in Path(folder).iterdir() if x.name[0] != "."] == []

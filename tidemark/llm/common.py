@@ -12,8 +12,11 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: long texts make wide rows, and a Python worker holds a batch or two.
@@ -81,7 +84,7 @@ class Scratch:
 
     Tables that a result still reads live until ``close``, until the ``released`` block around the call ends, or until
     the application does; what nothing reads any more is dropped on the way. With ``lean`` the shuffle files behind a
-    table go as soon as it stands.
+    table go as soon as it stands, and a folder of the local file system is written by the Python workers (``stored``).
     """
 
     _all: list[Scratch] = []
@@ -94,15 +97,22 @@ class Scratch:
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self.made += 1
         path = f"{self.base}/{self.made:03d}-{name}"
+        folder = self._local(path) if self.lean and not options else None
         writer = df.write.mode("overwrite").option("compression", "zstd")
         for k, v in options.items():
             writer = writer.option(k, v)
         with small_batches(self.spark), freed_shuffles(self.spark) if self.lean else contextlib.nullcontext():
-            writer.parquet(path)
+            writer.parquet(path) if folder is None else stored(df, folder)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def _local(self, path: str) -> str | None:
+        """The path as Python opens it, or None where only Hadoop reaches it."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.makeQualified(p).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
     def _delete(self, path: str) -> None:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -170,17 +180,58 @@ def by_bytes(b: pa.RecordBatch, most: int = 6_000_000) -> Iterator[pa.RecordBatc
         yield from by_bytes(part, most)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, most: int = 6_000_000) -> DataFrame:
     """fn applied to Arrow batches of bounded size; a function marked ``factory`` makes fn once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn() if getattr(fn, "factory", False) else fn
         for b in batches:
-            for part in by_bytes(b):
+            for part in by_bytes(b, most):
                 if part.num_rows and (out := step(part)) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    out = df.mapInArrow(run, schema)
+    out.made_by = df, run
+    return out
+
+
+def stored(df: DataFrame, folder: str, most: int = 16_000_000) -> None:
+    """Writes df as Parquet into a local folder, from the Python workers; what ``map_arrow`` makes is written where it is made.
+
+    Hadoop's local file system starts three chmod processes for each file. Between its start and its exec such a child
+    has the JVM's whole memory as its own, and an executor is seen with twice its size. A file gets its name when it is
+    whole; another attempt of its task puts the same rows under the same name. A row group has about ``most`` bytes.
+    """
+    os.makedirs(folder)
+    source, make = getattr(df, "made_by", (df, iter))
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part, held, writer = f"{folder}/.{task.partitionId():05d}-{task.taskAttemptId()}", [], None
+
+        def flush() -> None:
+            writer.write_table(pa.Table.from_batches(held).select(schema.names).cast(schema))
+            held.clear()
+
+        try:
+            for b in make(batches):
+                if not b.num_rows:
+                    continue
+                writer = writer or pq.ParquetWriter(part, schema, compression="zstd")
+                held.append(b)
+                if sum(x.nbytes for x in held) >= most:
+                    flush()
+            if held:
+                flush()
+        finally:
+            if writer:
+                writer.close()
+        if writer:
+            os.replace(part, f"{folder}/part-{task.partitionId():05d}.parquet")
+        yield from ()
+
+    source.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def factory(fn):

@@ -21,6 +21,7 @@ names, are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from tidemark.llm.common import Scratch, bounded, factory, map_arrow, prepare
 WINDOW, FIRST = 50, 13
 #: Words whose hashes a worker remembers; longs that a broadcast may hold, and bytes where rows hold texts.
 REMEMBERED, BROADCAST_LONGS, BROADCAST_BYTES = 400_000, 4_000_000, 32_000_000
+#: Bytes of the texts that a worker cuts into words at once.
+AT_ONCE = 2_000_000
 
 
 def levels_of(window: int, first: int = FIRST) -> list[int]:
@@ -48,8 +51,7 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.low: list[int] = []
-        self.high: list[int] = []
+        self.low, self.high = array("Q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_128_intdigest(word)
@@ -93,13 +95,12 @@ class Texts:
     def __init__(self, texts: list[str | None], table: _Words):
         if len(table) > REMEMBERED:
             table.clear()
-            table.low.clear()
-            table.high.clear()
+            del table.low[:], table.high[:]
         self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         sizes = np.array([len(w) for w in self.words], np.int64)
         ids = np.fromiter((table[w] for ws in self.words for w in ws), np.int64, int(sizes.sum()))
-        self.low = np.array(table.low, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
-        self.high = np.array(table.high, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+        self.low = np.frombuffer(table.low, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+        self.high = np.frombuffer(table.high, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
         self.sizes, self.ends = sizes, np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -147,7 +148,7 @@ def described(docs: DataFrame, short: int, long: int) -> DataFrame:
 
         return step
 
-    return map_arrow(docs, start, "doc_id long, th long, digest binary, n_words long, sha string, anchors array<long>")
+    return map_arrow(docs, start, "doc_id long, th long, digest binary, n_words long, sha string, anchors array<long>", AT_ONCE)
 
 
 def extended(docs: DataFrame, short: int, long: int, over_anchors: bool, last: bool) -> DataFrame:
@@ -196,11 +197,11 @@ def extended(docs: DataFrame, short: int, long: int, over_anchors: bool, last: b
 
         return step
 
-    return map_arrow(docs.select("doc_id", "th", "text", "hits"), start, "doc_id long, th long, pos int, h1 long" + (", h2 long" if last else ""))
+    return map_arrow(docs.select("doc_id", "th", "text", "hits"), start, "doc_id long, th long, pos int, h1 long" + (", h2 long" if last else ""), AT_ONCE)
 
 
-def without(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n_removed, sha, text) of docs: doc_id, th, text, starts, ends (ranges of covered words)."""
+def without(docs: DataFrame, texts: bool) -> DataFrame:
+    """(doc_id, th, n_removed, kept; kept_text with texts) of docs: doc_id, th, text, starts, ends (ranges of covered words)."""
 
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
         gone, shas, kept_texts = [], [], []
@@ -214,10 +215,12 @@ def without(docs: DataFrame) -> DataFrame:
             out = b" ".join(kept)
             gone.append(len(words) - len(kept))
             shas.append(hashlib.sha256(out).hexdigest())
-            kept_texts.append(out.decode("utf-8", "replace"))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(gone, pa.int64()), pa.array(shas), pa.array(kept_texts)], names=["doc_id", "th", "n_removed", "sha", "kept_text"])
+            if texts:
+                kept_texts.append(out.decode("utf-8", "replace"))
+        more = [pa.array(kept_texts, pa.string())] if texts else []
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(gone, pa.int64()), pa.array(shas), *more], names=["doc_id", "th", "n_removed", "kept", "kept_text"][: 4 + len(more)])
 
-    return map_arrow(docs.select("doc_id", "th", "text", "starts", "ends"), step, "doc_id long, th long, n_removed long, sha string, kept_text string")
+    return map_arrow(docs.select("doc_id", "th", "text", "starts", "ends"), step, "doc_id long, th long, n_removed long, kept string" + (", kept_text string" if texts else ""), AT_ONCE)
 
 
 def runs(ps: str, reach: int) -> tuple[Column, Column]:
@@ -245,8 +248,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
     copies = all_.where(f"n_words >= {window} and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.write(copies.select("digest", "first_id"), "copies")
     copies = bounded(copies, copies.count())
-    marked = all_.select("doc_id", "th", "digest", "n_words", "sha").join(copies, "digest", "left")
     whole = (F.col("n_words") >= window) & (F.col("doc_id") > F.col("first_id"))
+    base = all_.select("doc_id", "th", "digest", "n_words", "sha").join(copies, "digest", "left")
+    base = scratch.write(base.select("doc_id", "th", "n_words", "sha", whole.alias("whole")), "base")
     takes_part = all_.join(copies, "digest", "left").where(F.coalesce(~whole, F.lit(True)) & F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
 
     # level 0: minimizers that stand in two documents, and the documents that hold them
@@ -255,7 +259,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
     repeated = scratch.write(repeated, "repeated")
     hits = anchors.join(repeated, "a", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("a").alias("hits"))
     hits = scratch.write(hits, "hits")
-    scratch.drop(repeated)
+    scratch.drop(repeated, all_)
     keyed = ["doc_id", "th"]
     ranges = None
     for k in range(1, len(lengths)):
@@ -281,7 +285,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
             packed = F.zip_with(starts, ends, lambda s, e: F.shiftleft(s.cast("long"), 32).bitwiseOR(e.cast("long")))
             hits = scratch.write(again.select("doc_id", "th", packed.alias("hits")), "hits")
         scratch.drop(rows, firsts, before)
-    base = marked.select("doc_id", "th", "n_words", "sha", whole.alias("whole"))
     empty_sha = hashlib.sha256(b"").hexdigest()
     if ranges is None:
         out = base.withColumns({"n_removed": F.lit(None).cast("long"), "kept": F.lit(None).cast("string"), "kept_text": F.lit(None).cast("string")})
@@ -289,8 +292,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST, t
         n, longs = ranges.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
         small = n + longs <= BROADCAST_LONGS
         chosen = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ranges) if small else ranges, keyed)
-        cut = without(chosen).withColumnRenamed("sha", "kept")
-        cut = scratch.write(cut if texts else cut.drop("kept_text"), "cut")
+        cut = scratch.write(without(chosen, texts), "cut")
         size = cut.agg(F.sum(F.octet_length("kept_text") + 100)).first()[0] if texts else 100 * n
         cut = cut.dropDuplicates(keyed)
         out = base.join(bounded(cut, size or 0, BROADCAST_BYTES), keyed, "left")
