@@ -9,8 +9,9 @@ Encoder (to store bytes losslessly): mono, 8 bits a sample (byte - 128), frames
 predictors of order 0 to 2 by least absolute residual (or a given linear predictor), one Rice partition with the
 parameter that the mean asks for; frames of one value are constant, and frames that Rice does not shorten verbatim.
 
-CRC-16 of all frames at once: the code is linear, so each byte contributes a table value for its distance from the
-end, and a frame's checksum is the exclusive or of its bytes' values.
+CRC-16 of all frames at once: leading zeros change nothing, so frames are filled up in front to pieces of ``PIECE``
+bytes; all pieces go through a table of two bytes in step, and as the code is linear, a frame's pieces are joined by a
+table that carries a checksum over ``PIECE`` zeros.
 
 Supported streams: one to eight channels, stereo as left and right, left and side, side and right, or mid and side; 4
 to 24 bits a sample, fixed or variable block size up to 65,535 samples, Rice parameters of 4 and 5 bits with escapes,
@@ -41,6 +42,10 @@ from tidemark.llm.common import Scratch, by_bytes, prepare
 FRAME, RATE, PAD = 1024, 8000, 64
 #: Payload bytes that are coded together: bounds a worker's memory.
 TOGETHER = 1_500_000
+#: Samples that are worked on at once: what is made of them stays in a core's cache.
+CACHED = 100_000
+#: Bytes of a frame that one step of its checksum's joining covers.
+PIECE = 64
 #: Rounds in which the query stores and decodes its table: scratch holds the media of one round at a time.
 ROUNDS = 3
 #: Fixed predictors by order: coefficients of the samples before.
@@ -62,22 +67,20 @@ def _crc16_table() -> np.ndarray:
 
 
 CRC8, CRC16 = _crc8_table(), _crc16_table()
-_far = np.zeros((0, 256), np.uint16)
 
 
-def _distances(n: int) -> np.ndarray:
-    """Row d: what a byte that d bytes follow adds to the checksum."""
-    global _far
-    if len(_far) < n:
-        size = max(n, 2 * len(_far), 2048)
-        out = np.zeros((size, 256), np.uint16)
-        out[: len(_far)] = _far
-        row = CRC16 if not len(_far) else (((_far[-1].astype(np.int64) << 8) & 0xFFFF) ^ CRC16[_far[-1].astype(np.int64) >> 8])
-        for d in range(len(_far), size):
-            out[d] = row
-            row = ((row << 8) & 0xFFFF) ^ CRC16[row >> 8]
-        _far = out
-    return _far
+def _crc16_words() -> tuple[np.ndarray, np.ndarray]:
+    """Checksums of all words of two bytes, and of all checksums after PIECE zero bytes more."""
+    w = np.arange(1 << 16)
+    c = CRC16[w >> 8]
+    two = (((c << 8) & 0xFFFF) ^ CRC16[(c >> 8) ^ (w & 0xFF)]).astype(np.uint16)
+    far, covered = two, 2
+    while covered < PIECE:
+        far, covered = far[far], 2 * covered
+    return two, far
+
+
+CRC16_TWO, CRC16_FAR = _crc16_words()
 
 
 def _groups(sizes) -> Iterator[tuple[int, int]]:
@@ -99,12 +102,27 @@ def crc16(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     groups = list(_groups(sizes))
     if len(groups) > 1:
         return np.concatenate([crc16(data, starts[a:z], sizes[a:z]) for a, z in groups])
-    table = _distances(int(sizes.max()))
-    upto = np.cumsum(sizes)
-    k = np.arange(upto[-1])
-    at = np.repeat(starts - upto + sizes, sizes) + k
-    left = np.repeat(upto, sizes) - 1 - k
-    return np.bitwise_xor.reduceat(table[left, data[at]], upto - sizes).astype(np.int64)
+    sizes = np.asarray(sizes, np.int64)
+    pieces = np.maximum(1, -(-sizes // PIECE))
+    first = np.cumsum(pieces) - pieces
+    fill = pieces * PIECE - sizes
+    step = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(starts - fill, pieces) + step * PIECE
+    rows = np.empty((len(at), PIECE), np.uint8)
+    inner = step > 0
+    if inner.any():
+        rows[inner] = np.lib.stride_tricks.sliding_window_view(data, PIECE)[at[inner]]
+    # a frame's first piece begins before the frame
+    col = np.arange(PIECE)
+    rows[first] = np.where(col >= fill[:, None], data[np.maximum(at[first][:, None] + col, 0)], 0)
+    each = np.zeros(len(rows), np.uint16)
+    for w in np.ascontiguousarray(rows.view(">u2").T).astype(np.uint16):
+        each = CRC16_TWO[each ^ w]
+    out = each[first]
+    for j in range(1, int(pieces.max())):
+        w = np.flatnonzero(pieces > j)
+        out[w] = CRC16_FAR[out[w]] ^ each[first[w] + j]
+    return out.astype(np.int64)
 
 
 def crc8(rows: np.ndarray) -> np.ndarray:
@@ -128,14 +146,6 @@ def utf8_number(n: int) -> bytes:
     return bytes([(~(2 * lead + 1) & 0xFF) | n, *reversed(tail)])
 
 
-def _bits(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """Bits (0/1 bytes) of values, the highest first, in their widths, one after another."""
-    upto = np.cumsum(widths)
-    total = int(upto[-1]) if len(upto) else 0
-    shift = np.repeat(upto, widths) - 1 - np.arange(total)
-    return ((np.repeat(values, widths) >> shift) & 1).astype(np.uint8)
-
-
 def predicted(x: np.ndarray, order: int) -> np.ndarray:
     """Residuals of the fixed predictor; rows are frames, the first ``order`` columns are left out."""
     for _ in range(order):
@@ -156,8 +166,8 @@ def encode(payloads: list[bytes], frame: int = FRAME, linear: tuple[tuple[int, .
     bodies: list[bytes] = [b""] * len(owner)
     for n in np.unique(length).tolist():
         alike = np.flatnonzero(length == n)
-        for which in np.array_split(alike, -(-len(alike) * n // TOGETHER)):
-            x = data[start[which][:, None] + np.arange(n)[None, :]].astype(np.int64) - 128
+        for which in np.array_split(alike, -(-len(alike) * n // CACHED)):
+            x = np.lib.stride_tricks.sliding_window_view(data, n)[start[which]].astype(np.int16 if linear is None else np.int64) - 128
             for k, b in zip(which.tolist(), _subframes(x, linear), strict=True):
                 bodies[k] = b
     # headers: sync, fixed block size, size code, 8 kHz, mono, 8 bits
@@ -206,7 +216,7 @@ def _subframes(x: np.ndarray, linear) -> list[bytes]:
         else:
             r = x[:, :0]
         residual.append(r)
-        cost.append(np.abs(r).sum(1) if r.shape[1] else np.full(rows, 1 << 40))
+        cost.append(np.abs(r).sum(1, dtype=np.int64) if r.shape[1] else np.full(rows, 1 << 40))
     best = np.argmin(np.stack(cost), 0)
     out: list[bytes] = [b""] * rows
     for k in np.flatnonzero(constant).tolist():
@@ -216,53 +226,51 @@ def _subframes(x: np.ndarray, linear) -> list[bytes]:
         if not len(which):
             continue
         r = residual[pos][which]
-        u = np.where(r >= 0, 2 * r, -2 * r - 1)
+        u = (r << 1) ^ (r >> (8 * r.itemsize - 1))
         mean = u.mean(1)
-        k = np.clip(np.floor(np.log2(np.maximum(mean * 0.6931, 1))), 0, 14).astype(np.int64)
+        k = np.clip(np.floor(np.log2(np.maximum(mean * 0.6931, 1))), 0, 14).astype(u.dtype)
         q = u >> k[:, None]
         lead = 8 + 8 * o + (0 if linear is None else 4 + 5 + linear_bits(linear) * o) + 2 + 4 + 4
-        total = lead + (q + 1 + k[:, None]).sum(1)
+        total = lead + q.sum(1, dtype=np.int64) + (1 + k.astype(np.int64)) * u.shape[1]
         verbatim = total >= 8 + 8 * n
         for j in np.flatnonzero(verbatim).tolist():
             out[which[j]] = b"\x02" + (x[which[j]] & 0xFF).astype(np.uint8).tobytes()
         use = np.flatnonzero(~verbatim)
         if not len(use):
             continue
-        w, k, u, q, total = which[use], k[use], u[use], q[use], total[use]
+        w, k, u, q, total = which[use], k[use].astype(np.int32)[:, None], u[use].astype(np.int32), q[use].astype(np.int32), total[use]
         kind = (8 + o) if linear is None else (32 + o - 1)
-        head_v = [np.full(len(w), kind << 1)] + [x[w, j] & 0xFF for j in range(o)]
-        head_w = [8] * (1 + o)
+        head = [(kind << 1, 8)] + [(x[w, j].astype(np.int64) & 0xFF, 8) for j in range(o)]
         if linear is not None:
             bits = linear_bits(linear)
-            head_v += [np.full(len(w), bits - 1), np.full(len(w), linear[1])] + [np.full(len(w), c & ((1 << bits) - 1)) for c in linear[0]]
-            head_w += [4, 5] + [bits] * o
-        head_v += [np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), k]
-        head_w += [2, 4, 4]
-        # every code is q zeros, a one, k bits: the one and the k bits are a number of k + 1 bits with its first bit set
-        pad = (-total) % 8
-        size = total + pad
+            head += [(bits - 1, 4), (linear[1] & 31, 5)] + [(c & ((1 << bits) - 1), bits) for c in linear[0]]
+        head += [(0, 2), (0, 4), (k[:, 0], 4)]
+        size = total + (-total) % 8
         ends = np.cumsum(size)
-        bits = np.zeros(int(ends[-1]), np.uint8)
         base = ends - size
-        at = 0
-        for v, wd in zip(head_v, head_w, strict=True):
-            for j in range(wd):
-                bits[base + at + j] = (v >> (wd - 1 - j)) & 1
-            at += wd
-        code_end = base[:, None] + lead + np.cumsum(q + 1 + k[:, None], 1)  # where each code ends
-        stop = (code_end - k[:, None] - 1).ravel()
-        bits[stop] = 1
-        kk = np.broadcast_to(k[:, None], u.shape).ravel()
-        flat = u.ravel()
-        for j in range(int(k.max()) if len(k) else 0):
-            on = kk > j
-            bits[stop[on] + kk[on] - j] = (flat[on] >> j) & 1
-        raw = np.packbits(bits).tobytes()
+        # every code is q zeros, a one, k bits: the one and the k bits are a number of k + 1 bits with its first bit set
+        q += k + 1
+        code_end = np.cumsum(q, 1, dtype=np.int32)
+        code_end += (base + lead).astype(np.int32)[:, None]
+        units = _placed(code_end - (k + 1), k + 1, (u & ((1 << k) - 1)) | (1 << k), int(ends[-1]))
+        at = base
+        for v, wd in head:
+            units += _placed(at, wd, np.broadcast_to(v, at.shape), int(ends[-1]))
+            at = at + wd
+        units = units.astype(np.int64)
+        units[1:] += (units[:-1] & 0xFFFF) << 16
+        raw = (units >> 16).astype(">u2").tobytes()
         for a, b, row in zip((base // 8).tolist(), (ends // 8).tolist(), w.tolist(), strict=True):
             out[row] = raw[a:b]
     return out
 
 
+def _placed(at: np.ndarray, widths, values: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of up to 16 bits, none over another, at bit positions: for each 16 bits, these and what reaches behind them."""
+    values = values << (32 - (at & 15) - widths).astype(np.int64)
+    return np.bincount((at >> 4).ravel(), values.ravel(), minlength=bits // 16 + 2)
+
+
 def linear_bits(linear) -> int:
     return max(2, max(int(c if c >= 0 else -c - 1).bit_length() for c in linear[0]) + 1)
 
@@ -272,7 +280,7 @@ class _Streams:
 
     def __init__(self, raw: np.ndarray):
         self.raw = raw  # with 16 bytes of nothing behind
-        self.one = None
+        self.one = self.zero = self.word = None
 
     def number(self, at: np.ndarray, bits) -> np.ndarray:
         """Unsigned numbers of up to 32 bits at the given bit positions."""
@@ -295,6 +303,37 @@ class _Streams:
             self.one = np.minimum.accumulate(at[::-1])[::-1]
         return self.one
 
+    def zeros(self) -> np.ndarray:
+        """For each bit position, how many zeros stand from there to the next set bit; FAR or more: at least FAR."""
+        if self.zero is None:
+            own = self.raw.astype(np.intp)
+            ahead = ZEROS[:, 0].astype(np.uint64)[own]  # from the start of each byte, beyond it for bytes without a set bit
+            none = np.flatnonzero(self.raw[:-1] == 0)
+            some = np.append(np.flatnonzero(self.raw[:-1]), len(own) - 1)  # runs end with the last byte
+            next_ = some[np.searchsorted(some, none)]
+            ahead[none] = np.minimum((next_ - none) * 8 + ZEROS[own[next_], 0], FAR)
+            ahead *= np.uint64(0x0101010101010101)
+            lanes = BEYOND.view(np.uint64).ravel()[own]
+            lanes[:-1] &= ahead[1:]
+            lanes[-1] = 0
+            lanes += ZEROS.view(np.uint64).ravel()[own]
+            self.zero = lanes.view(np.uint8)
+        return self.zero
+
+    def words(self) -> np.ndarray:
+        """For each byte but the last three, the number of 32 bits that begins there."""
+        if self.word is None:
+            b = self.raw.astype(np.uint32)
+            self.word = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+        return self.word
+
+
+#: Zeros before the first set bit of each byte from each bit on (all that are left, if none is set), and where none is.
+FAR = 240
+_byte_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+BEYOND = np.stack([np.where(_byte_bits[:, s:].any(1), 0, 255) for s in range(8)], 1).astype(np.uint8)
+ZEROS = np.stack([np.where(BEYOND[:, s] == 0, _byte_bits[:, s:].argmax(1), 8 - s) for s in range(8)], 1).astype(np.uint8)
+
 
 def _frames_of(media: bytes, base: int) -> tuple[dict, list[tuple[int, int, int, int]]]:
     """Stream info, and where frames may start: all are found by walking, so only the first is known here."""
@@ -486,6 +525,10 @@ def _decode_subframes(bits: _Streams, at: np.ndarray, length: np.ndarray, depth:
     w = np.flatnonzero(kind == 1)
     for k in w.tolist():
         n, d = int(length[k]), int(depth[k])
+        if d == 8 and at[k] % 8 == 0:
+            samples[k] = bits.raw[at[k] // 8 : at[k] // 8 + n].view(np.int8).astype(np.int64)
+            at[k] += n * d
+            continue
         samples[k] = bits.signed(at[k] + d * np.arange(n), np.full(n, d))
         at[k] += n * d
     fixed, lpc = (kind >= 8) & (kind <= 12), kind >= 32
@@ -505,7 +548,8 @@ def _decode_subframes(bits: _Streams, at: np.ndarray, length: np.ndarray, depth:
 
 def _predicted_subframes(bits, at, length, depth, order, lpc):
     rows, widest = len(at), int(length.max())
-    x = np.zeros((rows, widest), np.int64)
+    narrow = not lpc.any() and int(depth.max()) <= 16
+    x = np.zeros((rows, widest), np.int32 if narrow else np.int64)
     at = at.copy()
     for j in range(int(order.max(initial=0))):
         w = np.flatnonzero(order > j)
@@ -555,16 +599,18 @@ def _predicted_subframes(bits, at, length, depth, order, lpc):
             w = np.flatnonzero(~lpc & (order == o))
             if o == 0 or not len(w):
                 continue
-            y = x[w]
-            warm = y[:, :o].copy()
-            # undo the differences one order at a time, each from its own first value
-            r = y[:, o:]
-            for level in range(o, 0, -1):
-                seed = warm[:, o - level :]  # the last warm-up samples give the difference just before
-                for _ in range(level - 1):
-                    seed = seed[:, 1:] - seed[:, :-1]
-                r = np.cumsum(np.concatenate([seed[:, -1:], r], 1), 1)[:, 1:]
-            x[w, o:] = r
+            for some in np.array_split(w, -(-len(w) * widest // CACHED)):
+                y = x[some]
+                warm = y[:, :o].copy()
+                # undo the differences one order at a time, each from its own first value
+                r = y[:, o:]
+                for level in range(o if r.shape[1] else 0, 0, -1):
+                    seed = warm[:, o - level :]  # the last warm-up samples give the difference just before
+                    for _ in range(level - 1):
+                        seed = seed[:, 1:] - seed[:, :-1]
+                    r[:, 0] += seed[:, -1]
+                    np.cumsum(r, 1, dtype=r.dtype, out=r)
+                x[some] = y
         w = np.flatnonzero(lpc)
         if len(w):
             most = int(order[w].max())
@@ -579,32 +625,40 @@ def _predicted_subframes(bits, at, length, depth, order, lpc):
 
 def _rice(bits, x, rows, at, k, first, count) -> np.ndarray:
     """Reads ``count`` codes for each row into x; returns where they end."""
-    nxt = bits.ones()
-    order = np.argsort(-count, kind="stable")
+    order = np.lexsort((first, -count))
     rows, at, k, first, count = rows[order], at[order].astype(np.int64), k[order], first[order], count[order]
     most = int(count[0])
-    stop = np.zeros((most, len(rows)), np.int32)
+    near = bits.zeros()
+    # runs of FAR zeros and more are rare: where there are any, positions of the next set bit tell their lengths
+    exact = bits.ones() if int(near.max()) >= FAR else None
+    q = np.zeros((most, len(rows)), np.uint8 if exact is None else np.int32)
     k1 = k + 1
     pos = at.copy()
     live = np.searchsorted(-count, -np.arange(most), side="left")  # rows that still have a code at each step
     for step in range(most):
         n = live[step]
-        s = nxt[pos[:n]]
-        stop[step, :n] = s
-        pos[:n] = s + k1[:n]
-    valid = np.arange(most)[:, None] < count[None, :]
-    stops = stop.T[valid.T].astype(np.int64)  # row by row
-    size = count
-    row = np.repeat(np.arange(len(rows)), size)
-    inner = np.arange(len(stops)) - np.repeat(np.cumsum(size) - size, size)
-    before = np.empty_like(stops)
-    before[1:] = stops[:-1] + k1[row[1:]]
-    heads = np.cumsum(size) - size
-    before[heads] = at
-    q = stops - before
-    low = bits.number(stops + 1, k[row]) if k.any() else 0
-    u = (q << k[row]) | low
-    x[rows[row], first[row] + inner] = np.where(u & 1, -(u >> 1) - 1, u >> 1)
+        p = pos[:n]
+        z = near[p] if exact is None else exact[p] - p
+        q[step, :n] = z
+        p += z
+        p += k1[:n]
+    # numbers of rows with as many codes, some rows at a time
+    edges = np.flatnonzero(np.append(True, (count[1:] != count[:-1]) | (first[1:] != first[:-1])))
+    large = int(k.max()) > 16
+    for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
+        c, f = int(count[a]), int(first[a])
+        for b in range(a, z, max(1, CACHED // c)):
+            own = slice(b, min(z, b + max(1, CACHED // c)))
+            low_bits = k[own, None]
+            runs = np.ascontiguousarray(q[:c, own].T).astype(np.int32 if exact is None and not large else np.int64)
+            ends = np.cumsum(runs + k1[own, None], 1)
+            ends += at[own, None] - low_bits  # where the low bits begin
+            if large:
+                low = bits.number(ends.ravel(), np.broadcast_to(low_bits, ends.shape).ravel()).reshape(ends.shape)
+            else:
+                low = bits.words()[ends >> 3] << (ends & 7).astype(np.uint32) >> np.uint32(1) >> (31 - low_bits).astype(np.uint32)
+            u = runs << low_bits.astype(runs.dtype) | low.astype(runs.dtype)
+            x[rows[own], f : f + c] = (u >> 1) ^ -(u & 1)
     out = np.empty_like(pos)
     out[order] = pos
     return out
